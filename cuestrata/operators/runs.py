@@ -118,7 +118,7 @@ def best_run_similar(queries: DataFrame, log: DataFrame, history: int = rules.HI
     pairs = q.join(F.broadcast(r), match)
     most = F.greatest("r_scene_count", "scene_count", F.lit(1))
     spare = c("vram_mb") - c("r_vram_mb")
-    vram = F.when(spare < 0, -spare / 256.0 * 8).otherwise(-F.least(F.lit(20.0), spare / 1024.0))
+    vram = F.when(spare < 0, -spare / 256.0 * 8).when(spare >= 0, -F.least(F.lit(20.0), spare / 1024.0))
     score = (
         c("r___hourly") + F.when(c("r_content_profile_hash") != c("content_profile_hash"), 45.0).otherwise(0.0)
         + F.coalesce(F.abs(c("r_avg_difficulty") - c("avg_difficulty")) * 320, F.lit(25.0))

@@ -32,7 +32,8 @@ def scene_split(
     With ``bad_timing`` rows may have null times: such a row belongs to a scene only if
     that scene goes on after it, and has a null ``scene_id`` otherwise.
     """
-    df = scan(cues, keys, ["pos"], {"prev_end": ("max_before", F.greatest("end_ms", F.lit(0)))})
+    timed = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
+    df = scan(cues, keys, ["pos"], {"prev_end": ("max_before", F.when(timed, F.greatest("end_ms", F.lit(0))))})
     first = F.col("prev_end").isNull()
     known = F.coalesce("prev_end", F.lit(0))
     quiet = F.col("start_ms") - known >= GAP_MS
@@ -42,7 +43,6 @@ def scene_split(
         other = F.col("start_ms") - known <= -BACKSTEP_MS
     else:
         raise ValueError(f"unknown scene rule {rule!r}")
-    timed = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
     opens = timed & (first | quiet | other)
     df = df.withColumns({"scene_start": opens, "prev_end": known})
     specs = {"__s": ("sum_before", F.col("scene_start").cast("bigint"))}

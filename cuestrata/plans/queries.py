@@ -307,7 +307,16 @@ def _(spark, sf):
     return intervals.silence_boundaries(v.speech(spark, sf), v.recordings(spark, sf))
 
 
-@query("pick_boundaries")
+_PICK = """c AS (SELECT g.recording_id, (start_ms + end_ms) / 2.0e0 AS c, r.duration_ms AS d FROM gaps g JOIN recordings r USING (recording_id) WHERE end_ms - start_ms >= 400),
+p AS (SELECT DISTINCT recording_id, 0.0e0 AS b, d FROM c
+ UNION ALL SELECT recording_id, b, d FROM (
+  SELECT p.recording_id, p.d, (SELECT arg_min(c.c, (abs(c.c - p.b - 30000), c.c)) FROM c WHERE c.recording_id = p.recording_id AND c.c >= p.b + 9000 AND c.c < p.d - 6000) AS b
+  FROM p WHERE p.b + 30000 < p.d - 9000) WHERE b IS NOT NULL)
+SELECT recording_id, b AS boundary_ms FROM p WHERE b > 0
+UNION ALL SELECT recording_id, CAST(unnest(range(30000, duration_ms, 30000)) AS DOUBLE) FROM recordings WHERE recording_id NOT IN (SELECT recording_id FROM c)"""
+
+
+@query("pick_boundaries", o.ctes("gaps", "recordings") + "," + _PICK)
 def _(spark, sf):
     gaps = intervals.complement(v.speech(spark, sf), v.recordings(spark, sf), min_ms=400)
     return folds.pick_boundaries(gaps, v.recordings(spark, sf), 30_000)
@@ -586,8 +595,9 @@ def _(spark, sf):
 
 
 _OUTER = r"""regexp_replace({w}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"""
-_LEADERS = f"""w AS (SELECT recording_id, word, count(*) AS freq FROM (SELECT recording_id, {_OUTER.format(w='raw')} AS word FROM (
-  SELECT recording_id, unnest(string_split({o.collapse('text')}, ' ')) AS raw FROM cues)) WHERE strlen(word) >= 2 AND regexp_matches(word, '^\\p{{Lu}}') GROUP BY 1, 2),
+def _leaders_sql(base: str) -> str:
+    return f"""w AS (SELECT recording_id, word, count(*) AS freq FROM (SELECT recording_id, {_OUTER.format(w='raw')} AS word FROM (
+  SELECT recording_id, unnest(string_split({o.collapse('text')}, ' ')) AS raw FROM {base})) WHERE strlen(word) >= 2 AND regexp_matches(word, '^\\p{{Lu}}') GROUP BY 1, 2),
 ord AS (SELECT recording_id, word, freq, row_number() OVER (PARTITION BY recording_id, word[1] ORDER BY freq DESC, word) AS r, {o.one_byte('word')} AS b FROM w),
 near AS (SELECT a.recording_id, a.word[1] AS ini, a.word AS up, a.r AS ur, z.word AS lo, z.r AS lr FROM ord a JOIN ord z ON a.recording_id = z.recording_id AND a.word[1] = z.word[1] AND a.r < z.r
   AND abs(length(a.word) - length(z.word)) <= 2 AND levenshtein(a.b, z.b) <= 2),
@@ -599,6 +609,9 @@ fol AS (SELECT n.recording_id, n.lo AS word, arg_min(n.up, (-f.freq, n.up)) AS c
   WHERE list_contains(l.leads, n.ur) AND NOT list_contains(l.leads, n.lr) GROUP BY 1, 2)"""
 
 
+_LEADERS = _leaders_sql("cues")
+
+
 @query("name_leaders", o.ctes("cues") + "," + _LEADERS + " SELECT recording_id, word, canonical FROM fol")
 def _(spark, sf):
     return names.name_leaders(v.cues(spark, sf)).select("recording_id", "word", "canonical")
@@ -614,7 +627,7 @@ def _(spark, sf):
     return names.near_pairs(words, ["recording_id"], "w", allowed).select("recording_id", "a", "b", "edit_distance")
 
 
-_CANON = r"""t AS (SELECT recording_id, pos, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw FROM (SELECT recording_id, pos, regexp_extract_all(text, '\s+|\S+') AS p FROM cues)),
+_CANON = r"""t AS (SELECT recording_id, pos, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw FROM (SELECT recording_id, pos, regexp_extract_all(text, '\s+|\S+') AS p FROM @BASE)),
 tt AS (SELECT *, """ + _OUTER.format(w='raw') + r""" AS core FROM t),
 u AS (SELECT recording_id, pos, i, unnest(generate_series(1, len(p))) AS j, unnest(p) AS piece FROM (SELECT *, regexp_extract_all(raw, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS p FROM tt)),
 uu AS (SELECT u.recording_id, u.pos, u.i, string_agg(coalesce(f.canonical, u.piece), '' ORDER BY j) AS inner_new FROM u LEFT JOIN fol f ON f.recording_id = u.recording_id AND f.word = u.piece GROUP BY 1, 2, 3)
@@ -622,7 +635,7 @@ SELECT tt.recording_id, tt.pos, string_agg(CASE WHEN f.canonical IS NOT NULL THE
 FROM tt JOIN uu USING (recording_id, pos, i) LEFT JOIN fol f ON f.recording_id = tt.recording_id AND f.word = tt.core GROUP BY 1, 2"""
 
 
-@query("canonical_names", o.ctes("cues") + "," + _LEADERS + "," + _CANON)
+@query("canonical_names", o.ctes("cues") + "," + _LEADERS + "," + _CANON.replace("@BASE", "cues"))
 def _(spark, sf):
     return names.canonical_names(v.cues(spark, sf).select(*ID, "text")).select(*ID, "text")
 
@@ -722,7 +735,22 @@ def _(spark, sf):
     return R.collapse_repetitions(v.messy(spark, sf)).select(*ID, "text")
 
 
-@query("collapse_token_loops")
+_KEY = "regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[^a-z0-9'']+|[^a-z0-9'']+$', '', 'g')"
+
+
+def _loops_sql(base: str) -> str:
+    key = lambda x: _KEY.replace("(t,", f"({x},")
+    low = o.ascii_lower("x")
+    return f"""(SELECT recording_id, pos, CASE WHEN len(tk) < 2 THEN text ELSE array_to_string(list_reduce(range(1, len(ot) + 1), lambda acc, i:
+   CASE WHEN i < acc.skip THEN acc
+        WHEN i + 3 <= len(ot) AND ok[i] = ok[i + 2] AND ok[i + 1] = ok[i + 3] THEN {{'skip': i + 4, 'out': acc.out || [ot[i], ot[i + 1]]}}
+        ELSE {{'skip': i + 1, 'out': list_append(acc.out, ot[i])}} END, {{'skip': CAST(1 AS BIGINT), 'out': CAST([] AS VARCHAR[])}}).out, ' ') END AS text
+  FROM (SELECT *, list_filter(tk, lambda x, i: i = 1 OR ks[i - 1] <> ks[i]) AS ot, list_filter(ks, lambda x, i: i = 1 OR ks[i - 1] <> ks[i]) AS ok
+   FROM (SELECT *, list_transform(tk, lambda x: CASE WHEN {key('x')} = '' THEN {low} ELSE {key('x')} END) AS ks
+    FROM (SELECT *, string_split({o.collapse('text')}, ' ') AS tk FROM {base}))))"""
+
+
+@query("collapse_token_loops", o.ctes("messy") + f" SELECT recording_id, pos, text FROM {_loops_sql('messy')}")
 def _(spark, sf):
     return R.collapse_token_loops(v.messy(spark, sf)).select(*ID, "text")
 
@@ -775,28 +803,72 @@ def _(spark, sf):
     return R.normalise_lang(d).select("doc_id", "lang_tag")
 
 
-@query("clean_translation")
+def _clean_sql() -> str:
+    named = "(" + "WITH " + _CANON.replace("@BASE", "messy") + ")"
+    fixed = f"(SELECT recording_id, pos, {_rules_sql(_contractions_sql('text'), rules.GRAMMAR_RULES)} AS text FROM {named})"
+    tidied = f"(SELECT recording_id, pos, {_TIDY.format(e=o.collapse('text'))} AS text FROM {_loops_sql(_repeat_sql(fixed))})"
+    return o.ctes("messy") + "," + _leaders_sql("messy") + f" SELECT recording_id, pos, {_capital_sql('text')} AS text FROM {tidied}"
+
+
+@query("clean_translation", _clean_sql())
 def _(spark, sf):
     return R.clean_translation(v.messy(spark, sf)).select(*ID, "text")
 
 
 # ========================================================================= folds
-@query("stitch_chunks")
+_STITCH = f"""o AS (SELECT recording_id, chunk_index, pos, start_ms + chunk_index * 30000 AS start_ms, end_ms + chunk_index * 30000 AS end_ms, text FROM chunk_cues
+  WHERE recording_id IN (SELECT recording_id FROM chunk_cues GROUP BY 1 HAVING count(DISTINCT chunk_index) > 1)),
+n AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, chunk_index, pos) AS i FROM o),
+f AS (SELECT recording_id, i, true AS kept, start_ms AS ls, chunk_index AS lc, text AS lt FROM n WHERE i = 1
+ UNION ALL SELECT recording_id, i, NOT dup, CASE WHEN dup THEN ls ELSE start_ms END, CASE WHEN dup THEN lc ELSE chunk_index END, CASE WHEN dup THEN lt ELSE text END FROM (
+  SELECT n.*, f.ls, f.lc, f.lt, CASE WHEN n.start_ms - f.ls < 2000 AND n.text = f.lt THEN true WHEN n.chunk_index = f.lc OR n.start_ms - f.ls >= 3000 THEN false
+    WHEN least(length(n.text), length(f.lt)) < 0.6 * greatest(length(n.text), length(f.lt)) THEN false
+    ELSE 1.0e0 - levenshtein({o.one_byte('n.text')}, {o.one_byte('f.lt')})::DOUBLE / greatest(1, length(n.text), length(f.lt)) >= 0.6 END AS dup
+  FROM f JOIN n ON n.recording_id = f.recording_id AND n.i = f.i + 1)),
+st AS (SELECT recording_id, chunk_index, pos, start_ms, end_ms FROM f JOIN n USING (recording_id, i) WHERE kept
+ UNION ALL SELECT recording_id, chunk_index, pos, start_ms, end_ms FROM chunk_cues WHERE recording_id IN (SELECT recording_id FROM chunk_cues GROUP BY 1 HAVING count(DISTINCT chunk_index) = 1))"""
+
+
+@query("stitch_chunks", o.ctes("chunk_cues") + "," + _STITCH + " SELECT recording_id, chunk_index, pos, start_ms, end_ms FROM st")
 def _(spark, sf):
     c = v.chunk_cues(spark, sf)
     return folds.stitch_chunks(c, v.chunk_offsets(c)).select("recording_id", "chunk_index", "pos", "start_ms", "end_ms")
 
 
-@query("renumber_stitched")
+@query("renumber_stitched", o.ctes("chunk_cues") + "," + _STITCH + f""" SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, chunk_index, pos) AS INT) AS idx,
+ {o.clock('start_ms')} || ' --> ' || {o.clock('end_ms')} AS timing FROM st""")
 def _(spark, sf):
     c = v.chunk_cues(spark, sf)
     out = folds.renumber_stitched(folds.stitch_chunks(c, v.chunk_offsets(c)))
     return timing.format_timing(out).select("recording_id", "idx", "timing")
 
 
-@query("compact_cues")
+def _compact_sql() -> str:
+    toks = o.ascii_tokens("mt")
+    raw = "regexp_extract_all(mt, '[A-Za-z'']+')"
+    grams = f"""len(list_filter(range(1, len({raw}) - 4), lambda i: len(list_filter(range(i + 3, len({raw}) - 1), lambda j: {raw}[i] = {raw}[j] AND {raw}[i + 1] = {raw}[j + 1] AND {raw}[i + 2] = {raw}[j + 2])) > 0)) > 0"""
+    words = lambda c: f"len(regexp_extract_all({c}, '\\S+'))"
+    # what happens to row n after the current text: 0 skip, 1 extend, 2 merge, 3 new
+    return f"""n AS (SELECT recording_id, pos, start_ms, end_ms, {o.collapse('text')} AS t FROM cues),
+lim AS (SELECT recording_id, greatest(20, count(*) // 16) AS budget FROM cues GROUP BY 1),
+f AS (SELECT recording_id, pos, pos AS head, start_ms AS cs, end_ms AS ce, t AS ct, 0 AS used, 0 AS mine FROM n WHERE pos = 0
+ UNION ALL SELECT recording_id, pos, CASE WHEN act = 3 THEN pos ELSE head END, CASE WHEN act = 3 THEN start_ms ELSE cs END,
+  CASE act WHEN 0 THEN ce WHEN 3 THEN end_ms ELSE greatest(ce, end_ms) END, CASE act WHEN 2 THEN mt WHEN 3 THEN t ELSE ct END,
+  used + (act = 2)::INT, CASE act WHEN 2 THEN mine + 1 WHEN 3 THEN 0 ELSE mine END FROM (
+  SELECT *, CASE WHEN t = '' THEN 0 WHEN greatest(0, start_ms - ce) > 80 THEN 3
+   WHEN {o.ascii_lower('ct')} = {o.ascii_lower('t')} AND greatest(0, start_ms - ce) <= 120 AND length(ct) <= 48 THEN 1
+   WHEN ct = '' OR regexp_matches(ct || t, '[\[\]]') OR {words('ct')} > 8 OR {words('t')} > 8 OR regexp_matches(t, '^[A-Z]') OR regexp_matches(ct, '[.?!:]$') OR used >= budget THEN 3
+   WHEN greatest(1, end_ms - cs) > 6500 OR length(mt) / (greatest(1, end_ms - cs) / 1000.0e0) > 21.0 OR length(mt) > 72 THEN 3
+   WHEN {o.repeats(toks)} OR {o.low_function(toks)} OR {grams} THEN 3 ELSE 2 END AS act
+  FROM (SELECT n.recording_id, n.pos, n.start_ms, n.end_ms, n.t, f.head, f.cs, f.ce, f.ct, f.used, f.mine, lim.budget, f.ct || ' ' || n.t AS mt
+   FROM f JOIN n ON n.recording_id = f.recording_id AND n.pos = f.pos + 1 JOIN lim ON lim.recording_id = n.recording_id)))
+SELECT recording_id, head AS pos, arg_max(cs, f.pos) AS start_ms, arg_max(ce, f.pos) AS end_ms, arg_max(ct, f.pos) AS text, CAST(max(mine) AS BIGINT) AS merges FROM f GROUP BY recording_id, head"""
+
+
+@query("compact_cues", o.ctes("snippets") + "," + _compact_sql().replace("FROM cues", "FROM snippets"))
 def _(spark, sf):
-    return folds.compact_cues(v.cues(spark, sf)).select(*ID, "start_ms", "end_ms", "text", "merges")
+    """Cues cut into short pieces of a few words, so that many may be joined."""
+    return folds.compact_cues(v.snippets(spark, sf)).select(*ID, "start_ms", "end_ms", "text", "merges")
 
 
 @query("compact_if_not_worse")
@@ -1194,9 +1266,12 @@ def _(spark, sf):
 
 
 # ===================================================================== streaming
-@query("live_scenes")
+@query("live_scenes", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS brk FROM events),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM g GROUP BY user_id, s
+HAVING max(ts) + INTERVAL 20 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(spark, sf):
-    """User sessions with a gap of 20 minutes, from the event stream."""
+    """User sessions with a gap of 20 minutes, from the event stream: those that have closed."""
     s = live.live_scenes(v.event_stream(spark, sf), ["user_id"], gap="20 minutes", watermark="1 hour")
     return live.run_to_table(s, spark, "live-scenes").select(
         "user_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuestrata.operators.ordered import number_rows
 from cuestrata.session import stage
 
 
@@ -190,6 +191,16 @@ MESSY = (
     "WHEN 6 THEN concat('sakura ', lower(text)) ELSE text END")
 
 
+def snippets(spark, sf) -> DataFrame:
+    """Every word of every cue as a cue of its own, close together; some repeat, some are blank."""
+    c = cues(spark, sf).select("recording_id", F.col("pos").alias("line"), F.posexplode(F.split("text", " ")).alias("k", "w"))
+    word = F.when(F.col("k") % 11 == 10, "").when(F.col("k") % 6 == 5, F.concat_ws(" ", "w", F.lit("of the"))).otherwise(F.col("w"))
+    c = c.withColumn("text", word).drop("w")
+    c = number_rows(c, ["recording_id"], ["line", "k"], "pos", F.floor(F.col("line") / 8))
+    at = F.col("pos").cast("bigint") * 700
+    return c.select("recording_id", "pos", at.alias("start_ms"), (at + 600 + (F.col("pos") % 7) * 30).alias("end_ms"), "text")
+
+
 def japanese(spark, sf) -> DataFrame:
     """Cues opened by a dictionary word, or made of one."""
     return cues(spark, sf).withColumn("text", F.expr(JAPANESE)).select("recording_id", "pos", "text", "lang")

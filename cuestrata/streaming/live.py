@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType
 
 from cuestrata import rules
 from cuestrata.session import scratch
@@ -85,5 +86,5 @@ def run_to_table(out: DataFrame, spark: SparkSession, name: str, mode: str = "ap
     else:
         query = writer.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{where}/batch_id={i}")).outputMode(mode).start()
     query.awaitTermination()
-    schema = out.schema if mode == "append" else out.schema.add("batch_id", "bigint")
+    schema = out.schema if mode == "append" else out.schema.add("batch_id", LongType())
     return spark.read.schema(schema).parquet(where)
