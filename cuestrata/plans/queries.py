@@ -647,13 +647,22 @@ def _text_query(name, fn, col, sql_expr, base="cues", view=None):
         return fn((view or v.cues)(spark, sf)).select(*ID, col)
 
 
-_TOK = o.ascii_tokens("text")
 _text_query("tokens", lambda d: T.add_tokens(d).withColumn("tokens", F.array_join("tokens", " ")), "tokens", "array_to_string(regexp_extract_all(text, '[A-Za-z'']+'), ' ')")
 _text_query("double_apostrophe", T.add_double_apostrophe, "double_apostrophe", "regexp_matches(text, '''[A-Za-z]*''')", "messy", v.messy)
 _text_query("malformed_contraction", T.add_malformed_contraction, "malformed_contraction",
             "(" + " OR ".join(f"contains({o.ascii_lower('text')}, {o.q(m)})" for m in rules.MALFORMED) + ")", "messy", v.messy)
-_text_query("low_function_words", T.add_low_function_words, "low_function_words", o.low_function(_TOK))
-_text_query("adjacent_repeat", T.add_adjacent_repeat, "adjacent_repeat", o.repeats(_TOK))
+
+
+@query("low_function_words", o.ctes("feats") + " SELECT recording_id, pos, low_function AS low_function_words FROM feats")
+def _(spark, sf):
+    return T.add_low_function_words(v.cues(spark, sf)).select(*ID, "low_function_words")
+
+
+@query("adjacent_repeat", o.ctes("feats") + " SELECT recording_id, pos, repeats AS adjacent_repeat FROM feats")
+def _(spark, sf):
+    return T.add_adjacent_repeat(v.cues(spark, sf)).select(*ID, "adjacent_repeat")
+
+
 _text_query("titlecase_tokens", lambda d: T.add_titlecase_tokens(d).withColumn("titlecase_tokens", F.array_join("titlecase_tokens", " ")), "titlecase_tokens",
             "array_to_string(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{2,}')), ' ')")
 _text_query("has_japanese", T.add_has_japanese, "has_japanese", r"regexp_matches(text, '[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]')", "japanese", v.japanese)
