@@ -309,17 +309,20 @@ def pick_boundaries(
 
     key_schema = ", ".join(f"`{k}` {recordings.schema[k].dataType.simpleString()}" for k in keys)
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("b").reset_index(drop=True)
-        b, n = pdf["b"].to_numpy(), pdf["nxt"].to_numpy(dtype="float64")
-        at = np.searchsorted(b, n)
-        out = np.full(len(b), np.nan)
-        for i in range(len(b) - 1, -1, -1):
-            if not np.isnan(n[i]):
-                out[i] = out[at[i]] if at[i] < len(b) and b[at[i]] == n[i] else n[i]
-        return pdf.assign(out=out)[[*keys, "b", "out"]]
-
-    leave = hops.groupBy(*keys, "piece").applyInPandas(exits, f"{key_schema}, b double, out double")
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Last jump of each chain inside its piece; rows come from the far end of a piece."""
+        piece, seen = None, {}
+        for pdf in batches:
+            out = []
+            for *k, b, nxt in pdf[[*keys, "piece", "b", "nxt"]].itertuples(index=False, name=None):
+                if k != piece:
+                    piece, seen = k, {}
+                seen[b] = seen.get(nxt, nxt)
+                out.append(seen[b])
+            yield pdf[[*keys, "b"]].assign(out=np.array(out, dtype="float64"))
+
+    far_first = hops.repartition(*keys, "piece").sortWithinPartitions(*keys, "piece", F.col("b").desc())
+    leave = far_first.mapInPandas(exits, f"{key_schema}, b double, out double")
     leave = stage(leave.withColumn("out", F.when(~F.isnan("out"), F.col("out"))), "leave")
     entries = leave.where("out is not null").select(*keys, F.col("out").alias("b")).unionByName(starts.select(*keys, "b")).distinct()
     links = leave.join(entries, [*keys, "b"]).repartition(*keys).sortWithinPartitions(*keys, "b")
@@ -339,18 +342,21 @@ def pick_boundaries(
     chosen = on_path.withColumn("piece", F.floor(F.col("b") / (float(step_ms) * stretch))).withColumnRenamed("b", "entry")
     todo = hops.join(chosen, [*keys, "piece"])
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        jump = dict(zip(pdf["b"], pdf["nxt"]))
-        at, path = pdf["entry"].iloc[0], []
-        while at in jump:
-            path.append(at)
-            at = jump[at]
-        out = pd.DataFrame({"boundary_ms": path})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "boundary_ms"]]
-
-    picked = todo.groupBy(*keys, "piece").applyInPandas(write, f"{key_schema}, boundary_ms double").where("boundary_ms > 0")
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows on the chain that starts at the piece's entry."""
+        piece, at = None, None
+        for pdf in batches:
+            hit = np.zeros(len(pdf), dtype=bool)
+            rows = pdf[[*keys, "piece", "b", "nxt", "entry"]].itertuples(index=False, name=None)
+            for i, (*k, b, nxt, entry) in enumerate(rows):
+                if k != piece:
+                    piece, at = k, entry
+                if b == at:
+                    hit[i], at = True, nxt
+            yield pdf[hit][[*keys, "b"]].rename(columns={"b": "boundary_ms"})
+
+    near_first = todo.repartition(*keys, "piece").sortWithinPartitions(*keys, "piece", "b")
+    picked = near_first.mapInPandas(write, f"{key_schema}, boundary_ms double").where("boundary_ms > 0")
     bare = rec.join(marks.select(*keys).distinct(), keys, "left_anti").withColumn("__n", F.ceil(F.col("__dur") / step_ms))
     even = bare.where("__n > 1").select(
         *keys, F.explode(F.transform(F.sequence(F.lit(1), F.col("__n") - 1), lambda i: i * float(step_ms))).alias("boundary_ms"))

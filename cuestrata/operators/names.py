@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuestrata.functions import text as T
-from cuestrata.session import cut_lineage
+from cuestrata.session import stage
 
 KEYS = ["recording_id"]
+SOLID = T.WS.replace("[", "[^", 1)
+CAPITAL = rf"(?<!{SOLID})[^\p{{L}}\p{{N}}{T.WS[1:-1]}]*(\p{{Lu}}{SOLID}*)"  # a white-space token that begins with a capital
 OUTER = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"  # marks around a word
 
 
-def near_pairs(words: DataFrame, keys: list[str], word: str, edits: Column, max_gap: int = 2) -> DataFrame:
+def near_pairs(words: DataFrame, keys: list[str], word: str, edits: Callable[[Column], Column], max_gap: int = 2) -> DataFrame:
     """Pairs (``a``, ``b``) of distinct words within an edit distance, per group and first letter.
 
-    ``edits`` gives, from the column ``__long`` (length of the longer word), how many
-    edits are allowed; length differences above ``max_gap`` are never similar.
+    ``edits`` gives the number of edits allowed from the length of the longer word;
+    length differences above ``max_gap`` are never similar.
 
     Exact by the pigeonhole principle: cut the shorter word, less its first letter, into
-    ``edits + 1`` pieces and one of them must occur unchanged in the longer word, shifted
-    by at most ``edits``.  Words only meet on such a piece, so no group of names is ever
-    paired with itself.  Shorter words of at most ``edits + 1`` letters have no such
-    pieces and are left out (``_short_pairs``).
+    ``edits + 1`` pieces; for some i, piece i occurs unchanged in the longer word with at
+    most i edits before it and the rest behind it, which leaves few places to look.  Words
+    only meet on such a piece, so no group of names is ever paired with itself.  Words of
+    at most ``edits + 1`` letters have no such pieces and are left out (``_short_pairs``).
     """
     base = words.select(
         *keys, F.col(word).alias("__w"), F.length(word).alias("__len"), F.substring(word, 1, 1).alias("__c"))
@@ -32,40 +36,42 @@ def near_pairs(words: DataFrame, keys: list[str], word: str, edits: Column, max_
         at = F.floor(i * (length - 1) / parts).cast("int")
         return at, F.floor((i + 1) * (length - 1) / parts).cast("int") - at
 
+    allowed = F.array_distinct(F.transform(
+        F.sequence(F.col("__len"), F.col("__len") + max_gap), lambda n: edits(n).cast("int")))
     index = (
-        base.withColumn("__long", F.explode(F.sequence(F.col("__len"), F.col("__len") + max_gap)))
-        .withColumn("__d", edits.cast("int"))
-        .where((F.col("__d") > 0) & (F.col("__long") - F.col("__len") <= F.col("__d")) & (F.col("__len") > F.col("__d") + 1))
+        base.withColumn("__d", F.explode(allowed))
+        .where((F.col("__d") > 0) & (F.col("__len") > F.col("__d") + 1))
         .withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__d"))))
     )
     at, size = piece(F.col("__i"), F.col("__d") + 1, F.col("__len"))
     index = index.select(
-        *keys, "__c", "__long", "__len", "__i", F.col("__w").alias("__short_word"),
+        *keys, "__c", "__d", "__len", "__i", F.col("__w").alias("__short_word"),
         F.substring(F.col("__w"), at + 2, size).alias("__piece"))
 
     probe = (
-        base.withColumnRenamed("__len", "__long").withColumn("__d", edits.cast("int")).where("__d > 0")
+        base.withColumnRenamed("__len", "__long").withColumn("__d", edits(F.col("__long")).cast("int")).where("__d > 0")
         .withColumn("__len", F.explode(F.sequence(
             F.greatest(F.lit(1), F.col("__long") - F.least(F.lit(max_gap), F.col("__d"))), F.col("__long"))))
         .where(F.col("__len") > F.col("__d") + 1)
         .withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__d"))))
     )
     at, size = piece(F.col("__i"), F.col("__d") + 1, F.col("__len"))
-    probe = probe.withColumns({"__size": size, "__low": F.greatest(F.lit(0), at - F.col("__d"))})
-    probe = probe.withColumn(
-        "__high", F.least(F.col("__long") - 1 - F.col("__size"), at + F.col("__d"))).where("__low <= __high")
+    grown, behind = F.col("__long") - F.col("__len"), F.col("__d") - F.col("__i")
+    probe = probe.withColumns({
+        "__size": size, "__low": F.greatest(F.lit(0), at - F.col("__i"), at + grown - behind),
+        "__end": F.least(at + F.col("__i"), at + grown + behind)})
+    probe = probe.withColumn("__high", F.least(F.col("__long") - 1 - F.col("__size"), F.col("__end"))).where("__low <= __high")
     probe = probe.select(
-        *keys, "__c", "__long", "__len", "__i", F.col("__w").alias("__long_word"),
+        *keys, "__c", "__long", "__d", "__len", "__i", F.col("__w").alias("__long_word"),
         F.explode(F.array_distinct(F.transform(
             F.sequence(F.col("__low"), F.col("__high")),
             lambda k: F.substring(F.col("__w"), k + 2, F.col("__size"))))).alias("__piece"))
 
-    met = index.join(probe, [*keys, "__c", "__long", "__len", "__i", "__piece"])
+    met = index.join(probe, [*keys, "__c", "__d", "__len", "__i", "__piece"])
     met = met.where(
         (F.col("__short_word") != F.col("__long_word"))
         & ((F.col("__len") < F.col("__long")) | (F.col("__short_word") < F.col("__long_word"))))
-    met = met.select(*keys, "__short_word", "__long_word", "__long").distinct()
-    met = met.withColumn("__d", edits.cast("int"))
+    met = met.select(*keys, "__short_word", "__long_word", "__long", "__d").distinct()
     return met.withColumn("edit_distance", F.levenshtein("__short_word", "__long_word")).where(
         F.col("edit_distance") <= F.col("__d")
     ).select(
@@ -78,10 +84,9 @@ def name_inconsistency(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Share of name mentions that look like a misspelling of another name."""
     names = cues.select(*keys, F.explode(T.titlecase_tokens("text")).alias("name"))
     counts = names.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("freq"))
-    counts = counts.withColumn("__low", T.ascii_lower("name"))
+    counts = stage(counts.withColumn("__low", T.ascii_lower("name")), "names")
     # similarity of at least 0.78 on a longer length L allows L - ceil(0.78 L) edits
-    allowed = F.floor(F.col("__long") - F.ceil(F.col("__long") * 78 / 100))
-    pairs = near_pairs(counts, keys, "__low", allowed)
+    pairs = near_pairs(counts, keys, "__low", lambda n: F.floor(n - F.ceil(n * 78 / 100)))
     fa = counts.select(*keys, F.col("__low").alias("a"), F.col("freq").alias("__fa"))
     fb = counts.select(*keys, F.col("__low").alias("b"), F.col("freq").alias("__fb"))
     shared = pairs.join(fa, [*keys, "a"]).join(fb, [*keys, "b"]).groupBy(*keys).agg(
@@ -96,11 +101,11 @@ def name_inconsistency(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def name_words(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Capitalised words with their counts, per recording."""
-    word = F.regexp_replace(F.col("__raw"), OUTER, "")
+    found = F.regexp_extract_all(F.col("text"), F.lit(CAPITAL), F.lit(1))
     return (
-        cues.select(*keys, F.explode(F.split(T.collapse("text"), " ")).alias("__raw"))
-        .select(*keys, word.alias("word"))
-        .where((F.octet_length("word") >= 2) & F.col("word").rlike(r"^\p{Lu}"))
+        cues.select(*keys, F.explode(found).alias("__raw"))
+        .select(*keys, F.regexp_replace("__raw", OUTER, "").alias("word"))
+        .where(F.octet_length("word") >= 2)
         .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("freq"))
     )
 
@@ -113,31 +118,30 @@ def name_leaders(cues: DataFrame, keys: list[str] = KEYS, max_rounds: int = 200)
     order-dependent rule is settled in rounds over the neighbour table: a word leads once
     all better-ranked neighbours follow somebody, and follows once one of them leads.
     """
-    words = name_words(cues, keys)
-    two = F.when(F.col("__long") > 0, 2)
-    near = near_pairs(words, keys, "word", two).where("edit_distance >= 1")
+    words = stage(name_words(cues, keys), "words")
+    near = near_pairs(words, keys, "word", lambda n: F.when(n > 0, 2)).where("edit_distance >= 1")
     short = _short_pairs(words, keys)
     near = near.select(*keys, "a", "b").union(short).distinct()
     fa = words.select(*keys, F.col("word").alias("a"), F.col("freq").alias("__fa"))
     fb = words.select(*keys, F.col("word").alias("b"), F.col("freq").alias("__fb"))
     edges = near.join(fa, [*keys, "a"]).join(fb, [*keys, "b"])
     a_first = (F.col("__fa") > F.col("__fb")) | ((F.col("__fa") == F.col("__fb")) & (F.col("a") < F.col("b")))
-    edges = cut_lineage(edges.select(
+    edges = stage(edges.select(
         *keys,
         F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("upper"),
         F.when(a_first, F.col("__fa")).otherwise(F.col("__fb")).alias("upper_freq"),
-        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("lower")))
+        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("lower")), "edges")
 
     lowers = edges.select(*keys, F.col("lower").alias("word")).distinct()
     tops = edges.select(*keys, F.col("upper").alias("word")).distinct().join(lowers, [*keys, "word"], "left_anti")
-    tops = tops.withColumn("role", F.lit("leads"))  # nobody outranks these
+    tops = stage(tops.withColumn("role", F.lit("leads")), "tops")  # nobody outranks these
     state = tops.union(lowers.withColumn("role", F.lit("open")))
     for _ in range(max_rounds):
         seen = edges.join(state.withColumnRenamed("word", "upper"), [*keys, "upper"])
         decided = seen.groupBy(*keys, F.col("lower").alias("word")).agg(
             F.when(F.bool_or(F.col("role") == "leads"), "follows")
             .when(F.bool_and(F.col("role") == "follows"), "leads").otherwise("open").alias("role"))
-        state = cut_lineage(tops.union(decided))
+        state = stage(tops.union(decided), "roles")
         if state.where("role = 'open'").isEmpty():
             break
     else:

@@ -289,10 +289,12 @@ SELECT recording_id, pos, start_ms, end_ms, CASE CAST((recording_id + pos) % 8 A
   WHEN 4 THEN concat('no way. No way! no way. ', text) WHEN 5 THEN concat('the''s () ', text, ' ( )')
   WHEN 6 THEN concat('sakura ', lower(text)) ELSE text END AS text FROM cues"""),
     "snippets": (["cues"], """
-SELECT recording_id, pos, CAST(pos AS BIGINT) * 700 AS start_ms, CAST(pos AS BIGINT) * 700 + 600 + (pos % 7) * 30 AS end_ms, text FROM (
+SELECT recording_id, pos, CAST(pos AS BIGINT) * 1500 AS start_ms, CAST(pos AS BIGINT) * 1500 + 1400 + (pos % 7) * 30 AS end_ms, text FROM (
   SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY line, k) - 1 AS INT) AS pos,
     CASE WHEN k % 11 = 10 THEN '' WHEN k % 6 = 5 THEN w || ' of the' ELSE w END AS text FROM (
-    SELECT recording_id, pos AS line, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS k FROM cues))"""),
+    SELECT recording_id, line, k, array_to_string(ws[3 * k + 1:3 * k + 3], ' ') AS w FROM (
+      SELECT recording_id, line, ws, unnest(range(0, (len(ws) - 1) // 3 + 1)) AS k FROM (
+        SELECT recording_id, pos AS line, string_split(text, ' ') AS ws FROM cues))))"""),
     "japanese": (["cues"], """
 SELECT recording_id, pos, lang, CASE CAST((recording_id + pos) % 6 AS INT) WHEN 0 THEN 'こんにちは。' WHEN 1 THEN concat('私  ', text, ' です')
   WHEN 2 THEN 'え？' WHEN 3 THEN concat('待って', text) WHEN 4 THEN '待って待って' ELSE text END AS text FROM cues"""),

@@ -623,8 +623,7 @@ def _(spark, sf):
 def _(spark, sf):
     found = v.cues(spark, sf).select("recording_id", F.explode(T.titlecase_tokens("text")).alias("w"))
     words = found.select("recording_id", T.ascii_lower("w").alias("w")).distinct()
-    allowed = F.floor(F.col("__long") - F.ceil(F.col("__long") * 78 / 100))
-    return names.near_pairs(words, ["recording_id"], "w", allowed).select("recording_id", "a", "b", "edit_distance")
+    return names.near_pairs(words, ["recording_id"], "w", lambda n: F.floor(n - F.ceil(n * 78 / 100))).select("recording_id", "a", "b", "edit_distance")
 
 
 _CANON = r"""t AS (SELECT recording_id, pos, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw FROM (SELECT recording_id, pos, regexp_extract_all(text, '\s+|\S+') AS p FROM @BASE)),
@@ -853,8 +852,7 @@ def _(spark, sf):
 
 
 def _compact_sql() -> str:
-    toks = o.ascii_tokens("mt")
-    raw = "regexp_extract_all(mt, '[A-Za-z'']+')"
+    toks, raw = "lk", "rk"
     grams = f"""len(list_filter(range(1, len({raw}) - 4), lambda i: len(list_filter(range(i + 3, len({raw}) - 1), lambda j: {raw}[i] = {raw}[j] AND {raw}[i + 1] = {raw}[j + 1] AND {raw}[i + 2] = {raw}[j + 2])) > 0)) > 0"""
     words = lambda c: f"len(regexp_extract_all({c}, '\\S+'))"
     # what happens to row n after the current text: 0 skip, 1 extend, 2 merge, 3 new
@@ -869,14 +867,14 @@ f AS (SELECT recording_id, pos, pos AS head, start_ms AS cs, end_ms AS ce, t AS
    WHEN ct = '' OR regexp_matches(ct || t, '[\[\]]') OR {words('ct')} > 8 OR {words('t')} > 8 OR regexp_matches(t, '^[A-Z]') OR regexp_matches(ct, '[.?!:]$') OR used >= budget THEN 3
    WHEN greatest(1, end_ms - cs) > 6500 OR length(mt) / (greatest(1, end_ms - cs) / 1000.0e0) > 21.0 OR length(mt) > 72 THEN 3
    WHEN {o.repeats(toks)} OR {o.low_function(toks)} OR {grams} THEN 3 ELSE 2 END AS act
-  FROM (SELECT n.recording_id, n.pos, n.start_ms, n.end_ms, n.t, f.head, f.cs, f.ce, f.ct, f.used, f.mine, lim.budget, f.ct || ' ' || n.t AS mt
-   FROM f JOIN n ON n.recording_id = f.recording_id AND n.pos = f.pos + 1 JOIN lim ON lim.recording_id = n.recording_id)))
+  FROM (SELECT *, {o.ascii_tokens('mt')} AS lk, regexp_extract_all(mt, '[A-Za-z'']+') AS rk FROM (SELECT n.recording_id, n.pos, n.start_ms, n.end_ms, n.t, f.head, f.cs, f.ce, f.ct, f.used, f.mine, lim.budget, f.ct || ' ' || n.t AS mt
+   FROM f JOIN n ON n.recording_id = f.recording_id AND n.pos = f.pos + 1 JOIN lim ON lim.recording_id = n.recording_id))))
 SELECT recording_id, head AS pos, arg_max(cs, f.pos) AS start_ms, arg_max(ce, f.pos) AS end_ms, arg_max(ct, f.pos) AS text, CAST(max(mine) AS BIGINT) AS merges FROM f GROUP BY recording_id, head"""
 
 
 @query("compact_cues", o.ctes("snippets") + "," + _compact_sql().replace("FROM cues", "FROM snippets"))
 def _(spark, sf):
-    """Cues cut into short pieces of a few words, so that many may be joined."""
+    """Cues cut into pieces of three words, so that many may be joined."""
     return folds.compact_cues(v.snippets(spark, sf)).select(*ID, "start_ms", "end_ms", "text", "merges")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuestrata.functions import text as T
 from cuestrata.operators.ordered import number_rows
 from cuestrata.session import stage
 
@@ -192,13 +193,15 @@ MESSY = (
 
 
 def snippets(spark, sf) -> DataFrame:
-    """Every word of every cue as a cue of its own, close together; some repeat, some are blank."""
-    c = cues(spark, sf).select("recording_id", F.col("pos").alias("line"), F.posexplode(F.split("text", " ")).alias("k", "w"))
-    word = F.when(F.col("k") % 11 == 10, "").when(F.col("k") % 6 == 5, F.concat_ws(" ", "w", F.lit("of the"))).otherwise(F.col("w"))
-    c = c.withColumn("text", word).drop("w")
+    """Every three words of a cue as a cue of their own, close together; some are blank."""
+    words = F.split("text", " ")
+    c = cues(spark, sf).withColumn("w", T.let(words, lambda ws: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(ws, i * 3 + 1, 3), " ")))).select("recording_id", F.col("pos").alias("line"), F.posexplode("w").alias("k", "w"))
+    piece = F.when(F.col("k") % 11 == 10, "").when(F.col("k") % 6 == 5, F.concat_ws(" ", "w", F.lit("of the"))).otherwise(F.col("w"))
+    c = c.withColumn("text", piece).drop("w")
     c = number_rows(c, ["recording_id"], ["line", "k"], "pos", F.floor(F.col("line") / 8))
-    at = F.col("pos").cast("bigint") * 700
-    return c.select("recording_id", "pos", at.alias("start_ms"), (at + 600 + (F.col("pos") % 7) * 30).alias("end_ms"), "text")
+    at = F.col("pos").cast("bigint") * 1500
+    return c.select("recording_id", "pos", at.alias("start_ms"), (at + 1400 + (F.col("pos") % 7) * 30).alias("end_ms"), "text")
 
 
 def japanese(spark, sf) -> DataFrame:

@@ -64,7 +64,7 @@ def test_near_pairs_equal_all_pairs(spark):
         return row[-1]
 
     want = {(a, b) for a in words for b in words if a < b and dist(a, b) <= 2}
-    near = names.near_pairs(df, ["recording_id"], "word", F.when(F.col("__long") > 0, 2)).select("a", "b")
+    near = names.near_pairs(df, ["recording_id"], "word", lambda n: F.when(n > 0, 2)).select("a", "b")
     short = names._short_pairs(df, ["recording_id"]).select("a", "b")
     assert {tuple(r) for r in near.union(short).collect()} == want
 
