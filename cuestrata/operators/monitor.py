@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuestrata import rules
 from cuestrata.operators.ordered import BLOCK, scan
 
-BLOCK_SECS = 3600
+BLOCK_SECS = 60
 ORDER = ["ts", "event_id"]
 
 
@@ -57,7 +57,7 @@ def adaptive_policy(events: DataFrame, profile: str = "balanced") -> DataFrame:
 
     One event maps the scale x to clamp(a x, lo, hi) and the retry count through a table
     of four entries.  Both kinds of map stay of their kind when chained, so events are
-    chained inside blocks of an hour and the blocks along the run.
+    chained inside blocks of a minute and the blocks along the run.
     """
     df = triggers(events, profile).select(
         "run_id", event_block().alias(BLOCK), F.struct(*ORDER, "slow", "low_quality", "timed_out").alias("__e"))

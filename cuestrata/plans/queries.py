@@ -864,7 +864,7 @@ f AS (SELECT recording_id, pos, pos AS head, start_ms AS cs, end_ms AS ce, t AS
   used + (act = 2)::INT, CASE act WHEN 2 THEN mine + 1 WHEN 3 THEN 0 ELSE mine END FROM (
   SELECT *, CASE WHEN t = '' THEN 0 WHEN greatest(0, start_ms - ce) > 80 THEN 3
    WHEN {o.ascii_lower('ct')} = {o.ascii_lower('t')} AND greatest(0, start_ms - ce) <= 120 AND length(ct) <= 48 THEN 1
-   WHEN ct = '' OR regexp_matches(ct || t, '[\[\]]') OR {words('ct')} > 8 OR {words('t')} > 8 OR regexp_matches(t, '^[A-Z]') OR regexp_matches(ct, '[.?!:]$') OR used >= budget THEN 3
+   WHEN ct = '' OR regexp_matches(ct || t, '[\\[\\]]') OR {words('ct')} > 8 OR {words('t')} > 8 OR regexp_matches(t, '^[A-Z]') OR regexp_matches(ct, '[.?!:]$') OR used >= budget THEN 3
    WHEN greatest(1, end_ms - cs) > 6500 OR length(mt) / (greatest(1, end_ms - cs) / 1000.0e0) > 21.0 OR length(mt) > 72 THEN 3
    WHEN {o.repeats(toks)} OR {o.low_function(toks)} OR {grams} THEN 3 ELSE 2 END AS act
   FROM (SELECT *, {o.ascii_tokens('mt')} AS lk, regexp_extract_all(mt, '[A-Za-z'']+') AS rk FROM (SELECT n.recording_id, n.pos, n.start_ms, n.end_ms, n.t, f.head, f.cs, f.ce, f.ct, f.used, f.mine, lim.budget, f.ct || ' ' || n.t AS mt
