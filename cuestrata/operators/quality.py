@@ -42,14 +42,13 @@ def structural_health(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def _with_limits(df: DataFrame, limits: dict, profile) -> DataFrame:
-    """Join one profile's limits (a name, or a column naming it per row)."""
+    """Add one profile's limits: a name, or a column naming it per row."""
+    if isinstance(profile, str):
+        fixed = {f"__{n}": F.lit(float(v)) for n, v in limits[profile].items()}
+        return df.withColumns({"profile": F.lit(profile), **fixed})
     table = rules.limits_frame(df.sparkSession, limits)
     table = table.select("profile", *[F.col(c).alias(f"__{c}") for c in table.columns[1:]])
-    if isinstance(profile, str):
-        df = df.withColumn("profile", F.lit(profile))
-    else:
-        df = df.withColumn("profile", profile)
-    return df.join(F.broadcast(table), "profile")  # three rows
+    return df.withColumn("profile", profile).join(F.broadcast(table), "profile")  # three rows
 
 
 def structural_gate(health: DataFrame, profile="balanced", scope: str = "recording") -> DataFrame:
