@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from cuestrata.llm.bpe import token_digests
 from cuestrata.llm.common import documents
+from cuestrata.llm.fingerprints import edited_fingerprints
 from cuestrata.llm.secrets import scan_secrets
 from cuestrata.llm.sharding import assign_shards
 
 SHARDS = 40
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 QUERIES = {
+    "op4_bitmap_queue_bpe": lambda spark, d: token_digests(documents(spark, d), RANKS),
     "op6_virtual_slot_shards": lambda spark, d: assign_shards(documents(spark, d), SHARDS),
     "op8_linked_secrets": lambda spark, d: scan_secrets(documents(spark, d)),
+    "op10_winnowed_fingerprints": lambda spark, d: edited_fingerprints(documents(spark, d)),
 }
 SQL: dict[str, str] = {}
