@@ -10,6 +10,7 @@ from cuestrata.llm.fingerprints import edited_fingerprints
 from cuestrata.llm.secrets import scan_secrets
 from cuestrata.llm.sharding import assign_shards
 from cuestrata.llm.substrings import dedup_words_digests
+from cuestrata.llm.suffixes import dedup_bytes_digests
 
 SHARDS = 40
 
@@ -17,6 +18,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES = {
     "op2_super_kmer_dedup": lambda spark, d: dedup_words_digests(documents(spark, d)),
+    "op3_bwt_merge_dedup": lambda spark, d: dedup_bytes_digests(documents(spark, d)),
     "op4_bitmap_queue_bpe": lambda spark, d: token_digests(documents(spark, d), RANKS),
     "op6_virtual_slot_shards": lambda spark, d: assign_shards(documents(spark, d), SHARDS),
     "op8_linked_secrets": lambda spark, d: scan_secrets(documents(spark, d)),
