@@ -6,6 +6,7 @@ import public_tokenizers
 
 from cuestrata.llm.bpe import token_digests
 from cuestrata.llm.common import documents
+from cuestrata.llm.decontaminate import leaks
 from cuestrata.llm.fingerprints import edited_fingerprints
 from cuestrata.llm.secrets import scan_secrets
 from cuestrata.llm.sharding import assign_shards
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_bwt_merge_dedup": lambda spark, d: dedup_bytes_digests(documents(spark, d)),
     "op4_bitmap_queue_bpe": lambda spark, d: token_digests(documents(spark, d), RANKS),
     "op6_virtual_slot_shards": lambda spark, d: assign_shards(documents(spark, d), SHARDS),
+    "op7_simhash_leaks": lambda spark, d: leaks(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
     "op8_linked_secrets": lambda spark, d: scan_secrets(documents(spark, d)),
     "op10_winnowed_fingerprints": lambda spark, d: edited_fingerprints(documents(spark, d)),
 }
