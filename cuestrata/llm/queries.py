@@ -8,6 +8,7 @@ from cuestrata.llm.bpe import token_digests
 from cuestrata.llm.common import documents
 from cuestrata.llm.decontaminate import leaks
 from cuestrata.llm.fingerprints import edited_fingerprints
+from cuestrata.llm.jaccard import jaccard_components
 from cuestrata.llm.language import identify_languages
 from cuestrata.llm.secrets import scan_secrets
 from cuestrata.llm.sharding import assign_shards
@@ -28,6 +29,7 @@ QUERIES = {
     "op6_virtual_slot_shards": lambda spark, d: assign_shards(documents(spark, d), SHARDS),
     "op7_simhash_leaks": lambda spark, d: leaks(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
     "op8_linked_secrets": lambda spark, d: scan_secrets(documents(spark, d)),
+    "op9_rare_first_jaccard": lambda spark, d: jaccard_components(documents(spark, d), 3, 90),
     "op10_winnowed_fingerprints": lambda spark, d: edited_fingerprints(documents(spark, d)),
 }
 SQL: dict[str, str] = {}
