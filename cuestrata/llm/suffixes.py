@@ -126,7 +126,7 @@ def solve_any(bucket: Bucket, unit: Unit) -> Iterator[tuple[np.ndarray, np.ndarr
     count = np.bincount(bucket.string, minlength=len(bucket.packs))
     every = np.flatnonzero(count[bucket.string] > 1)
     yield every, np.zeros(len(every), np.int64), bucket.n[every]
-    strings = np.flatnonzero(bucket.shared)
+    strings = np.flatnonzero(bucket.shared | bucket.loop)
     if len(strings):
         each = bucket.windows[strings]
         mask = repeated_windows([bucket.packs[s] for s in strings], each, unit)

@@ -1,7 +1,7 @@
 """Windows of a fixed length that occur more than once in a corpus: the frame of substring dedup.
 
 1. Each text becomes super-k-mers: runs of consecutive windows that share their minimiser, the
-   place of the smallest hash of ``m`` consecutive tokens in the window.  Only (document,
+   smallest hash of ``m`` consecutive tokens in the window.  A loop of words or bytes is one run.  Only (document,
    start, windows, minimiser) travels at first; equal windows have equal minimisers, so a
    minimiser that occurs once rules its windows out.
 2. What is left travels as one packed string per super-k-mer to the bucket of its minimiser,
@@ -72,7 +72,7 @@ def power_grams(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def super_kmers(values: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
-    """(row, start, windows, key) of each run of windows with one minimiser."""
+    """(row, start, windows, key, loop) of each run of windows with one minimiser; a loop has it at several places."""
     out = []
     for at in range(0, max(len(values) - unit.length + 1, 0), PIECE):
         part = values[at : at + PIECE + unit.length - 1]
@@ -83,13 +83,15 @@ def super_kmers(values: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.n
         there = np.flatnonzero(row[: len(low)] == row[unit.length - 1 :])
         if not len(there):
             continue
-        lows = low[there]
-        new = np.append(True, (lows[1:] != lows[:-1]) | (there[1:] != there[:-1] + 1))
+        place = (low[there] & _PLACE).astype(np.int64)
+        value = hashes[place]
+        new = np.append(True, (value[1:] != value[:-1]) | (there[1:] != there[:-1] + 1))
         begin = np.flatnonzero(new)
+        stop = np.append(begin[1:], len(there))
         start = there[begin]
-        out.append((row[start], at + start - first[row[start]], np.diff(np.append(begin, len(there))), hashes[(lows[begin] & _PLACE).astype(np.int64)].view(np.int64)))
+        out.append((row[start], at + start - first[row[start]], stop - begin, value[begin].view(np.int64), place[stop - 1] != place[begin]))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -104,25 +106,25 @@ def light_runs(texts: DataFrame, unit: Unit) -> DataFrame:
             ids, ths = (batch.column(c).to_numpy() for c in (0, 1))
             buf, off = text_buffer(batch.column(2))
             for a, b in row_slices(off):
-                row, start, n, key = super_kmers(*unit.tokens(buf[off[a] : off[b]], off[a : b + 1] - off[a]), unit)
+                row, start, n, key, loop = super_kmers(*unit.tokens(buf[off[a] : off[b]], off[a : b + 1] - off[a]), unit)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[a + row]), pa.array(ths[a + row]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key)], names=["id", "th", "start", "n", "key"])
+                    pa.array(ids[a + row]), pa.array(ths[a + row]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(loop)], names=["id", "th", "start", "n", "key", "loop"])
 
-    return texts.mapInArrow(run, "id long, th long, start int, n int, key long")
+    return texts.mapInArrow(run, "id long, th long, start int, n int, key long, loop boolean")
 
 
 def repeated_runs(light: DataFrame, across: bool) -> DataFrame:
-    """Runs whose minimiser occurs again (``across``: in another document), and whether it is hot."""
+    """Runs whose minimiser occurs again (``across``: in another document; a loop repeats itself), and whether it is hot."""
     total = light.count()
     limit = min(HOT_ROWS, max(64, total // (2 * partitions(light.sparkSession))))
-    again = F.col("lo") < F.col("hi") if across else F.col("rows") > 1
-    counts = light.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi")).where(again)
+    again = F.col("lo") < F.col("hi") if across else (F.col("rows") > 1) | F.col("loops")
+    counts = light.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("loop").alias("loops")).where(again)
     return light.join(counts.select("key", (F.col("rows") > limit).alias("hot")), "key")
 
 
 def packed(texts: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
-    """Packed string of each run: id, th, start, n, key, pack; words are joined by one space."""
-    lists = runs.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "key")).alias("runs"))
+    """Packed string of each run: id, th, start, n, key, loop, pack; words are joined by one space."""
+    lists = runs.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "key", "loop")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,6 +134,7 @@ def packed(texts: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten()
             start, n, key = (flat.field(i).to_numpy() for i in range(3))
+            loop = flat.field(3)
             for a, b in row_slices(off):
                 raw = buf[off[a] : off[b]].tobytes()
                 lo, hi = bounds[a], bounds[b]
@@ -151,11 +154,11 @@ def packed(texts: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
                     begin = (off[a:b] - off[a])[row] + start[lo:hi]
                     packs = [raw[i:j] for i, j in zip(begin.tolist(), (begin + n[lo:hi] + unit.length - 1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[a + row]), pa.array(ths[a + row]), pa.array(start[lo:hi], pa.int32()), pa.array(n[lo:hi], pa.int32()), pa.array(key[lo:hi]), pa.array(packs, pa.binary())],
-                    names=["id", "th", "start", "n", "key", "pack"])
+                    pa.array(ids[a + row]), pa.array(ths[a + row]), pa.array(start[lo:hi], pa.int32()), pa.array(n[lo:hi], pa.int32()), pa.array(key[lo:hi]), loop.slice(lo, hi - lo), pa.array(packs, pa.binary())],
+                    names=["id", "th", "start", "n", "key", "loop", "pack"])
 
     joined = texts.join(lists, ["id", "th"]).select("id", "th", "text", "runs")
-    return joined.mapInArrow(run, "id long, th long, start int, n int, key long, pack binary")
+    return joined.mapInArrow(run, "id long, th long, start int, n int, key long, loop boolean, pack binary")
 
 
 @dataclass
@@ -170,17 +173,20 @@ class Bucket:
     packs: list[bytes]
     windows: np.ndarray  # of each string
     shared: np.ndarray  # whether a string's minimiser has other strings
+    loop: np.ndarray  # whether a string has its minimiser at several places
 
 
 def _bucket(rows: list[list]) -> Bucket:
-    ids, ths, start, n, keys, packs = rows
+    ids, ths, start, n, keys, loops, packs = rows
     seen: dict[tuple[int, bytes], int] = {}
     string = [seen.setdefault(x, len(seen)) for x in zip(keys, packs, strict=True)]
     strings = list(seen)
     windows = np.zeros(len(strings), np.int64)
     windows[string] = n
+    loop = np.zeros(len(strings), bool)
+    loop[string] = loops
     _, group, size = np.unique(np.array([k for k, _ in strings], np.int64), return_inverse=True, return_counts=True)
-    return Bucket(np.array(ids), np.array(ths), np.array(start), np.array(n), np.array(string), [p for _, p in strings], windows, size[group] > 1)
+    return Bucket(np.array(ids), np.array(ths), np.array(start), np.array(n), np.array(string), [p for _, p in strings], windows, size[group] > 1, loop)
 
 
 def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +201,7 @@ Solve = Callable[[Bucket, Unit], Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 def solved(packs: DataFrame, unit: Unit, solve: Solve) -> DataFrame:
     """Spans of tokens (id, th, start, end) to remove, bucket by bucket; ``solve`` yields members and window ranges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [[] for _ in range(6)], 0
+        held, size = [[] for _ in range(7)], 0
 
         def results(rows):
             bucket = _bucket(rows)
@@ -209,12 +215,12 @@ def solved(packs: DataFrame, unit: Unit, solve: Solve) -> DataFrame:
                 part = batch.slice(at, 1000)
                 for column, values in zip(held, part.columns, strict=True):
                     column.extend(values.to_pylist())
-                size += sum(map(len, held[5][-part.num_rows :]))
+                size += sum(map(len, held[6][-part.num_rows :]))
                 if size >= CHUNK and held[4][0] != held[4][-1]:
                     cut = held[4].index(held[4][-1])  # equal keys stand together
                     yield from results([c[:cut] for c in held])
                     held = [c[cut:] for c in held]
-                    size = sum(map(len, held[5]))
+                    size = sum(map(len, held[6]))
         if held[0]:
             yield from results(held)
 
