@@ -15,9 +15,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,20 +188,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: fl
     read in blocks of ``ITEMS`` items, each a pass over the documents, so what a task holds doesn't
     grow with it.  Extra columns are not looked at.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, similarity double, start long, n_words long, n_windows long"
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    result = None
-    items = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()
-    rows: list[tuple] = []
-
-    def one(block: list[tuple]) -> DataFrame:
-        index = spark.sparkContext.broadcast(Items.build(block, k))
 
+    def one(index: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = index.value
             for batch in batches:
-                ids = batch.column(0)
                 buf, off = text_buffer(batch.column(1))
                 best: dict[tuple[int, int], list] = {}
                 for a, b in row_slices(off):
@@ -214,23 +209,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: fl
                                 seen[:3] = alike, start, size
                 keys = list(best)
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array([r for r, _ in keys], pa.int64())), pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array([best[x][0] for x in keys], pa.float64()),
+                    batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array([best[x][0] for x in keys], pa.float64()),
                     *(pa.array([best[x][c] for x in keys], pa.int64()) for c in (1, 2, 3))], names=["doc_id", "item_id", "similarity", "start", "n_words", "n_windows"])
 
         return source.mapInArrow(run, schema)
 
-    for item in items:
+    return reduce(DataFrame.unionByName, map(one, indexes(benchmark, k)))
+
+
+def indexes(benchmark: DataFrame, k: int) -> Iterator[Broadcast]:
+    """Broadcast index of each block of ``ITEMS`` items, read block by block; one empty index if there are none."""
+    context, rows, blocks = benchmark.sparkSession.sparkContext, [], 0
+    for item in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         rows.append(tuple(item))
         if len(rows) == ITEMS:
-            part = one(rows)
-            result, rows = part if result is None else result.unionByName(part), []
-    if rows or result is None:
-        part = one(rows)
-        result = part if result is None else result.unionByName(part)
-    return result
+            yield context.broadcast(Items.build(rows, k))
+            rows, blocks = [], blocks + 1
+    if rows or not blocks:
+        yield context.broadcast(Items.build(rows, k))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with one doc_id are judged together, null ids stay only if none of them leaks."""
-    found = leaks(docs, benchmark, k, threshold).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found["__leak"]), "left_anti")
+    """``docs`` without the rows that hold a window like a benchmark item; all columns stay, no other row goes."""
+    place = docs.columns.index("text")
+
+    def one(frame: DataFrame, index: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                buf, off = text_buffer(batch.column(place))
+                for a, b in row_slices(off):
+                    clean = np.ones(b - a, bool)
+                    values, first = words(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                    clean[[r for r, *_ in match_slice(index.value, values, first, threshold)]] = False
+                    yield batch.slice(a, b - a).filter(pa.array(clean))
+
+        return frame.mapInArrow(run, frame.schema)
+
+    return reduce(one, indexes(benchmark, k), docs)

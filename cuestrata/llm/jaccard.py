@@ -270,11 +270,11 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     Texts without words are no copies of each other: all of them stay.
     """
     classes = jaccard_classes(docs, k, percent)
-    best = classes.where("n > 0").groupBy("component").agg(F.min(F.struct("id", "th")).alias("k")).select("k.*")
-    alone = classes.where("n = 0").select("id", "th").distinct()
-    chosen = best.union(alone).select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    best = classes.where("n > 0").groupBy("component").agg(F.min(F.struct("id", "th")).alias("k")).select("k.*", F.lit(True).alias("filled"))
+    alone = classes.where("n = 0").select("id", "th", F.lit(False)).distinct()
+    chosen = best.union(alone).toDF("__class_id", "__class_th", "__filled")
     keyed = docs.withColumns({"__own": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__text": text_key()})
-    kept = keyed.join(chosen, (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__th")), "left_semi")
+    kept = keyed.join(chosen, (F.col("__own") == F.col("__class_id")) & (F.col("__text") == F.col("__class_th")))
     # repeated rows share id and hash: one of them is kept
     nth = F.row_number().over(Window.partitionBy("__own", "__text").orderBy("__own"))
-    return kept.withColumn("__nth", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 1).otherwise(nth)).where("__nth = 1").select(*docs.columns)
+    return kept.withColumn("__nth", nth).where("__nth = 1 or not __filled").select(*docs.columns)

@@ -132,15 +132,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans become one mark.
     """
-    spans = spans_by_document(docs).select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "found")
-    keyed = docs.withColumn("__th", text_key())
-    joined = keyed.join(spans, keyed.doc_id.eqNullSafe(spans.s_id) & (F.col("__th") == spans.s_th), "left")
+    spans = spans_by_document(docs).select(F.col("doc_id").alias("__span_id"), F.col("th").alias("__span_th"), F.col("found").alias("__found"))
+    keyed = docs.withColumn("__secret_th", text_key())
+    joined = keyed.join(spans, keyed.doc_id.eqNullSafe(spans["__span_id"]) & (F.col("__secret_th") == spans["__span_th"]), "left")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, x: F.when(
         x["start"] >= a["at"],
         F.struct(x["end"].cast("long").alias("at"), F.concat(a["out"], F.col("text").substr((a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out")),
     ).otherwise(F.struct(F.greatest(a["at"], x["end"].cast("long")).alias("at"), a["out"].alias("out")))
-    cut = F.aggregate("found", state, step, lambda a: F.concat(a["out"], F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
-    clean = F.when(F.col("found").isNotNull(), cut).otherwise(F.col("text"))
+    cut = F.aggregate("__found", state, step, lambda a: F.concat(a["out"], F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
+    clean = F.when(F.col("__found").isNotNull(), cut).otherwise(F.col("text"))
     out = joined.withColumn("text", clean)
-    return out.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -62,7 +62,7 @@ def solve_first(bucket: Bucket, unit: Unit) -> Iterator[tuple[np.ndarray, np.nda
 def spans_of_rows(mask: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of true values that don't cross from one row to the next; ``each`` has the rows' sizes."""
     begin, end = spans_of(mask)
-    cuts = np.cumsum(each)
+    cuts = np.unique(np.cumsum(each))
     inner = cuts[(cuts > 0) & (cuts < len(mask))]
     inner = inner[mask[inner - 1] & mask[inner]]
     return np.sort(np.append(begin, inner)), np.sort(np.append(end, inner))

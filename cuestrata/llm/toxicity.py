@@ -232,6 +232,12 @@ class Linear:
     form: np.ndarray
     bias: float
 
+    def scores(self, votes: np.ndarray, row: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        z = self.bias + np.bincount(row, weights=self.entry[entry], minlength=len(votes))
+        for k in range(len(PATTERNS)):
+            z = z + self.form[k] * (votes >> (LEXICON_VOTERS + k) & 1)
+        return 1 / (1 + np.exp(-z))
+
 
 def train(rows: list[tuple[int, list[int]]], target: np.ndarray, size: int, rounds: int = 300, decay: float = 1e-4) -> Linear:
     """Logistic regression on soft labels: lexicon entries found, and the form of the text; Adam steps over all rows."""
@@ -258,10 +264,8 @@ def score_texts(docs: DataFrame, voters: Voters, linear: Linear) -> DataFrame:
         for batch in batches:
             votes, lists = batch.column(1).to_numpy(), batch.column(2)
             row = by_row(np.diff(lists.offsets.to_numpy()))
-            z = own.bias + np.bincount(row, weights=own.entry[lists.flatten().to_numpy()], minlength=batch.num_rows)
-            for k in range(len(PATTERNS)):
-                z = z + own.form[k] * (votes >> (LEXICON_VOTERS + k) & 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z))), batch.column(1)], names=["doc_id", "score", "votes"])
+            scores = own.scores(votes, row, lists.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), batch.column(1)], names=["doc_id", "score", "votes"])
 
     return voted(docs, voters).mapInArrow(run, "doc_id long, score double, votes int")
 
@@ -301,3 +305,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     voters, linear = fit(docs.where(fold(folds) != held), labels)
     return score_texts(docs, voters, linear).select(
         "doc_id", (fold(folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows scored ``limit`` or more; all columns stay, no other row goes."""
+    voters, linear = fit(docs.where(fold(folds) != held), labels)
+    shared = docs.sparkSession.sparkContext.broadcast((voters, linear))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters, linear = shared.value
+        for batch in batches:
+            buf, off = text_buffer(batch.column(place))
+            for a, b in row_slices(off):
+                votes, row, entry = voters.look(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                yield batch.slice(a, b - a).filter(pa.array(linear.scores(votes, row, entry) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
