@@ -6,8 +6,9 @@
    both in that order, the prefixes, share one, so postings of prefixes are what is shuffled.
 3. In a posting list, sorted by size, classes of compatible size form stars around a hub, so a
    large group of near copies costs as many pairs as it has members.  Pairs pass the length filter, the
-   positional filter and a suffix filter (bounds on the overlap in 16 parts of the hash space),
-   are made distinct and are verified once, on the texts.
+   positional filter and a suffix filter: each set has 256 parity bits over parts of the hash space, and
+   two sets differ in as many shingles at least as their bits do.  What is left is made distinct
+   and verified once, on the texts.
 4. Links make components.  Then the pairs of each posting list that lie in different components are
    verified as well, which no star has done; pairs inside a component can't change it.
 
@@ -28,8 +29,8 @@ from cuestrata.llm.windows import keyed_texts
 from cuestrata.session import scratch
 
 #: Slots of the frequency table; its size doesn't grow with the corpus.
-SLOT_BITS = 18
-PARTS = 16
+SLOT_BITS = 20
+SIGNS = ["s0", "s1", "s2", "s3"]
 SHINGLE, PERCENT = 5, 80
 
 
@@ -89,7 +90,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def set_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """id, th, n (shingles), cid (class: equal sets), prefix (rare first), parts (shingles by part of the hash space)."""
+    """id, th, n (shingles), cid (class: equal sets), prefix (rare first), s0 to s3 (parity of the shingles in 256 parts of the hash space)."""
     counts = slot_counts(texts, k)
     rank = np.minimum(255, 8 * np.log2(counts + 1)).astype(np.uint64) << np.uint64(56)
     shared = texts.sparkSession.sparkContext.broadcast(rank)
@@ -107,15 +108,16 @@ def set_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
                 kept = place < prefix_size(n, percent)[row]
                 sums = np.append(np.uint64(0), np.cumsum(mix(key)))
                 cid = mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)).view(np.int64)
-                parts = np.bincount(row * PARTS + (key & np.uint64(PARTS - 1)).astype(np.int64), minlength=(b - a) * PARTS)
+                signs = np.zeros((b - a, 4), np.uint64)
+                np.bitwise_xor.at(signs, (row, ((key >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (key & np.uint64(63)))
                 bounds = np.append(0, np.cumsum(np.bincount(row[kept], minlength=b - a)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cid),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key[kept].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * PARTS, pa.int32()), pa.array(parts, pa.int32()))],
-                    names=["id", "th", "n", "cid", "prefix", "parts"])
+                    *(pa.array(signs[:, i].copy().view(np.int64)) for i in range(4))],
+                    names=["id", "th", "n", "cid", "prefix", *SIGNS])
 
-    return texts.mapInArrow(run, "id long, th long, n long, cid long, prefix array<long>, parts array<int>")
+    return texts.mapInArrow(run, "id long, th long, n long, cid long, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
 def stars(classes: DataFrame, percent: int) -> DataFrame:
@@ -170,11 +172,16 @@ def may_link(n: Column, at: Column, other_n: Column, other_at: Column, percent:
         & ((100 + percent) * F.least(n - at, other_n - other_at) >= percent * (n + other_n)))
 
 
+def alike(a: str, b: str, percent: int) -> Column:
+    """Suffix filter: the parity bits of two linked sets differ in no more places than the sets may."""
+    differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in SIGNS), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) among distinct candidate pairs of classes: suffix filter, then the exact overlap of both texts."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}"))
-    most = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    side = lambda x: classes.select(F.col("cid").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *SIGNS)))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(alike("a_", "b_", percent)).select("a", "b")
     both = close.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
 
     def sets(column: pa.Array) -> list[np.ndarray]:
@@ -227,10 +234,10 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     texts = keyed_texts(docs)
     rows = stage(set_rows(texts, k, percent), "sets")
     filled = rows.where("n > 0")
-    classes = stage(filled.groupBy("cid").agg(F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
-                    .select("cid", "n", "prefix", "parts", F.col("of.id").alias("id"), F.col("of.th").alias("th")), "classes")
+    classes = stage(filled.groupBy("cid").agg(F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *(F.first(x).alias(x) for x in SIGNS))
+                    .select("cid", "n", "prefix", *SIGNS, F.col("of.id").alias("id"), F.col("of.th").alias("th")), "classes")
     lists = stage(stars(classes, percent), "lists")
-    light = classes.select("cid", "n", "parts")
+    light = classes.select("cid", "n", *SIGNS)
     needed = lists.select("cid").distinct().join(classes.select("cid", "id", "th"), "cid")
     # repeated rows have one text each; any of them serves
     fetched = stage(texts.join(needed, ["id", "th"]).dropDuplicates(["cid"]).select("cid", "text"), "texts")
@@ -243,9 +250,9 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     named = lists.select("token", "n", "at", "cid").join(roots, lists.cid == roots.node, "left").select("token", "n", "at", "cid", F.coalesce("root", "cid").alias("root"))
     sizes = named.groupBy("token", "root").agg(F.count("*").alias("members"))
     mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    open_ = stage(named.join(mixed, "token"), "open")
+    open_ = stage(named.join(mixed, "token").join(light.drop("n"), "cid"), "open")
     left, right = open_.where("root <> main").alias("x"), open_.alias("y")
-    across = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent))
+    across = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent) & alike("x.", "y.", percent))
     more = across.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     later = stage(verify(more, light, fetched, k, percent), "links")
     if not later.isEmpty():
