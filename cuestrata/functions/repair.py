@@ -182,8 +182,7 @@ def repair_short_cues(
     table = rules.rule_frame(pairs.sparkSession, rules.SHORT_CUES) if table is None else table
     known = F.broadcast(table.select(F.col("source").alias("__k"), F.col("target").alias("__hit")))  # a rule table
     out = pairs.withColumn("__k", T.short_cue_key(source_col)).join(known, "__k", "left")
-    hit = F.when(F.length("__k") <= rules.SHORT_CUE_MAX_CHARS, F.col("__hit"))
-    return out.withColumn(target_col, F.coalesce(hit, F.col(target_col))).select(*pairs.columns)
+    return out.withColumn(target_col, F.coalesce("__hit", target_col)).select(*pairs.columns)
 
 
 def normalise_lang(df: DataFrame, code_col: str = "lang", table: DataFrame | None = None) -> DataFrame:

@@ -21,10 +21,13 @@ def _rewrite(original: Column, canonical: Column) -> Column:
 
 
 def phrase_consistency(
-    pairs: DataFrame, keys: list[str] = KEYS, order: list[str] | None = None, lang: str = "en", min_cues: int = 4
+    pairs: DataFrame, keys: list[str] = KEYS, order: list[str] | None = None, lang: str = "en", min_cues: int = 4,
+    source_bytes: tuple[int, int] = (2, 64), target_words: int = 10,
 ) -> DataFrame:
     """Rewrite stray wordings of a source phrase to the most used one.
 
+    A phrase has ``source_bytes`` bytes (least, most) and at most ``target_words`` words in its
+    wording; longer lines are sentences, which are not made alike.
     ``pairs`` has ``src`` and ``tgt`` of each cue.  Adds ``new_tgt`` and ``rewritten``.
     Phrases are counted by (source, wording) first, so a phrase repeated everywhere is
     folded before it is shuffled.
@@ -33,7 +36,7 @@ def phrase_consistency(
         return pairs.withColumns({"new_tgt": F.col("tgt"), "rewritten": F.lit(False)})
     at = F.struct(*(order or ["pos"]))
     df = pairs.withColumns({"__s": T.source_key("src"), "__t": T.target_key("tgt"), "__d": T.collapse("tgt")})
-    usable = (F.octet_length("__s").between(2, 64)) & (F.col("__t") != "") & (T.word_count("__t") <= 10)
+    usable = (F.octet_length("__s").between(*source_bytes)) & (F.col("__t") != "") & (T.word_count("__t") <= target_words)
     wordings = df.where(usable).groupBy(*keys, "__s", "__t").agg(
         F.count(F.lit(1)).alias("__n"), F.min_by("__d", at).alias("__d"))
     top = F.min(F.struct((-F.col("__n")).alias("n"), F.col("__t").alias("t"), F.col("__d").alias("d")))

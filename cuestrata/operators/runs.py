@@ -74,38 +74,43 @@ def run_quality_gate(log: DataFrame) -> DataFrame:
         & ((cues < 80) | (F.coalesce("output_top_line_ratio", F.lit(0.0)) <= 0.30)))
 
 
-def _usable(log: DataFrame, history: int) -> DataFrame:
-    runs = run_quality_gate(run_keys(latest_runs(log, history))).where("success")
+def _usable(log: DataFrame) -> DataFrame:
+    runs = run_quality_gate(run_keys(log)).where("success")
     return runs.select(
         "run_id", "ts", "plan", "elapsed_secs", "audio_duration_secs", "avg_difficulty", "scene_count", "backend", "vram_mb",
         "device_fingerprint", ascii_lower("source_lang").alias("source_lang"), ascii_lower("target_lang").alias("target_lang"),
         "input_kind", "quality_profile", F.coalesce("content_profile_hash", F.lit("none")).alias("content_profile_hash"))
 
 
-def best_run_exact(queries: DataFrame, log: DataFrame, history: int = rules.HISTORY_ROWS) -> DataFrame:
+def best_run_exact(queries: DataFrame, log: DataFrame) -> DataFrame:
     """Fastest good run on the same device, languages, input kind, content and profile.
 
-    The look-up uses the newest ``history`` runs only, which bounds what is broadcast.
+    The whole log given is searched; runs are folded to one per key before the join.
     """
     same = ["device_fingerprint", "source_lang", "target_lang", "input_kind", "quality_profile", "content_profile_hash"]
-    runs = _usable(log, history)
-    best = runs.groupBy(*same).agg(
+    best = _usable(log).groupBy(*same).agg(
         F.min("elapsed_secs").alias("elapsed_secs"),
         F.min_by(F.struct("run_id", "plan"), F.struct("elapsed_secs", "ts", "run_id")).alias("__r"))
     q = queries.withColumns({c: ascii_lower(c) for c in ("source_lang", "target_lang")})
-    return q.join(F.broadcast(best), same).select(
+    return q.join(best, same).select(
         "query_id", F.col("__r.run_id").alias("run_id"), F.col("__r.plan").alias("plan"), "elapsed_secs")
 
 
-def best_run_similar(queries: DataFrame, log: DataFrame, history: int = rules.HISTORY_ROWS) -> DataFrame:
+def best_run_similar(queries: DataFrame, log: DataFrame) -> DataFrame:
     """Closest good run on comparable hardware, where no exact one exists.
 
-    Each query meets the at most ``history`` runs that are broadcast to it, and keeps one.
+    Of runs that are alike in all that the score looks at besides the time, only the fastest can
+    win (ties as near as rounding can bring them), so the log is folded to those before queries meet it.
     """
-    r = _usable(log, history)
+    r = _usable(log)
     hourly = F.when(F.col("audio_duration_secs") > 0, F.col("elapsed_secs") / (F.col("audio_duration_secs") / 3600)).otherwise(
         F.col("elapsed_secs"))
     r = r.withColumn("__hourly", F.when(F.isnan(hourly) | (hourly > WORST), F.greatest(F.lit(1.0), F.col("elapsed_secs"))).otherwise(hourly))
+    kind = ["source_lang", "target_lang", "input_kind", "quality_profile", "backend", "vram_mb", "content_profile_hash", "avg_difficulty", "scene_count"]
+    r = r.groupBy(*kind, "__hourly").agg(F.min(F.struct("ts", "run_id", "plan")).alias("__f")).select(*kind, "__hourly", "__f.*")
+    least = r.groupBy(*[F.col(c).alias(f"__{c}") for c in kind]).agg(F.min("__hourly").alias("__least"))
+    alike = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in kind]
+    r = r.join(least, alike).where(F.col("__hourly") <= F.col("__least") * (1 + 1e-9) + 1e-6).select(*kind, "__hourly", "ts", "run_id", "plan")
     r = r.select([F.col(c).alias(f"r_{c}") for c in r.columns])
     q = queries.withColumns({c: ascii_lower(c) for c in ("source_lang", "target_lang", "backend")})
     c = F.col
@@ -115,7 +120,7 @@ def best_run_similar(queries: DataFrame, log: DataFrame, history: int = rules.HI
         # a target without a backend only meets runs with none or an unknown one
         & (F.coalesce("backend", F.lit("none")) == F.when(c("backend").isNull(), F.coalesce("r_backend", F.lit("none"))).otherwise(c("r_backend")))
         & F.coalesce(c("r_vram_mb") <= F.floor(c("vram_mb") * 6 / 5), F.lit(True)))
-    pairs = q.join(F.broadcast(r), match)
+    pairs = q.join(r, match)
     most = F.greatest("r_scene_count", "scene_count", F.lit(1))
     spare = c("vram_mb") - c("r_vram_mb")
     vram = F.when(spare < 0, -spare / 256.0 * 8).when(spare >= 0, -F.least(F.lit(20.0), spare / 1024.0))
@@ -131,11 +136,11 @@ def best_run_similar(queries: DataFrame, log: DataFrame, history: int = rules.HI
     return best.select("query_id", F.col("__r.run_id").alias("run_id"), F.col("__r.plan").alias("plan"), "score")
 
 
-def best_run(queries: DataFrame, log: DataFrame, history: int = rules.HISTORY_ROWS) -> DataFrame:
+def best_run(queries: DataFrame, log: DataFrame) -> DataFrame:
     """Exact look-up first, similar look-up for the queries it leaves."""
-    exact = best_run_exact(queries, log, history).select("query_id", "run_id", "plan", F.lit("exact").alias("matched"))
+    exact = best_run_exact(queries, log).select("query_id", "run_id", "plan", F.lit("exact").alias("matched"))
     rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    near = best_run_similar(rest, log, history).select("query_id", "run_id", "plan", F.lit("similar").alias("matched"))
+    near = best_run_similar(rest, log).select("query_id", "run_id", "plan", F.lit("similar").alias("matched"))
     return exact.unionByName(near)
 
 

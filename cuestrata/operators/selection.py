@@ -19,13 +19,15 @@ KEYS = ["recording_id"]
 
 
 # ------------------------------------------------------------------ top-k, argmin
-def worst_scenes(scored: DataFrame, k: int, keys: list[str] = KEYS, tie: str = "scene_id") -> DataFrame:
-    """The ``k`` scenes furthest below their floor, per recording.
+def worst_scenes(scored: DataFrame, k: int | None, keys: list[str] = KEYS, tie: str = "scene_id") -> DataFrame:
+    """The ``k`` scenes furthest below their floor, per recording; all of them, without ``rank``, if ``k`` is None.
 
     Spark keeps ``k`` rows per recording and task before it shuffles them.
     """
     order = Window.partitionBy(*keys).orderBy((F.col("floor") - F.col("score")).desc(), tie)
     low = scored.where(F.col("score") < F.col("floor"))
+    if k is None:
+        return low
     return low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -100,9 +102,9 @@ def _slice_metrics(df: DataFrame, groups: list[str], name: str) -> DataFrame:
 
 
 def accept_better_scenes(
-    old: DataFrame, retry: DataFrame, k: int = 6, profile: str = "strict", lang: str = "en", keys: list[str] = KEYS
+    old: DataFrame, retry: DataFrame, k: int | None = None, profile: str = "strict", lang: str = "en", keys: list[str] = KEYS
 ) -> DataFrame:
-    """Take the retried text of the ``k`` worst scenes where it is clearly better.
+    """Take the retried text of low scenes (all, or the ``k`` worst) where it is clearly better.
 
     ``retry`` has (keys, pos, text).  A scene is taken if it has the same number of cues,
     a score above the old one + 0.01, a penalty at most the old one - 0.01 and no more
@@ -134,7 +136,7 @@ def _retry_score(retry: DataFrame, keys: list[str], tag: str) -> DataFrame:
 
 
 def accept_better_source(
-    cues: DataFrame, retry: DataFrame, k: int = 4, profile: str = "strict", keys: list[str] = KEYS
+    cues: DataFrame, retry: DataFrame, k: int | None = None, profile: str = "strict", keys: list[str] = KEYS
 ) -> DataFrame:
     """Splice in retried source scenes that score more than 0.03 better and are sound.
 
@@ -153,8 +155,8 @@ def accept_better_source(
     return splice(cues.select(*keys, "pos", *payload), good.select(*keys, "span_start", "span_end"), taken, keys)
 
 
-def source_retry_spans(cues: DataFrame, k: int = 4, keys: list[str] = KEYS, bad_timing: bool = False) -> DataFrame:
-    """The ``k`` worst source scenes longer than 0.15 s, with the padded time to redo."""
+def source_retry_spans(cues: DataFrame, k: int | None = None, keys: list[str] = KEYS, bad_timing: bool = False) -> DataFrame:
+    """The low source scenes (all, or the ``k`` worst) longer than 0.15 s, with the padded time to redo."""
     split = scene_split(cues.select(*keys, "pos", "start_ms", "end_ms"), "gap", keys, bad_timing)
     split = split.where(F.col("scene_id").isNotNull())
     where = split.groupBy(*keys, "scene_id").agg(
@@ -168,7 +170,7 @@ def source_retry_spans(cues: DataFrame, k: int = 4, keys: list[str] = KEYS, bad_
 
 
 def accept_better_spans(
-    cues: DataFrame, spans: DataFrame, retry: DataFrame, k: int = 8, profile: str = "strict", keys: list[str] = KEYS
+    cues: DataFrame, spans: DataFrame, retry: DataFrame, k: int | None = None, profile: str = "strict", keys: list[str] = KEYS
 ) -> DataFrame:
     """Splice in retried low-confidence spans that gain in confidence and in structure.
 
@@ -237,11 +239,12 @@ def compact_if_not_worse(cues: DataFrame, profile: str = "strict", lang: str = "
 def enforce_gate(df: DataFrame, gate: DataFrame, profile: str = "strict", keys: list[str] = KEYS) -> DataFrame:
     """Add ``status`` to rows by their recording's ``pathological`` flag.
 
-    ``strict``: passed or rejected.  Other profiles: passed or warned, all kept.
+    ``strict``: passed or rejected.  Other profiles: passed or warned, all kept.  Only a
+    sound verdict passes: a null one (unreadable times) and a missing one count as bad.
     """
     bad = "rejected" if profile == "strict" else "warned"
     flags = gate.select(*keys, "pathological")
-    status = F.when(F.coalesce("pathological", F.lit(False)), bad).otherwise("passed")
+    status = F.when(F.coalesce("pathological", F.lit(True)), bad).otherwise("passed")
     return df.join(flags, keys, "left").withColumn("status", status).drop("pathological")
 
 

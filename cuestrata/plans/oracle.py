@@ -134,8 +134,8 @@ SELECT o_orderkey AS run_id, o_orderdate AS ts,
        CASE WHEN o_orderkey % 7 = 0 THEN 0.5e0 ELSE 0.9e0 END AS output_non_empty_ratio,
        (o_orderkey % 50) / 100.0e0 AS output_top_line_ratio FROM orders"""),
     "history": (["run_log"], "SELECT * FROM run_log ORDER BY ts DESC, run_id DESC LIMIT 400"),
-    "usable": (["history"], """
-SELECT * FROM history WHERE success AND coalesce(output_non_empty_ratio, 1.0) >= 0.80
+    "usable": (["run_log"], """
+SELECT * FROM run_log WHERE success AND coalesce(output_non_empty_ratio, 1.0) >= 0.80
   AND (coalesce(output_cues, 0) < 80 OR coalesce(output_top_line_ratio, 0.0) <= 0.30)"""),
     "run_queries": ([], """
 SELECT o_orderkey AS query_id, substr(o_orderpriority, 1, 1) AS source_lang, 'en' AS target_lang, o_orderstatus AS input_kind,

@@ -205,7 +205,6 @@ def _(spark, sf):
 
 
 # ======================================================================== timing
-_PARSED = """ SELECT recording_id, pos, start_ms, end_ms, true AS timing_ok FROM cues"""
 
 
 @query("parse_timing", o.ctes("cues") + f""" SELECT recording_id, pos, CASE WHEN pos % 7 = 6 OR pos % 5 = 4 THEN NULL ELSE start_ms END AS start_ms,
@@ -967,7 +966,7 @@ LEFT JOIN (SELECT pk.recording_id, pk.pos FROM pk JOIN ok USING (recording_id, s
 def _(spark, sf):
     c = v.cues(spark, sf)
     retry = c.select(*ID, F.when((F.col("recording_id") + F.col("pos")) % 3 == 0, "the cat is on the mat").otherwise(F.col("text")).alias("text"))
-    return selection.accept_better_scenes(c, retry).select(*ID, "accepted", "text")
+    return selection.accept_better_scenes(c, retry, 6).select(*ID, "accepted", "text")
 
 
 def _retry_rows(windows, key):
@@ -983,8 +982,8 @@ def _retry_rows(windows, key):
 @query("accept_better_source")
 def _(spark, sf):
     c = v.cues(spark, sf)
-    retry = _retry_rows(selection.source_retry_spans(c), "scene_id")
-    return selection.accept_better_source(c, retry)
+    retry = _retry_rows(selection.source_retry_spans(c, 4), "scene_id")
+    return selection.accept_better_source(c, retry, 4)
 
 
 @query("accept_better_spans")
@@ -994,7 +993,7 @@ def _(spark, sf):
     spans = confidence.low_confidence_spans(scored, "strict")
     retry = _retry_rows(selection.confidence_retry_windows(c, spans), "span_start").withColumns({
         "score": F.lit(0.9), "compression_ratio": F.lit(1.0), "low_word_prob_ratio": F.lit(0.0)})
-    return selection.accept_better_spans(c, spans, retry)
+    return selection.accept_better_spans(c, spans, retry, 8)
 
 
 @query("enforce_gate", o.ctes("semantic") + """ SELECT recording_id, CASE WHEN anomaly_ratio >= 0.35 OR malformed_ratio >= 0.25 OR low_function_ratio >= 0.35 OR adjacent_repeat_ratio >= 0.30
@@ -1265,7 +1264,7 @@ def _(spark, sf):
     return files.resolve_source(c, "strict", keys=["doc_id"]).select("doc_id", "kind", "status")
 
 
-@query("flag_placeholder", "SELECT doc_id, contains(lower(substr(CASE WHEN doc_id % 4 = 0 THEN concat(substr(text, 1, doc_id * 30), 'AI Processing...', text) ELSE text END, 1, 4096)), 'ai processing...') AS placeholder FROM documents")
+@query("flag_placeholder", "SELECT doc_id, contains(lower(CASE WHEN doc_id % 4 = 0 THEN concat(substr(text, 1, doc_id * 30), 'AI Processing...', text) ELSE text END), 'ai processing...') AS placeholder FROM documents")
 def _(spark, sf):
     d = v.table(spark, sf, "documents").withColumn("text", F.expr(
         "CASE WHEN doc_id % 4 = 0 THEN concat(substr(text, 1, CAST(doc_id * 30 AS INT)), 'AI Processing...', text) ELSE text END"))

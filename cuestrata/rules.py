@@ -40,7 +40,6 @@ SEMANTIC_LIMITS = {
 TRANSLATION_FLOOR = {"fast": 0.58, "balanced": 0.68, "strict": 0.84}
 CONFIDENCE_FLOOR = {"fast": 0.42, "balanced": 0.50, "strict": 0.56}
 MONITOR_FLOOR = {"fast": 0.55, "balanced": 0.65, "strict": 0.75}
-CONTEXT_RADIUS = {"fast": 1, "balanced": 2, "strict": 5}
 TAG_BIAS = {"fast": -0.04, "balanced": 0.0, "strict": 0.05}
 SPEED_GPU = {"fast": 22.0, "balanced": 16.0, "strict": 10.0}
 SPEED_CPU = {"fast": 1.4, "balanced": 1.0, "strict": 0.8}
@@ -138,7 +137,6 @@ SHORT_CUES = [
     ("ありがとうございます", "Thank you."), ("行くか", "Let's go."),
     ("せーの", "Ready..."), ("せーのー", "Ready..."),
 ]
-SHORT_CUE_MAX_CHARS = 10
 SHORT_CUE_STRIP = "。、！？!?….,，・ー-～~「」『』（）()　"
 EXACT_STRIP = "。！？"
 LANG_CODES = [
@@ -154,7 +152,6 @@ LANG_CODES = [
     ("sv", "swe_Latn"), ("swe", "swe_Latn"),
 ]
 PLACEHOLDER_MARKS = ["(simulated) subtitle #", "ai processing..."]
-PLACEHOLDER_PREFIX = 4096
 
 
 def rule_frame(spark: SparkSession, rows, names=("source", "target")) -> DataFrame:

@@ -54,9 +54,3 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so a lost executor costs no replay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

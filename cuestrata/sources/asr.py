@@ -80,4 +80,4 @@ def segments_json(merged: DataFrame, keys: list[str] = ("recording_id",), page_r
 def write_segments(merged: DataFrame, path: str, keys: list[str] = ("recording_id",)) -> None:
     """Write the JSON documents, one folder per recording."""
     keys = list(keys)
-    segments_json(merged, keys).select(*keys, F.col("json").alias("value")).write.partitionBy(*keys).mode("overwrite").text(path)
+    segments_json(merged, keys).select(*keys, F.col("json").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").text(path)

@@ -47,11 +47,8 @@ def resolve_source(
 
 
 def flag_placeholder(files: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``placeholder``: the head of the file carries a stock mark.
-
-    The head is 4096 characters, where a byte-based reader would take 4096 bytes.
-    """
-    head = ascii_lower(F.substring(text_col, 1, rules.PLACEHOLDER_PREFIX))
+    """Add ``placeholder``: the text carries a stock mark, wherever it stands."""
+    head = ascii_lower(text_col)
     hit = F.lit(False)
     for mark in rules.PLACEHOLDER_MARKS:
         hit = hit | head.contains(mark)

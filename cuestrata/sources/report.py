@@ -49,4 +49,4 @@ def report_json(cues: DataFrame, lang: str = "en", profile: str = "balanced", ke
 
 def write_report(cues: DataFrame, path: str, **options) -> None:
     keys = list(options.get("keys", KEYS))
-    report_json(cues, **options).select(*keys, F.col("json").alias("value")).write.partitionBy(*keys).mode("overwrite").text(path)
+    report_json(cues, **options).select(*keys, F.col("json").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").text(path)
