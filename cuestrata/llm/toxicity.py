@@ -62,12 +62,14 @@ def features_of(word: bytes) -> list[tuple[int, bytes]]:
 
 def mine(docs: DataFrame, known: DataFrame) -> list[tuple[int, bytes, float]]:
     """Lexicon (kind, bytes, log odds), strongest first, from the labelled rows given."""
-    texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= MINED_BYTES)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = texts.join(known, "doc_id").select("text", "toxic")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= MINED_BYTES))
+    marked = keyed.select("doc_id", "hash").join(known, "doc_id")
     counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    part = F.pmod(F.xxhash64("text", F.lit("mined")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    part = F.pmod(F.xxhash64("hash", F.lit("mined")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("toxic") == 1, min(1.0, MINED / max(1, counts.get(1, 0)))).otherwise(min(1.0, CLEAN_TIMES * MINED / max(1, counts.get(0, 0))))
-    chosen = marked.where(part < rate).distinct()
+    # one row of each chosen text: as many as MINED and CLEAN_TIMES say, about, however large the table is
+    picked = marked.where(part < rate).groupBy("hash", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    chosen = keyed.join(F.broadcast(picked), ["doc_id", "hash"]).select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +88,7 @@ def mine(docs: DataFrame, known: DataFrame) -> list[tuple[int, bytes, float]]:
                 pa.array([found[1][x] for x in keys], pa.int64()), pa.array([found[0][x] for x in keys], pa.int64())], names=["kind", "entry", "toxic", "clean"])
 
     sums = chosen.mapInArrow(run, "kind int, entry binary, toxic long, clean long").groupBy("kind", "entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sizes = chosen.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"), F.count(F.when(F.col("toxic") == 0, 1)).alias("clean")).first()
+    sizes = picked.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"), F.count(F.when(F.col("toxic") == 0, 1)).alias("clean")).first()
     odds = F.log(((F.col("toxic") + 0.5) / (sizes.toxic + 1.0)) / ((F.col("clean") + 0.5) / (sizes.clean + 1.0)))
     share = (sizes.toxic + 0.5) / (sizes.toxic + sizes.clean + 1.0)
     every = F.col("toxic") + F.col("clean")
@@ -280,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, Linear]:
     known = known_labels(labels)
     lexicon = mine(docs, known)
     voters = Voters.build(lexicon)
-    counted = voted(docs, voters).join(known, "doc_id", "left").groupBy("votes").agg(
+    counted = voted(docs, voters).select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
         F.count(F.when(F.col("toxic").isNull(), 1)).alias("open"), F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"))
     table = counted.collect()  # at most 2 ** VOTERS rows
     if not table or not lexicon:
