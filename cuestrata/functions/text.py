@@ -288,20 +288,25 @@ def add_token_f1(df: DataFrame, left: str, right: str) -> DataFrame:
 def repeated_ngram(df: DataFrame, keys: list[str], n: int = 3, text_col: str = "text") -> DataFrame:
     """Flag rows holding an n-gram that occurs again without overlapping itself.
 
-    N-grams are exploded and grouped, so the work is linear in the text even where a
-    line has tens of thousands of tokens.  ``keys`` identify a row.
+    The n-grams of a row are sorted together with their places and compared with the first
+    of their kind, inside the row: nothing is shuffled, and a line of tens of thousands of
+    tokens costs a sort.  ``keys`` identify a row.
     """
-    toks = tokens(text_col)
-    grams = (
-        df.select(*keys, toks.alias("__t"))
-        .where(F.size("__t") >= 2 * n)
-        .select(*keys, "__t", F.explode(F.sequence(F.lit(1), F.size("__t") - n + 1)).alias("__i"))
-        .select(*keys, "__i", F.concat_ws(" ", *[F.element_at("__t", F.col("__i") + k) for k in range(n)]).alias("__g"))
-    )
-    spread = grams.groupBy(*keys, "__g").agg((F.max("__i") - F.min("__i")).alias("__d"))
-    hits = spread.groupBy(*keys).agg(F.max(F.col("__d") >= n).alias("repeated_ngram"))
-    out = df.join(hits, keys, "left")
-    return out.withColumn("repeated_ngram", F.coalesce("repeated_ngram", F.lit(False)))
+    def test(toks):
+        places = F.sequence(F.lit(1), F.size(toks) - n + 1)
+        grams = F.array_sort(F.transform(places, lambda i: F.struct(
+            F.concat_ws(" ", *[F.element_at(toks, i + k) for k in range(n)]).alias("g"), i.alias("i"))))
+        start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("i"), F.lit(False).alias("hit"))
+
+        def step(acc, x):
+            same = acc["g"].eqNullSafe(x["g"])
+            return F.struct(
+                x["g"].alias("g"), F.when(same, acc["i"]).otherwise(x["i"]).alias("i"),
+                (acc["hit"] | (same & (x["i"] - acc["i"] >= n))).alias("hit"))
+
+        return F.when(F.size(toks) >= 2 * n, F.aggregate(grams, start, step)["hit"]).otherwise(False)
+
+    return df.withColumn("repeated_ngram", F.coalesce(let(tokens(text_col), test), F.lit(False)))
 
 
 def text_features(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -107,21 +107,17 @@ def content_map_from_cues(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         "estimated_cues")
 
 
-def content_hash(content: DataFrame, scenes: DataFrame, keys: list[str] = KEYS, head: int = 32) -> DataFrame:
-    """Hash of the rounded content fields and of the first ``head`` scenes.
+def content_hash(content: DataFrame, scenes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Hash of the rounded content fields and of all scenes.
 
-    The scene limit is part of the definition.  Scenes are ranked per recording, which
-    Spark trims to ``head`` rows before the shuffle.
+    Each scene is hashed with its start, and the hashes are summed, so a recording of any
+    length is folded before the shuffle and no scene is left out.
     """
-    from pyspark.sql import Window
-
     tens = lambda c: F.round(F.col(c) * 10).cast("bigint")
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("scene_start_ms"))
-    first = scenes.withColumn("__r", rank).where(F.col("__r") <= head).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        "__r", F.round(F.col("duration_ms") / 100).cast("bigint").alias("d"), cents("speech_density").alias("s"),
-        cents("difficulty").alias("h")))).alias("__s"))
+    scene = F.xxhash64(tens("scene_start_ms"), F.round(F.col("duration_ms") / 100).cast("bigint"), cents("speech_density"), cents("difficulty"))
+    every = scenes.groupBy(*keys).agg(F.sum(scene.cast("decimal(38,0)")).alias("__s"))
     fields = F.struct(
         tens("total_secs"), tens("speech_secs"), cents("avg_difficulty"), cents("speaker_complexity"),
         cents("energy_variance"), cents("overlap_risk"), "scene_count", "__s")
-    return content.join(first, keys, "left").select(*keys, F.xxhash64(fields).alias("content_hash"))
+    return content.join(every, keys, "left").select(*keys, F.xxhash64(fields).alias("content_hash"))

@@ -67,13 +67,14 @@ def context_tags(cues: DataFrame, profile: str = "balanced", keys: list[str] = K
 
 
 def map_text_batches(
-    windows: DataFrame, fn: Callable[[list, list, list, list], list], min_hard: int = 8
+    windows: DataFrame, fn: Callable[[list, list, list, list], list]
 ) -> DataFrame:
     """Rewrite ``text`` with an external batch function.
 
     ``fn(texts, prev, next, tags)`` returns one text per row; an empty or missing answer
-    keeps the source.  Within a batch, rows with a hard tag are sent as a group of their
-    own when there are at least ``min_hard`` of them.  Rows keep their number and order.
+    keeps the source.  Rows with a hard tag are sent in groups of their own, however many
+    there are, so how rows are dealt out doesn't decide which groups exist.  Rows keep
+    their number and order.
     """
     hard_tags = set(rules.HARD_TAGS)
 
@@ -82,7 +83,7 @@ def map_text_batches(
             lists = {c: [[] if v is None else list(v) for v in pdf[c]] for c in ("prev_lines", "next_lines", "context_tags")}
             source = pdf["text"].tolist()
             hard = [i for i, t in enumerate(lists["context_tags"]) if hard_tags & {str(x).strip().lower() for x in t}]
-            picked = set(hard) if len(hard) >= min_hard else set()
+            picked = set(hard)
             out = list(source)
             for group in ([i for i in range(len(source)) if i not in picked], sorted(picked)):
                 if not group:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuestrata import rules
@@ -1203,15 +1204,19 @@ def _(spark, sf):
     return out.select("recording_id", "start_ms", "end_ms", *r6("avg_logprob"), "no_speech_prob", "compression_ratio")
 
 
-@query("segments_json", o.ctes("asr_segments") + """ SELECT recording_id, count(*) AS segments, round(min(start_ms) / 1000.0e0, 6) AS first_start, true AS ordered FROM asr_segments GROUP BY 1""")
+@query("segments_json", o.ctes("asr_segments") + """ SELECT recording_id, round(start_ms / 1000.0e0, 6) AS start_s, round(end_ms / 1000.0e0, 6) AS end_s, round(avg_logprob, 6) AS avg_logprob,
+ round(no_speech_prob, 6) AS no_speech_prob, round(compression_ratio, 6) AS compression_ratio,
+ true AS in_order FROM asr_segments""")
 def _(spark, sf):
-    """The printed documents, opened again."""
+    """The printed lines, read again; ``in_order``: a line's number is not below the number of segments that start earlier."""
     segs = _chunk_segments(spark, sf)
-    pages = asr.segments_json(asr.merge_chunk_segments(segs, v.chunk_offsets(segs)))
-    parsed = F.from_json("json", asr.DOCUMENT)["segments"]
-    starts = F.transform(parsed, lambda s: s["start"])
-    return pages.groupBy("recording_id").agg(
-        F.sum(F.size(parsed)).alias("segments"), F.round(F.min(F.array_min(starts)), 6).alias("first_start"), F.bool_and(starts == F.array_sort(starts)).alias("ordered"))
+    lines = asr.segments_json(asr.merge_chunk_segments(segs, v.chunk_offsets(segs)))
+    read = lines.select("recording_id", "n", F.from_json("json", asr.SEGMENT).alias("s"))
+    earlier = F.rank().over(Window.partitionBy("recording_id").orderBy("s.start")) - 1
+    equal = F.count(F.lit(1)).over(Window.partitionBy("recording_id", "s.start"))
+    return read.withColumn("in_order", (F.col("n") >= earlier) & (F.col("n") < earlier + equal)).select(
+        "recording_id", F.round("s.start", 6).alias("start_s"), F.round("s.end", 6).alias("end_s"),
+        *[F.round(f"s.{c}", 6).alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio")], "in_order")
 
 
 @query("read_silence_log", o.ctes("gaps") + ", m AS (SELECT * FROM gaps) SELECT recording_id, start_ms, end_ms FROM m")
@@ -1236,13 +1241,21 @@ def _(spark, sf):
     return out.select("recording_id", "cue_count", "scene_count", *r6("top_line_ratio", "overlap_ratio", "non_empty_ratio", *quality.SEMANTIC), "passed", count.alias("warnings"))
 
 
-@query("report_json", o.ctes("scored") + " SELECT recording_id, count(*) AS scenes, sum((score >= floor)::INT)::BIGINT AS passing FROM scored GROUP BY 1")
+@query("report_json", o.ctes("scored", "semantic") + f""" SELECT recording_id, scene_id AS line, n AS cues, round(score, 6) AS score, round(floor, 6) AS floor, score >= floor AS passed FROM scored
+UNION ALL SELECT recording_id, 0, cue_count, round(anomaly_ratio, 6), round(malformed_ratio, 6), NOT (anomaly_ratio >= 0.25 OR malformed_ratio >= 0.15 OR low_function_ratio >= 0.22
+ OR adjacent_repeat_ratio >= 0.18 OR scene_low_ratio >= 0.30 OR name_inconsistency >= 0.12) FROM semantic""")
 def _(spark, sf):
-    """Scenes counted inside the printed reports."""
+    """The printed lines, read again: scenes, and of the report two ratios and the verdict."""
     out = report.report_json(v.cues(spark, sf))
-    scenes_of = F.from_json(F.get_json_object("json", "$.quality.per_scene"), "array<struct<scene:bigint,pass:boolean>>")
-    return out.select("recording_id", scenes_of.alias("s")).groupBy("recording_id").agg(
-        F.sum(F.size("s")).cast("bigint").alias("scenes"), F.sum(F.size(F.filter("s", lambda x: x["pass"]))).cast("bigint").alias("passing"))
+    scene = F.from_json("json", "scene bigint, cue_count bigint, score double, floor double, pass boolean")
+    whole = F.from_json("json", "quality struct<cue_count:bigint,semantic:struct<anomaly_ratio:double,malformed_ratio:double>>, verdict struct<pass:boolean>")
+    read = out.select("recording_id", "line", scene.alias("s"), whole.alias("w"))
+    first = F.col("line") == 0
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return read.select(
+        "recording_id", "line", pick("w.quality.cue_count", "s.cue_count").alias("cues"),
+        F.round(pick("w.quality.semantic.anomaly_ratio", "s.score"), 6).alias("score"),
+        F.round(pick("w.quality.semantic.malformed_ratio", "s.floor"), 6).alias("floor"), pick("w.verdict.pass", "s.pass").alias("passed"))
 
 
 @query("pending", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")
@@ -1283,11 +1296,12 @@ def _(spark, sf):
         "user_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n")
 
 
-@query("live_dedup", "SELECT user_id, event_type, count(*) >= 1 AS seen FROM events GROUP BY 1, 2")
+@query("live_dedup", "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY 1, 2")
 def _(spark, sf):
+    """Rows left of each user and event type: the table is one micro-batch, so exactly one."""
     s = live.live_dedup(v.event_stream(spark, sf), ["user_id", "event_type"], watermark="10 minutes")
     out = live.run_to_table(s.select("user_id", "event_type"), spark, "live-dedup")
-    return out.groupBy("user_id", "event_type").agg((F.count(F.lit(1)) >= 1).alias("seen"))
+    return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("live_monitor", o.ctes("chunk_events") + "," + _STATE + """ SELECT s.run_id, e.n AS events, sum(s.success::INT)::BIGINT AS completed FROM st s

@@ -62,22 +62,25 @@ def merge_chunk_segments(segments: DataFrame, chunks: DataFrame, keys: list[str]
         "avg_logprob", "no_speech_prob", "compression_ratio")
 
 
-def segments_json(merged: DataFrame, keys: list[str] = ("recording_id",), page_rows: int = 5000) -> DataFrame:
-    """JSON documents of merged segments in order of start: (keys, ``page``, ``json``).
+def segments_json(merged: DataFrame, keys: list[str] = ("recording_id",)) -> DataFrame:
+    """One JSON line per merged segment, numbered in order of start: (keys, ``n``, ``json``).
 
-    A recording is one page, or several of ``page_rows`` segments if it is longer.
+    The form is the same for a recording of any length, and no document grows with it.
     """
     keys = list(keys)
     order = [c for c in ("start_ms", "chunk_index", "end_ms", "avg_logprob") if c in merged.columns]
-    at = number_rows(merged, keys, order, "__n", F.floor(F.col("start_ms") / BLOCK_MS))
-    item = F.struct("__n", F.struct(
+    at = number_rows(merged, keys, order, "n", F.floor(F.col("start_ms") / BLOCK_MS))
+    line = F.struct(
         (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"),
-        "avg_logprob", "no_speech_prob", "compression_ratio").alias("s"))
-    pages = at.groupBy(*keys, F.floor(F.col("__n") / page_rows).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    return pages.select(*keys, "page", F.to_json(F.struct(F.transform("__s", lambda s: s["s"]).alias("segments"))).alias("json"))
+        "avg_logprob", "no_speech_prob", "compression_ratio")
+    return at.select(*keys, "n", F.to_json(line).alias("json"))
 
 
 def write_segments(merged: DataFrame, path: str, keys: list[str] = ("recording_id",)) -> None:
-    """Write the JSON documents, one folder per recording."""
+    """Write the JSON lines, one folder per recording; recordings written before stay.
+
+    Lines are in order within a file, and files of a long recording sort by name.
+    """
     keys = list(keys)
-    segments_json(merged, keys).select(*keys, F.col("json").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").text(path)
+    lines = segments_json(merged, keys).repartitionByRange(*keys, "n").sortWithinPartitions(*keys, "n")
+    lines.select(*keys, F.col("json").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").text(path)

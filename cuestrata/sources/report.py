@@ -28,25 +28,25 @@ def quality_report(cues: DataFrame, lang: str = "en", profile: str = "balanced",
         F.when(F.col("pathological"), summary).otherwise("quality gate passed").alias("reason"))
 
 
-def report_json(cues: DataFrame, lang: str = "en", profile: str = "balanced", keys: list[str] = KEYS, page_scenes: int = 1000) -> DataFrame:
-    """Nested JSON (keys, ``page``, ``json``): the report and its scenes.
+def report_json(cues: DataFrame, lang: str = "en", profile: str = "balanced", keys: list[str] = KEYS) -> DataFrame:
+    """JSON lines (keys, ``line``, ``json``): line 0 is the report, line k its k-th scene.
 
-    The scenes of one recording come in pages of ``page_scenes``, so that no document
-    grows with the longest recording; page 0 is always there.
+    The form is the same for a recording of any length, and no document grows with it.
     """
     flat = quality_report(cues, lang, profile, keys)
-    scenes = scene_quality(cues, keys).withColumn("page", F.floor((F.col("scene_id") - 1) / page_scenes))
-    item = F.struct(F.col("scene_id").alias("scene"), F.col("n").alias("cue_count"), "difficulty", "score", "floor", F.col("passed").alias("pass"))
-    paged = scenes.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(item)).alias("per_scene"))
     body = F.struct(
         F.lit("1.0").alias("version"), F.lit(lang).alias("target_language"), F.lit(profile).alias("quality_profile"),
         F.struct(
             "cue_count", F.struct("top_line_ratio", "overlap_ratio", "non_empty_ratio").alias("structural"),
-            F.struct(*SEMANTIC, "scene_count").alias("semantic"), "per_scene").alias("quality"),
+            F.struct(*SEMANTIC, "scene_count").alias("semantic")).alias("quality"),
         "warnings", F.struct(F.col("passed").alias("pass"), "reason").alias("verdict"))
-    return flat.join(paged, keys, "left").select(*keys, F.coalesce("page", F.lit(0)).alias("page"), F.to_json(body).alias("json"))
+    item = F.struct(F.col("scene_id").alias("scene"), F.col("n").alias("cue_count"), "difficulty", "score", "floor", F.col("passed").alias("pass"))
+    head = flat.select(*keys, F.lit(0).cast("bigint").alias("line"), F.to_json(body).alias("json"))
+    return head.unionByName(scene_quality(cues, keys).select(*keys, F.col("scene_id").cast("bigint").alias("line"), F.to_json(item).alias("json")))
 
 
 def write_report(cues: DataFrame, path: str, **options) -> None:
+    """Write the JSON lines, one folder per recording; recordings written before stay."""
     keys = list(options.get("keys", KEYS))
-    report_json(cues, **options).select(*keys, F.col("json").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").text(path)
+    lines = report_json(cues, **options).repartitionByRange(*keys, "line").sortWithinPartitions(*keys, "line")
+    lines.select(*keys, F.col("json").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").text(path)
