@@ -60,3 +60,16 @@ def test_content_hash_sees_every_scene(spark):
     whole = spark.sql("SELECT 1L AS recording_id, 100D AS total_secs, 50D AS speech_secs, 0.3D AS avg_difficulty, 0D AS speaker_complexity, 0D AS energy_variance, 0D AS overlap_risk, 100L AS scene_count")
     one, again, two = (content.content_hash(whole, s).first().content_hash for s in (scenes, scenes.repartition(7), other))
     assert one == again != two
+
+
+def test_files_with_either_line_end_and_rejects(spark, tmp_path):
+    body = "1\n00:00:01,000 --> 00:00:02,000\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\nBye\n\n\n00:00:05,000 --> 00:00:06,000\nNo index\n"
+    for name, text in {"lf": body, "crlf": body.replace("\n", "\r\n"), "empty": "", "blank": "\r\n \r\n", "lone": "1\r\n\r\n2\r\n"}.items():
+        (tmp_path / f"{name}.srt").write_bytes(text.encode())
+    rows = {}
+    for r in srt.read_srt(spark, str(tmp_path)).collect():
+        rows.setdefault(r.recording_id.rsplit("/", 1)[1], []).append((r.pos, r.idx, r.timing, r.text))
+    assert set(rows) == {"lf.srt", "crlf.srt"} and sorted(rows["lf.srt"]) == sorted(rows["crlf.srt"])
+    assert [(p, i, t) for p, i, _, t in sorted(rows["crlf.srt"])] == [(0, 1, "Hello\nthere"), (1, 2, "Bye"), (2, 3, "No index")]
+    bad = {r.recording_id.rsplit("/", 1)[1]: r.reason for r in srt.read_srt_rejects(spark, str(tmp_path)).collect()}
+    assert bad == {"blank.srt": "no cues", "lone.srt": "missing timing line"}
