@@ -21,7 +21,8 @@ HEADLINE = [
     "cue_confidence", "low_confidence_spans", "align_by_time", "evaluate", "phrase_consistency", "canonical_names",
     "repair_contractions", "collapse_token_loops", "context_windows", "context_tags", "stitch_chunks", "compact_cues",
     "worst_scenes", "first_passing", "accept_better_scenes", "splice", "knowledge_snapshot", "best_run_similar",
-    "chunk_monitor", "adaptive_policy", "read_srt", "live_scenes",
+    "chunk_monitor", "adaptive_policy", "read_srt", "live_scenes", "clean_translation", "compact_if_not_worse",
+    "accept_better_spans", "report_json",
 ]
 
 

@@ -23,7 +23,8 @@ def ctes(*parts: str) -> str:
         deps, body = BLOCKS[name]
         for d in deps:
             need(d)
-        done[name] = f"{name} AS ({body})"
+        once = "MATERIALIZED " if name == "aligned" else ""  # a large join that several parts read
+        done[name] = f"{name} AS {once}({body})"
 
     for p in parts:
         need(p)
