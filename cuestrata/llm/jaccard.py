@@ -4,7 +4,7 @@
    occurs in all documents, then by hash: one order for the whole corpus.
 2. Documents with equal sets are one class.  Two classes can only link if the first shingles of
    both in that order, the prefixes, share one, so postings of prefixes are what is shuffled.
-3. In a posting list, sorted by size, classes of compatible size form stars around a hub, so a
+3. In a posting list, classes of compatible size form stars around a hub, so a
    large group of near copies costs as many pairs as it has members.  Pairs pass the length filter, the
    positional filter and a suffix filter: each set has 256 parity bits over parts of the hash space, and
    two sets differ in as many shingles at least as their bits do.  What is left is made distinct
@@ -17,6 +17,7 @@ Together that decides every pair that could join two components, so components a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,49 +121,46 @@ def set_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, th long, n long, cid long, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
-def stars(classes: DataFrame, percent: int) -> DataFrame:
-    """Members of posting lists that have a partner of compatible size: token, n, at, cid, and their hub's n, at, cid.
+def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """token, n, at (place of the token in the prefix), cid: members of posting lists that have a partner of compatible size.
 
-    A list is streamed in the order of sizes with its present hub in hand, whatever its length.
+    A list is streamed in the order of sizes, whatever its length, as neighbours show whether there is a partner.
     """
-    names = ["token", "n", "at", "cid", "hub_n", "hub_at", "hub_cid"]
+    names = ["token", "n", "at", "cid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, held = None, None  # hub: token, n, at, cid; held: the last row, and whether its predecessor is a partner
-
+        held, known = None, False  # the last row, and whether the row before it is a partner
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
+            columns = [c.to_numpy() for c in batch.columns]
             if held is not None:
-                columns = [np.append(h, c) for h, c in zip(held[0], columns, strict=True)]
-            token, n, at, cid = columns
+                columns = [np.append(h, c) for h, c in zip(held, columns, strict=True)]
+            token, n = columns[:2]
+            if not len(token):
+                continue
             near = np.flatnonzero((token[1:] == token[:-1]) & (n[:-1] * 100 >= percent * n[1:]))
             partner = np.zeros(len(token), bool)
             partner[near] = partner[near + 1] = True
-            if held is not None:
-                partner[0] |= held[1]
-            last = len(token) - 1
-            held = [c[-1:] for c in columns], bool(partner[last])
-            partner[last] = False  # decided with the next batch
-            hub, out = _deal(hub, np.flatnonzero(partner), columns, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
-        if held is not None and held[1]:
-            _, out = _deal(hub, np.array([0]), held[0], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
-
-    postings = classes.select("n", "cid", F.posexplode("prefix").alias("at", "token")).select("token", "n", F.col("at").cast("long"), "cid")
+            partner[0] |= known
+            held, known = [c[-1:] for c in columns], bool(partner[-1])
+            partner[-1] = False  # decided with the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(c[partner]) for c in columns], names=names)
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+
+    postings = classes.select("n", "cid", F.posexplode("prefix").alias("at", "token")).select("token", "n", F.col("at").cast("long").alias("at"), "cid")
     dealt = postings.repartition(partitions(classes.sparkSession), "token").sortWithinPartitions("token", "n", "cid")
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return dealt.mapInArrow(run, "token long, n long, at long, cid long")
 
 
-def _deal(hub, rows: np.ndarray, columns: list[np.ndarray], percent: int):
-    """Hub of each row given: the first of its token whose size is compatible."""
-    own = [c[rows].tolist() for c in columns]
-    hubs = []
-    for row in zip(*own, strict=True):
-        if hub is None or hub[0] != row[0] or hub[1] * 100 < percent * row[1]:
-            hub = row
-        hubs.append(hub)
-    return hub, [*own, *([h[i] for h in hubs] for i in (1, 2, 3))]
+def stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Each member of a list with the hub of its list and range of sizes (hub_n, hub_at, hub_cid).
+
+    The hub has the fewest rare shingles before the token: what is rare in a group of near copies are
+    edits, so the hub is near the group's common source.
+    """
+    ranged = lists.withColumn("range", F.floor(F.log("n") / math.log(100 / percent))) if percent < 100 else lists.withColumn("range", F.col("n"))
+    hubs = ranged.groupBy("token", "range").agg(F.min(F.struct("at", "n", "cid")).alias("h"))
+    return ranged.join(hubs, ["token", "range"]).select("n", "at", "cid", F.col("h.n").alias("hub_n"), F.col("h.at").alias("hub_at"), F.col("h.cid").alias("hub_cid"))
 
 
 def may_link(n: Column, at: Column, other_n: Column, other_at: Column, percent: int) -> Column:
@@ -236,13 +234,13 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     filled = rows.where("n > 0")
     classes = stage(filled.groupBy("cid").agg(F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *(F.first(x).alias(x) for x in SIGNS))
                     .select("cid", "n", "prefix", *SIGNS, F.col("of.id").alias("id"), F.col("of.th").alias("th")), "classes")
-    lists = stage(stars(classes, percent), "lists")
+    lists = stage(posting_lists(classes, percent), "lists")
     light = classes.select("cid", "n", *SIGNS)
     needed = lists.select("cid").distinct().join(classes.select("cid", "id", "th"), "cid")
     # repeated rows have one text each; any of them serves
     fetched = stage(texts.join(needed, ["id", "th"]).dropDuplicates(["cid"]).select("cid", "text"), "texts")
 
-    first = lists.where((F.col("cid") != F.col("hub_cid")) & may_link(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), percent))
+    first = stars(lists, percent).where((F.col("cid") != F.col("hub_cid")) & may_link(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), percent))
     tried = stage(first.select(F.least("cid", "hub_cid").alias("a"), F.greatest("cid", "hub_cid").alias("b")).distinct(), "tried")
     links = stage(verify(tried, light, fetched, k, percent), "links")
     roots = components(links)
