@@ -110,13 +110,15 @@ def name_words(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
-def name_leaders(cues: DataFrame, keys: list[str] = KEYS, max_rounds: int = 200) -> DataFrame:
+def name_leaders(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Map each minor spelling to its leader: (keys, ``word``, ``canonical``).
 
     Words are ranked by (count desc, word asc).  Taken in that order, a word within two
     edits of an earlier leader follows the first such leader, otherwise it leads.  That
     order-dependent rule is settled in rounds over the neighbour table: a word leads once
-    all better-ranked neighbours follow somebody, and follows once one of them leads.
+    all better-ranked neighbours follow somebody, and follows once one of them leads.  A
+    round sees only the pairs that are still open, and settles one word at least, so
+    there is no limit on rounds.
     """
     words = stage(name_words(cues, keys), "words")
     near = near_pairs(words, keys, "word", lambda n: F.when(n > 0, 2)).where("edit_distance >= 1")
@@ -134,18 +136,19 @@ def name_leaders(cues: DataFrame, keys: list[str] = KEYS, max_rounds: int = 200)
 
     lowers = edges.select(*keys, F.col("lower").alias("word")).distinct()
     tops = edges.select(*keys, F.col("upper").alias("word")).distinct().join(lowers, [*keys, "word"], "left_anti")
-    tops = stage(tops.withColumn("role", F.lit("leads")), "tops")  # nobody outranks these
-    state = tops.union(lowers.withColumn("role", F.lit("open")))
-    for _ in range(max_rounds):
-        seen = edges.join(state.withColumnRenamed("word", "upper"), [*keys, "upper"])
+    fresh = stage(tops.withColumn("role", F.lit("leads")), "tops")  # nobody outranks these
+    state, pending = fresh, edges.select(*keys, "upper", "lower")
+    while True:
+        seen = pending.join(fresh.withColumnRenamed("word", "upper"), [*keys, "upper"], "left")
         decided = seen.groupBy(*keys, F.col("lower").alias("word")).agg(
-            F.when(F.bool_or(F.col("role") == "leads"), "follows")
-            .when(F.bool_and(F.col("role") == "follows"), "leads").otherwise("open").alias("role"))
-        state = stage(tops.union(decided), "roles")
-        if state.where("role = 'open'").isEmpty():
+            F.when(F.coalesce(F.bool_or(F.col("role") == "leads"), F.lit(False)), "follows")
+            .when(F.count(F.when(F.col("role").isNull(), 1)) == 0, "leads").alias("role")).where("role is not null")
+        fresh = stage(decided, "roles")
+        if fresh.isEmpty():
             break
-    else:
-        raise RuntimeError(f"names not settled after {max_rounds} rounds")
+        state = state.union(fresh)
+        still = seen.where("role is null").join(fresh.withColumnRenamed("word", "lower"), [*keys, "lower"], "left_anti")
+        pending = stage(still.select(*keys, "upper", "lower"), "open")
     leaders = state.where("role = 'leads'").select(*keys, F.col("word").alias("upper"))
     followers = state.where("role = 'follows'").select(*keys, F.col("word").alias("lower"))
     ranked = edges.join(leaders, [*keys, "upper"], "left_semi").join(followers, [*keys, "lower"], "left_semi")
