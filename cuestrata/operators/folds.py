@@ -280,32 +280,35 @@ def compact_cues(
 
 # ------------------------------------------------------------- chunk boundaries
 def pick_boundaries(
-    gaps: DataFrame, recordings: DataFrame, step_ms: int = 300_000, keys: list[str] = KEYS, stretch: int = 64
+    gaps: DataFrame, recordings: DataFrame, step_ms: int | str = 300_000, keys: list[str] = KEYS, stretch: int = 64
 ) -> DataFrame:
     """Greedy chunk boundaries: from each, go on to the silence nearest one step ahead.
 
     The next boundary depends on the present one alone, so it is looked up for every gap
     at once.  Chains of ``stretch`` steps are then followed inside bounded pieces of the
     timeline, the pieces are linked through their entry points, and the chosen chains
-    are written out.  Recordings without gaps are cut evenly.
+    are written out.  Recordings without gaps are cut evenly.  ``step_ms`` is one length for
+    all, or names the column of ``recordings`` that has each one's.
     """
-    rec = recordings.select(*keys, F.col("duration_ms").cast("double").alias("__dur"))
+    step = F.col(step_ms) if isinstance(step_ms, str) else F.lit(step_ms)
+    rec = recordings.select(*keys, F.col("duration_ms").cast("double").alias("__dur"), step.cast("double").alias("__step"))
     marks = stage(gaps.select(*keys, F.col("centroid_ms").cast("double").alias("b")).distinct().join(rec, keys), "marks")
-    starts = marks.select(*keys, "__dur").distinct().withColumn("b", F.lit(0.0))
-    froms = marks.select(*keys, "b", "__dur").unionByName(starts).distinct()
-    asks = froms.where(F.col("b") + step_ms < F.col("__dur") - step_ms * 0.3).select(
-        *keys, (F.col("b") + step_ms).alias("t"), F.lit(1).alias("q"), "b", "__dur")
-    usable = marks.where(F.col("b") < F.col("__dur") - step_ms * 0.2).select(
-        *keys, F.col("b").alias("t"), F.lit(0).alias("q"), "b", "__dur")
+    starts = marks.select(*keys, "__dur", "__step").distinct().withColumn("b", F.lit(0.0))
+    froms = marks.select(*keys, "b", "__dur", "__step").unionByName(starts).distinct()
+    step = F.col("__step")
+    asks = froms.where(F.col("b") + step < F.col("__dur") - step * 0.3).select(
+        *keys, (F.col("b") + step).alias("t"), F.lit(1).alias("q"), "b", "__step")
+    usable = marks.where(F.col("b") < F.col("__dur") - step * 0.2).select(
+        *keys, F.col("b").alias("t"), F.lit(0).alias("q"), "b", "__step")
     mark = F.when(F.col("q") == 0, F.col("t"))
     near = scan(usable.unionByName(asks), keys, ["t", "q", "b"],
                 {"lo": ("last_before", mark), "hi": ("next_after", mark)}, F.floor(F.col("t") / BLOCK_MS)).where("q = 1")
-    least = F.col("b") + step_ms * 0.3
+    least = F.col("b") + step * 0.3
     lo, hi = F.when(F.col("lo") >= least, F.col("lo")), F.when(F.col("hi") >= least, F.col("hi"))
     nxt = F.when(lo.isNull() | (hi - F.col("t") < F.col("t") - lo), F.coalesce(hi, lo)).otherwise(lo)
     hops = near.select(*keys, "b", nxt.alias("nxt")).where("nxt is not null")
-    hops = stage(froms.select(*keys, "b").join(hops, [*keys, "b"], "left").withColumn(
-        "piece", F.floor(F.col("b") / (float(step_ms) * stretch))), "hops")
+    hops = stage(froms.select(*keys, "b", "__step").join(hops, [*keys, "b"], "left").withColumn(
+        "piece", F.floor(F.col("b") / (step * stretch))).drop("__step"), "hops")
 
     key_schema = ", ".join(f"`{k}` {recordings.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -339,7 +342,7 @@ def pick_boundaries(
             yield pdf[hit][[*keys, "b"]]
 
     on_path = links.mapInPandas(follow, f"{key_schema}, b double")
-    chosen = on_path.withColumn("piece", F.floor(F.col("b") / (float(step_ms) * stretch))).withColumnRenamed("b", "entry")
+    chosen = on_path.join(rec, keys).select(*keys, F.col("b").alias("entry"), F.floor(F.col("b") / (step * stretch)).alias("piece"))
     todo = hops.join(chosen, [*keys, "piece"])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -357,7 +360,7 @@ def pick_boundaries(
 
     near_first = todo.repartition(*keys, "piece").sortWithinPartitions(*keys, "piece", "b")
     picked = near_first.mapInPandas(write, f"{key_schema}, boundary_ms double").where("boundary_ms > 0")
-    bare = rec.join(marks.select(*keys).distinct(), keys, "left_anti").withColumn("__n", F.ceil(F.col("__dur") / step_ms))
+    bare = rec.join(marks.select(*keys).distinct(), keys, "left_anti").withColumn("__n", F.ceil(F.col("__dur") / step))
     even = bare.where("__n > 1").select(
-        *keys, F.explode(F.transform(F.sequence(F.lit(1), F.col("__n") - 1), lambda i: i * float(step_ms))).alias("boundary_ms"))
+        *keys, F.explode(F.transform(F.sequence(F.lit(1), F.col("__n") - 1), lambda i: i * step)).alias("boundary_ms"))
     return picked.unionByName(even)

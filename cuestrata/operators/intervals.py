@@ -126,14 +126,16 @@ def chunk_target_secs(recordings: DataFrame) -> DataFrame:
 
 
 def plan_chunks(
-    boundaries: DataFrame, recordings: DataFrame, target_ms: int = 300_000, overlap: int = 2_000,
+    boundaries: DataFrame, recordings: DataFrame, target_ms: int | str = 300_000, overlap: int = 2_000,
     keys: list[str] = KEYS,
 ) -> DataFrame:
     """Chunks around chosen boundaries, overlapping their neighbours by ``overlap`` ms.
 
     Recordings up to 1.3 times the target stay whole.  Boundaries are in ms and unique.
+    ``target_ms`` is one length for all, or names the column of ``recordings`` that has each one's.
     """
-    short = F.col("duration_ms") <= 1.3 * target_ms
+    target = F.col(target_ms) if isinstance(target_ms, str) else F.lit(target_ms)
+    short = F.col("duration_ms") <= 1.3 * target
     rec = recordings.select(*keys, F.col("duration_ms").cast("double").alias("__dur"), short.alias("__whole"))
     cuts = boundaries.join(rec.where("not __whole"), keys).select(
         *keys, F.col("boundary_ms").cast("double").alias("__to"), "__dur", F.lit(False).alias("__end"))

@@ -9,7 +9,7 @@ from cuestrata import rules
 from cuestrata.functions import repair as R
 from cuestrata.functions import text as T
 from cuestrata.operators import (
-    confidence, consistency, content, context, evaluate as ev, folds, intervals, joins, monitor, names, quality, runs, scenes, selection, timing)
+    confidence, consistency, content, context, evaluate as ev, folds, intervals, joins, monitor, names, process, quality, runs, scenes, selection, timing)
 from cuestrata.plans import oracle as o
 from cuestrata.plans import views as v
 from cuestrata.sources import asr, files, report, silence, srt
@@ -1005,6 +1005,23 @@ def _(spark, sf):
     return selection.enforce_gate(c.select("recording_id").distinct(), gate, "fast")
 
 
+# =================================================================== whole paths
+def _echo(texts, before, after, tags):
+    """Stands for a model: the text, spaced out and closed with a stop."""
+    return [f"  {t} ." for t in texts]
+
+
+@query("process")
+def _(spark, sf):
+    return process.process(v.cues(spark, sf), _echo)[0].select(*ID, "text", "status")
+
+
+@query("plan_recordings")
+def _(spark, sf):
+    rec = v.recordings(spark, sf)
+    return process.plan_recordings(intervals.complement(v.speech(spark, sf), rec, min_ms=400), rec)
+
+
 # ======================================================================= run log
 @query("knowledge_snapshot", o.ctes("run_log") + """, k AS (SELECT *, concat('cpu', CASE WHEN cpu_cores <= 4 THEN 4 WHEN cpu_cores <= 8 THEN 8 WHEN cpu_cores <= 12 THEN 12 WHEN cpu_cores <= 16 THEN 16 WHEN cpu_cores <= 24 THEN 24 ELSE 32 END,
   '-ram', CAST(ceil(total_ram_mb / 2048) * 2048 AS BIGINT), '-gpu', gpu_backend, '-vram', CAST(ceil(gpu_vram_mb / 1024) * 1024 AS BIGINT)) AS device FROM run_log),

@@ -73,3 +73,25 @@ def test_files_with_either_line_end_and_rejects(spark, tmp_path):
     assert [(p, i, t) for p, i, _, t in sorted(rows["crlf.srt"])] == [(0, 1, "Hello\nthere"), (1, 2, "Bye"), (2, 3, "No index")]
     bad = {r.recording_id.rsplit("/", 1)[1]: r.reason for r in srt.read_srt_rejects(spark, str(tmp_path)).collect()}
     assert bad == {"blank.srt": "no cues", "lone.srt": "missing timing line"}
+
+
+def test_whole_path_from_cues_to_status(spark):
+    from cuestrata.operators.process import process
+
+    rows = cues(spark, 1, n=12).unionByName(cues(spark, 2, n=300, null_at=3))
+    out, told = process(rows, lambda texts, before, after, tags: [t.upper() for t in texts], "strict")
+    got = {(r.recording_id, r.status) for r in out.select("recording_id", "status").distinct().collect()}
+    assert (2, "rejected") in got and {r for r, _ in got} == {1, 2} and out.count() == 312
+    assert [r.recording_id for r in told.select("recording_id").collect()] == [1]
+    assert all("LINE 1" in r.text.upper() for r in out.where("recording_id = 1").collect())
+
+
+def test_chunks_by_each_recordings_own_target(spark):
+    from cuestrata.operators.process import plan_recordings
+
+    rec = spark.createDataFrame([(1, 1_000_000, 0.9), (2, 8_000_000, 0.5), (3, 100_000, None)], "recording_id bigint, duration_ms bigint, avg_difficulty double")
+    gaps = spark.range(1, 800).selectExpr("1 + id % 2 AS recording_id", "id * 10000D AS centroid_ms").where("recording_id = 2 OR centroid_ms < 1000000")
+    chunks = plan_recordings(gaps, rec).collect()
+    sizes = {r: [c.end_ms - c.start_ms for c in chunks if c.recording_id == r] for r in (1, 2, 3)}
+    assert len(sizes[3]) == 1 and len(sizes[1]) in range(6, 9) and len(sizes[2]) in range(20, 25)
+    assert max(c.end_ms for c in chunks if c.recording_id == 2) == 8_000_000
