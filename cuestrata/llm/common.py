@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuestrata.session import scratch
+
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 21
 #: Stands for a null doc_id where an order is needed: such rows come after all others.
@@ -33,6 +35,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Written below the shared folder, well compressed, and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow text column and the offsets of its rows; null counts as empty."""
     column = column.fill_null("" if pa.types.is_string(column.type) else b"")

@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuestrata.llm.common import LAST_ID, grams, lower_ascii, mix, partitions, row_slices, span_hashes, text_buffer, text_key, word_spans
+from cuestrata.llm.common import LAST_ID, forget, grams, lower_ascii, mix, partitions, row_slices, span_hashes, stage, text_buffer, text_key, word_spans
 from cuestrata.llm.windows import keyed_texts
-from cuestrata.session import scratch
 
 #: Slots of the frequency table; its size doesn't grow with the corpus.
 SLOT_BITS = 20
@@ -35,13 +34,6 @@ SIGNS = ["s0", "s1", "s2", "s3"]
 SHINGLE, PERCENT = 5, 80
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Written below the shared folder and read again, compressed well."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of all k-word shingles, A-Z as a-z; a row of fewer words has one for the whole sequence."""
     low = lower_ascii(buf)
@@ -204,8 +196,8 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perce
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each component, by alternating large and small stars until nothing changes.
 
-    Every round is a written table, so a lost executor costs no replay; rounds grow with the
-    logarithm of the longest chain.
+    Every round is a written table, so a lost executor costs no replay, and the last one is what the
+    result reads; rounds grow with the logarithm of the longest chain.
     """
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -215,7 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         out = large.join(small, "a").select("a", "b", "m")
-        edges = stage(out.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(out.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, edges = edges, stage(out.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(out.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -255,6 +248,7 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     later = stage(verify(more, light, fetched, k, percent), "links")
     if not later.isEmpty():
         roots = components(roots.toDF("a", "b").union(later))
+    forget(lists, fetched, tried, links, open_, later)
 
     owner = classes.select("cid", "id").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "id", F.coalesce("root", "cid").alias("root"))
     least = owner.groupBy("root").agg(F.min("id").alias("component"))

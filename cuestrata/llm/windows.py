@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuestrata.llm.common import (
-    LAST_ID, by_row, byte_values, grams, mix, multiplier, partitions, row_slices, sliding_min, span_hashes, text_buffer, text_key, text_or_empty, word_spans,
+    LAST_ID, by_row, byte_values, forget, mix, multiplier, partitions, row_slices, sliding_min, span_hashes, stage, text_buffer, text_key, text_or_empty, word_spans,
 )
-from cuestrata.session import stage
 
 #: Super-k-mers of one minimiser that a single task compares at most.
 HOT_ROWS = 2000
@@ -51,7 +50,7 @@ class Unit:
 
 
 def power_grams(values: np.ndarray, n: int) -> np.ndarray:
-    """Like ``grams`` for large n: doubles the length as far as it can."""
+    """Hash of each n consecutive values: doubles the length as far as it can."""
     if len(values) < n:
         return np.zeros(0, np.uint64)
     whole, parts, have = values, [], 1
@@ -265,7 +264,9 @@ def hot_spans(packs: DataFrame, unit: Unit, across: bool) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, unit: Unit, across: bool, solve: Solve) -> DataFrame:
     """id, th, spans: the token spans of each document that repeated windows cover."""
-    runs = stage(repeated_runs(stage(light_runs(texts, unit), "light"), across), "runs")
+    light = stage(light_runs(texts, unit), "light")
+    runs = stage(repeated_runs(light, across), "runs")
+    forget(light)
     spans = solved(packed(texts, runs.where(~F.col("hot")), unit), unit, solve)
     hot = runs.where("hot")
     if not hot.isEmpty():
@@ -288,6 +289,3 @@ def span_mask(lists: pa.Array, first: np.ndarray) -> np.ndarray:
     np.add.at(edge, first[row] + flat.field(0).to_numpy(), 1)
     np.add.at(edge, first[row] + flat.field(1).to_numpy(), -1)
     return np.cumsum(edge)[:-1] > 0
-
-
-__all__ = ["Bucket", "Unit", "grams", "keyed_texts", "repeated_spans", "span_mask", "spans_of", "with_spans"]
