@@ -157,6 +157,11 @@ def merge_expr(left: Column | str, right: Column | str) -> Column:
     return F.when(a == "", b).when(b == "", a).otherwise(F.concat_ws(" ", a, b))
 
 
+def _own(table: DataFrame) -> DataFrame:
+    """The library's rule tables are short and are broadcast; a caller's table is left to the optimiser."""
+    return F.broadcast(table)
+
+
 def dictionary_translate(
     df: DataFrame, source_lang: Column | str = "ja", target_lang: str = "en", text_col: str = "text",
     exact: DataFrame | None = None, inline=rules.INLINE_PHRASES,
@@ -164,12 +169,12 @@ def dictionary_translate(
     """Translate by dictionary: a whole line if known, else ordered in-line replacements."""
     if target_lang.lower() != "en":
         return df
-    exact = rules.rule_frame(df.sparkSession, rules.EXACT_PHRASES) if exact is None else exact
+    exact = _own(rules.rule_frame(df.sparkSession, rules.EXACT_PHRASES)) if exact is None else exact
     lang = source_lang if isinstance(source_lang, Column) else F.lit(source_lang)
     text = F.col(text_col)
     wanted = (lang.isin("ja", "jpn") | T.has_japanese(text_col)) & (T.strip(text_col) != "")
     replaced = reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), inline, text)
-    known = F.broadcast(exact.select(F.col("source").alias("__k"), F.col("target").alias("__hit")))  # a rule table
+    known = exact.select(F.col("source").alias("__k"), F.col("target").alias("__hit"))
     out = df.withColumn("__k", T.exact_key(text_col)).join(known, "__k", "left")
     new = F.coalesce(F.col("__hit"), F.when(replaced == text, text).otherwise(T.collapse(replaced)))
     return out.withColumn(text_col, F.when(wanted, new).otherwise(text)).select(*df.columns)
@@ -179,16 +184,16 @@ def repair_short_cues(
     pairs: DataFrame, source_col: str = "src", target_col: str = "tgt", table: DataFrame | None = None
 ) -> DataFrame:
     """Replace the translation of well-known short source lines."""
-    table = rules.rule_frame(pairs.sparkSession, rules.SHORT_CUES) if table is None else table
-    known = F.broadcast(table.select(F.col("source").alias("__k"), F.col("target").alias("__hit")))  # a rule table
+    table = _own(rules.rule_frame(pairs.sparkSession, rules.SHORT_CUES)) if table is None else table
+    known = table.select(F.col("source").alias("__k"), F.col("target").alias("__hit"))
     out = pairs.withColumn("__k", T.short_cue_key(source_col)).join(known, "__k", "left")
     return out.withColumn(target_col, F.coalesce("__hit", target_col)).select(*pairs.columns)
 
 
 def normalise_lang(df: DataFrame, code_col: str = "lang", table: DataFrame | None = None) -> DataFrame:
     """Add ``lang_tag``: the model's tag of a language code, unknown codes unchanged."""
-    table = rules.rule_frame(df.sparkSession, rules.LANG_CODES, ("code", "tag")) if table is None else table
-    known = F.broadcast(table.select(F.col("code").alias("__c"), F.col("tag").alias("__tag")))  # a rule table
+    table = _own(rules.rule_frame(df.sparkSession, rules.LANG_CODES, ("code", "tag"))) if table is None else table
+    known = table.select(F.col("code").alias("__c"), F.col("tag").alias("__tag"))
     out = df.withColumn("__c", F.lower(code_col)).join(known, "__c", "left")
     return out.withColumn("lang_tag", F.coalesce(F.col("__tag"), F.col(code_col))).drop("__c", "__tag")
 
