@@ -76,15 +76,16 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     A weak identifier needs a secret, a weak secret an identifier or an endpoint, an endpoint
     both an identifier and a secret.  Parts meet on (document, bucket of the scope), each part
-    in the buckets of its widened interval and its partner in the bucket of its start, so that
-    a long document is never one group.
+    in all buckets of its widened interval and its partner in all buckets of its own, so that
+    partners of any length are met and a long document is never one group.  Matches of one
+    pattern never overlap, so a bucket holds a bounded number of parts.
     """
     weak, width = found.where(~F.col("strong")), max(scope, 1) * 2
     reach = weak.withColumn("bucket", F.explode(F.sequence(
-        F.floor(F.greatest(F.col("start") - scope - width, F.lit(0)) / width), F.floor((F.col("end") + scope) / width))))
+        F.floor(F.greatest(F.col("start") - scope, F.lit(0)) / width), F.floor((F.col("end") + scope) / width))))
     other = found.select(
         F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), F.col("role").alias("o_role"), F.col("start").alias("o_start"), F.col("end").alias("o_end"),
-        F.floor(F.col("start") / width).alias("o_bucket"))
+        F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("o_bucket"))
     near = (
         F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th")) & (F.col("bucket") == F.col("o_bucket"))
         & (F.col("o_role") != F.col("role")) & (F.col("o_start") <= F.col("end") + scope) & (F.col("o_end") >= F.col("start") - scope))

@@ -267,6 +267,29 @@ def test_secrets(spark, docs, nothing):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_secrets_link_long_partners(spark):
+    """Partners of 1000 and more code points on either side, at every place within a bucket."""
+    rows = [(n, "-" * lead + " " + long + gap + "user=bob") for n, (lead, long, gap) in enumerate(
+        (lead, long, gap) for lead in (0, 150, 390) for long in ("token=" + "a.Z" * 400, "0a" * 1500) for gap in (" ", " " + "-" * 198 + " ", " " + "-" * 199 + " "))]
+    rows += [(n + 100, "-" * lead + " user=bob " + long) for n, (lead, long) in enumerate((lead, long) for lead in (0, 390) for long in ("token=" + "a.Z" * 400, "0a" * 1500))]
+    rows += [(n + 200, "-" * lead + " secret=short12 https://db.example/" + "q" * 1700 + " user=bob") for n, lead in enumerate((0, 150, 390))]
+    rows += [(300, "user=bob " + "https://db.example/" + "q" * 2500 + " token=" + "a.Z" * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_doc = defaultdict(set)
+    for r in secrets.parts(docs).collect():
+        by_doc[r.doc_id].add((r.kind, r.role, r.strong, r.start, r.end))
+    want = {}
+    for d, found in by_doc.items():
+        for kind, role, strong, a, b in found:
+            near = {r for _, r, _, x, y in found if r != role and x <= b + secrets.SCOPE and y >= a - secrets.SCOPE}
+            if strong or {1: 2 in near, 2: bool(near), 4: {1, 2} <= near}[role]:
+                want.setdefault(d, set()).add(f"{kind}:{a}:{b}")
+    assert {r.doc_id: set(r.spans.split(",")) for r in secrets.scan_secrets(docs).collect()} == want
+    linked = {d for d, spans in want.items() if any(x.startswith("ident") for x in spans)}
+    assert linked == {d for d, t in rows if d >= 100 or "-" * 199 + " user" not in t} - {200, 201, 202, 300}
+    assert all(any(x.startswith("endpoint") for x in want[d]) for d in (200, 201, 202, 300))
+
+
 def test_fingerprints(spark, docs, nothing):
     def plain(text):
         codes = np.array([ord(c) for c in text], np.uint32)
