@@ -513,6 +513,13 @@ def _(spark, sf):
     return out.select("recording_id", "ref_cues", "hyp_cues", "aligned_pairs", "cue_count_match", *r6(*EVAL))
 
 
+@query("evaluate_whole")
+def _(spark, sf):
+    """All metrics, ``line_char_similarity`` with them, which SQL cannot say."""
+    out = ev.evaluate(v.ref_cues(spark, sf), v.hyp_cues(spark, sf))
+    return out.select("recording_id", "ref_cues", "hyp_cues", "aligned_pairs", "cue_count_match", *r6(*EVAL, "line_char_similarity"))
+
+
 @query("char_similarity")
 def _(spark, sf):
     pairs = ev.aligned_texts(v.ref_cues(spark, sf), v.hyp_cues(spark, sf))
@@ -694,6 +701,12 @@ def _(spark, sf):
     return T.add_normal_forms(v.japanese(spark, sf)).select(*ID, *_FORMS)
 
 
+def _neighbours(spark, sf):
+    """Cues with their whole text ``a`` and that of the next cue, ``b``."""
+    c = v.cues(spark, sf).select(*ID, F.col("text").alias("a"))
+    return c.join(c.select("recording_id", (F.col("pos") - 1).alias("pos"), F.col("a").alias("b")), ID)
+
+
 @query("similarity", o.ctes("cues") + f""" SELECT recording_id, pos, round(1.0e0 - levenshtein({o.one_byte('a')}, {o.one_byte('b')})::DOUBLE / greatest(length(a), length(b), 1), 6) AS similarity FROM (
  SELECT recording_id, pos, regexp_extract(text, '^\\S*') AS a, regexp_extract(lead(text) OVER (PARTITION BY recording_id ORDER BY pos), '^\\S*') AS b FROM cues) WHERE b IS NOT NULL""")
 def _(spark, sf):
@@ -703,6 +716,12 @@ def _(spark, sf):
     return T.add_similarity(c.join(nxt, ID), "a", "b").select(*ID, *r6("similarity"))
 
 
+@query("similarity_whole")
+def _(spark, sf):
+    """Whole texts of neighbouring cues."""
+    return T.add_similarity(_neighbours(spark, sf), "a", "b").select(*ID, *r6("similarity"))
+
+
 # ======================================================================== repair
 def _rules_sql(expr: str, pairs) -> str:
     for a, b in pairs:
@@ -784,6 +803,12 @@ def _(spark, sf):
     return both.select(*ID, R.can_merge_expr("a", "b").alias("can_merge"), R.merge_expr("a", "b").alias("merged"))
 
 
+@query("can_merge_whole")
+def _(spark, sf):
+    """Neighbouring cues as they are."""
+    return _neighbours(spark, sf).select(*ID, R.can_merge_expr("a", "b").alias("can_merge"), R.merge_expr("a", "b").alias("merged"))
+
+
 def _dict_sql() -> str:
     expr = "text"
     for a, b in rules.INLINE_PHRASES:
