@@ -383,6 +383,35 @@ def test_language(spark, nothing):
     assert language.identify_languages(nothing).count() == 0
 
 
+def test_language_of_scripts_with_many_letters(spark):
+    """Two languages of one large script beside 83 frequent letters; 400 letters each, none of them shared."""
+    rng = random.Random(12)
+    script = {"ha": range(0x4E00, 0x4F90), "hb": range(0x6000, 0x6190), "la": [*range(97, 123), *range(0x430, 0x450), *range(0x3B1, 0x3CA)]}
+    write = lambda lang, n: "".join(chr(rng.choice(script[lang])) for _ in range(n))
+    rows = [(i, write(lang, 3000 if lang == "la" else 300), lang) for i, lang in enumerate(["ha", "hb", "la"] * 40)]
+    out = language.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert [r for r in out if r.lang_pred != rows[r.doc_id][2]] == [] and any(r.held_out for r in out)
+
+
+def test_language_sample_takes_the_smallest_hashes(spark):
+    """Copies don't lessen a language's share, and none is left out."""
+    rows = [("only text", "copied")] * 300 + [(f"text {i}", lang) for lang, n in (("few", 3), ("many", 400)) for i in range(n)] + [("text 1", "many")] * 200
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    hashed = frame.distinct().withColumn("h", F.xxhash64("text", F.lit("sample"))).collect()
+    want = {(r.text, r.lang) for lang in ("copied", "few", "many") for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:5]}
+    picked = language.sample(frame, 5)
+    assert len(picked) == len(set(picked)) == 9 and set(picked) == want
+
+
+def test_language_grams_are_found():
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, language.CODES**3, 5000))
+    table = language.Grams.build(grams)
+    asked = np.concatenate([grams[::-1], rng.integers(0, language.CODES**3, 5000)])
+    place = {g: i for i, g in enumerate(grams.tolist())}
+    assert table.find(asked).tolist() == [place.get(g, -1) for g in asked.tolist()]
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(9)
     rows, labels = [], []
