@@ -277,41 +277,43 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, Linear]:
-    """Voters and classifier; ``docs`` are the rows that may be learned from."""
-    known = known_labels(labels)
-    lexicon = mine(docs, known)
+def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[Voters, Linear]:
+    """Voters and classifier; of the held-out rows, only the votes are counted, as those of unlabelled rows."""
+    learned = fold(folds) != held
+    known = known_labels(labels).where(learned)
+    lexicon = mine(docs.where(learned), known)
     voters = Voters.build(lexicon)
     counted = voted(docs, voters).select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
-        F.count(F.when(F.col("toxic").isNull(), 1)).alias("open"), F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"))
+        F.count(F.when(F.col("toxic").isNull(), 1)).alias("open"), F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"),
+        F.count(F.when(learned, 1)).alias("learned"))
     table = counted.collect()  # at most 2 ** VOTERS rows
     if not table or not lexicon:
         return voters, Linear(np.zeros(len(lexicon)), np.zeros(len(PATTERNS)), -4.0)
     patterns = np.array([r.votes for r in table])
     model = LabelModel(patterns, np.array([[r.open, r.clean, r.toxic] for r in table], float))
     posterior = dict(zip(patterns.tolist(), model.posterior.tolist(), strict=True))
-    count = sum(r.open + r.clean + r.toxic for r in table)
+    count = max(1, sum(r.learned for r in table))
     part = F.pmod(F.xxhash64("text", F.lit("trained")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = voted(docs.where(F.coalesce(part < min(1.0, TRAINED / count), F.lit(False))), voters).groupBy("votes", "entries").count().limit(4 * TRAINED).collect()
+    rows = voted(docs.where(learned & F.coalesce(part < min(1.0, TRAINED / count), F.lit(False))), voters).groupBy("votes", "entries").count().limit(4 * TRAINED).collect()
     spread = [(r.votes, list(r.entries)) for r in rows for _ in range(min(r["count"], 4 * TRAINED))]
     return voters, train(spread, np.array([posterior.get(v, 0.0) for v, _ in spread]), len(lexicon))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
-    """doc_id, held_out, score, predicted, learned without labels or texts of the held-out rows.
+    """doc_id, held_out, score, predicted, learned without labels of the held-out rows; their votes count as unlabelled.
 
     Null and empty texts are scored like any other text, by having no feature.  A document with
     several labels counts as toxic if one says so; null labels don't count.  A null doc_id
     counts as empty text in the fold.  Without labels, every score is low.  Repeated rows each give a row.
     """
-    voters, linear = fit(docs.where(fold(folds) != held), labels)
+    voters, linear = fit(docs, labels, folds, held)
     return score_texts(docs, voters, linear).select(
         "doc_id", (fold(folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows scored ``limit`` or more; all columns stay, no other row goes."""
-    voters, linear = fit(docs.where(fold(folds) != held), labels)
+    voters, linear = fit(docs, labels, folds, held)
     shared = docs.sparkSession.sparkContext.broadcast((voters, linear))
     place = docs.columns.index("text")
 

@@ -439,6 +439,18 @@ def test_toxicity(spark, nothing):
     assert {r.predicted for r in toxicity.score_toxicity(frame, known.limit(0)).collect()} == {0}
 
 
+def test_toxicity_counts_votes_of_all_rows(spark, monkeypatch):
+    """Held-out rows are in the label model's counts, without their labels."""
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 20) + (" grimeling foulmouth vilest" if i % 4 == 0 else "")) for i in range(300)]
+    labels = [(i, int(i % 4 == 0)) for i in range(300) if i % 3]
+    seen, whole = [], toxicity.LabelModel
+    monkeypatch.setattr(toxicity, "LabelModel", lambda patterns, counts: seen.append(counts) or whole(patterns, counts))
+    toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).count()
+    used = [toxic for i, toxic in labels if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert [c.sum(axis=0).tolist() for c in seen] == [[300 - len(used), used.count(0), used.count(1)]]
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
