@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuestrata.llm.common import SLICE_BYTES, row_slices, text_buffer
+from cuestrata.llm.common import SLICE_BYTES, lean, row_slices, text_buffer
 
 #: Pre-tokens up to this many bytes are remembered, in so many entries at most, by a Python worker.
 REMEMBER_BYTES, REMEMBER = 64, 400_000
@@ -296,7 +296,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), column], names=[*kept, ids])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lean(run), schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -314,7 +314,7 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
             texts = [b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*kept, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuestrata.llm.common import forget, stage
+from cuestrata.llm.common import forget, lean, stage
 from cuestrata.llm.whitening import common_length, matrix, usable
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
@@ -79,7 +79,7 @@ def with_pivot_distances(rows: DataFrame, d: int, pivots: np.ndarray) -> DataFra
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(far.ravel()), parts * count).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([*piece.columns, lists], names=["vec_id", "label", "x", "far"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("far", T.ArrayType(T.FloatType()))]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema, T.StructField("far", T.ArrayType(T.FloatType()))]))
 
 
 def nearest(x: np.ndarray, far: np.ndarray, book: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -138,7 +138,7 @@ def improved(table: DataFrame, d: int, books: np.ndarray, pivots: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([
             pa.array(used, pa.int32()), pa.array(times[used]), pa.array(sums[used].tolist(), pa.list_(pa.int64()))], names=["unit", "times", "sums"])
 
-    partial = table.select("x", "far").mapInArrow(run, "unit int, times long, sums array<long>")
+    partial = table.select("x", "far").mapInArrow(lean(run), "unit int, times long, sums array<long>")
     each = partial.select("unit", "times", F.posexplode("sums").alias("k", "s")).groupBy("unit", "k").agg(F.sum("times").alias("times"), F.sum("s").alias("s"))
     out = books.reshape(parts * count, q).copy()
     for r in each.collect():  # parts * entries * positions rows at most
@@ -162,7 +162,7 @@ def coded(table: DataFrame, d: int, books: np.ndarray, pivots: np.ndarray) -> Da
                     names=["vec_id", "label", "codes", "error", "evaluations"])
 
     label = next(f.dataType.simpleString() for f in table.schema if f.name == "label")
-    return table.select("vec_id", "label", "x", "far").mapInArrow(run, f"vec_id long, label {label}, codes array<smallint>, error long, evaluations double")
+    return table.select("vec_id", "label", "x", "far").mapInArrow(lean(run), f"vec_id long, label {label}, codes array<smallint>, error long, evaluations double")
 
 
 def encode_vectors(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,8 +14,11 @@ from pyspark.sql import functions as F
 
 from cuestrata.session import scratch
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Powers in the one table of ``span_hashes``; longer spans are hashed piece by piece.
+POWERS = 1 << 17
 #: Stands for a null doc_id where an order is needed: such rows come after all others.
 LAST_ID = (1 << 63) - 1
 
@@ -52,6 +57,24 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Freed memory to the system: workers are reused and live beside the JVM's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Batches) -> Batches:
+    """``run``, after which the worker keeps no freed memory."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow text column and the offsets of its rows; null counts as empty."""
     column = column.fill_null("" if pa.types.is_string(column.type) else b"")
@@ -92,32 +115,46 @@ def multiplier(seed: int) -> int:
     return int(mix(np.array([seed + 77], np.uint64))[0]) | 1
 
 
-@lru_cache(4)
-def powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the seed's multiplier and of its inverse modulo 2**64."""
+@lru_cache(2)
+def powers(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the seed's multiplier and of its inverse modulo 2**64: two tables of a fixed size."""
     m = multiplier(seed)
     out = []
     for base in (m, pow(m, -1, 1 << 64)):
-        p = np.full(size, base, np.uint64)
+        p = np.full(POWERS, base, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
+def long_hash(part: np.ndarray, seed: int) -> np.uint64:
+    """Polynomial of a span that is longer than half the table, piece by piece."""
+    p, m, total = powers(seed)[0], multiplier(seed), 0
+    for at in range(0, len(part), POWERS):
+        piece = part[at : at + POWERS]
+        total += int((byte_values(seed)[piece] * p[: len(piece)]).sum(dtype=np.uint64)) * pow(m, at, 1 << 64)
+    return np.uint64(total & (1 << 64) - 1)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """64-bit hash of each byte span; equal bytes give equal hashes, wherever they stand."""
     out = np.zeros(len(starts), np.uint64)
+    p, inv = powers(seed)
+    half = POWERS // 2
     at = 0
     while at < len(starts):
         lo = starts[at]
-        to = int(np.searchsorted(starts, lo + SLICE_BYTES, "left"))
+        to = int(np.searchsorted(starts, lo + half, "left"))
         a, b = starts[at:to] - lo, ends[at:to] - lo
-        n = int(b[-1])
-        size = 1 << max(16, n.bit_length())
-        p, inv = powers(seed, size)
+        long = np.flatnonzero(b - a > half)
+        b = np.minimum(b, a + half)
+        n = int(b.max())
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(byte_values(seed)[buf[lo : lo + n]] * p[:n], out=sums[1:])
-        out[at:to] = mix((sums[b] - sums[a]) * inv[a] + (b - a).astype(np.uint64))
+        whole = (sums[b] - sums[a]) * inv[a]
+        for i in long.tolist():
+            whole[i] = long_hash(buf[starts[at + i] : ends[at + i]], seed)
+        out[at:to] = mix(whole + (ends[at:to] - starts[at:to]).astype(np.uint64))
         at = to
     return out
 

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuestrata.llm.common import by_row, grams, lower_ascii, row_slices, span_hashes, text_buffer
+from cuestrata.llm.common import by_row, grams, lean, lower_ascii, row_slices, span_hashes, text_buffer
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BLOCK_RADIUS = 4, 4
@@ -212,7 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: fl
                     batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array([best[x][0] for x in keys], pa.float64()),
                     *(pa.array([best[x][c] for x in keys], pa.int64()) for c in (1, 2, 3))], names=["doc_id", "item_id", "similarity", "start", "n_words", "n_windows"])
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(lean(run), schema)
 
     return reduce(DataFrame.unionByName, map(one, indexes(benchmark, k)))
 
@@ -243,6 +243,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, thres
                     clean[[r for r, *_ in match_slice(index.value, values, first, threshold)]] = False
                     yield batch.slice(a, b - a).filter(pa.array(clean))
 
-        return frame.mapInArrow(run, frame.schema)
+        return frame.mapInArrow(lean(run), frame.schema)
 
     return reduce(one, indexes(benchmark, k), docs)

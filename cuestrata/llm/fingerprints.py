@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuestrata.llm.common import SLICE_BYTES, grams, mix, partitions, sliding_min, text_key, text_or_empty
+from cuestrata.llm.common import SLICE_BYTES, grams, lean, mix, partitions, sliding_min, text_key, text_or_empty
 
 K, WINDOW = 20, 60
 #: Code points that one numpy pass works on.
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
                 pa.array([h for h, _ in prints], pa.list_(pa.int64())), pa.array([p for _, p in prints], pa.list_(pa.int64()))],
                 names=["doc_id", "n_chars", "hashes", "positions"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, hashes array<long>, positions array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_chars long, hashes array<long>, positions array<long>")
 
 
 def in_descending_parts(docs: DataFrame, parts: int) -> DataFrame:
@@ -166,4 +166,4 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> Da
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [c.split()[0] for c in schema.split(", ")]
-    return in_descending_parts(docs, partitions(docs.sparkSession)).select("doc_id", "part", "tail", "text").mapInArrow(run, schema)
+    return in_descending_parts(docs, partitions(docs.sparkSession)).select("doc_id", "part", "tail", "text").mapInArrow(lean(run), schema)

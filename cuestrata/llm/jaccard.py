@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuestrata.llm.common import LAST_ID, forget, grams, lower_ascii, mix, partitions, row_slices, span_hashes, stage, text_buffer, text_key, word_spans
+from cuestrata.llm.common import LAST_ID, forget, grams, lean, lower_ascii, mix, partitions, row_slices, span_hashes, stage, text_buffer, text_key, word_spans
 from cuestrata.llm.windows import keyed_texts
 
 #: Slots of the frequency table; its size doesn't grow with the corpus.
@@ -72,7 +72,7 @@ def slot_counts(texts: DataFrame, k: int) -> np.ndarray:
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(counts[slot])], names=["slot", "times"])
 
-    table = texts.select("text").mapInArrow(run, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    table = texts.select("text").mapInArrow(lean(run), "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
     out = np.zeros(1 << SLOT_BITS, np.int64)
     out[table.column("slot").to_numpy()] = table.column("times").to_numpy()
     return out
@@ -85,7 +85,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
 def set_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """id, th, n (shingles), cid (class: equal sets), prefix (rare first), s0 to s3 (parity of the shingles in 256 parts of the hash space)."""
     counts = slot_counts(texts, k)
-    rank = np.minimum(255, 8 * np.log2(counts + 1)).astype(np.uint64) << np.uint64(56)
+    rank = np.minimum(255, 8 * np.log2(counts + 1)).astype(np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def set_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
             buf, off = text_buffer(batch.column(2))
             for a, b in row_slices(off):
                 row, hashes = shingles(buf[off[a] : off[b]], off[a : b + 1] - off[a], k)
-                row, key = distinct_keys(row, rank[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] | (hashes >> np.uint64(8)))
+                row, key = distinct_keys(row, rank[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8))
                 n = np.bincount(row, minlength=b - a)
                 first = np.append(0, np.cumsum(n))
                 place = np.arange(len(row)) - first[row]
@@ -110,7 +110,7 @@ def set_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
                     *(pa.array(signs[:, i].copy().view(np.int64)) for i in range(4))],
                     names=["id", "th", "n", "cid", "prefix", *SIGNS])
 
-    return texts.mapInArrow(run, "id long, th long, n long, cid long, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
+    return texts.mapInArrow(lean(run), "id long, th long, n long, cid long, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
 def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +141,7 @@ def posting_lists(classes: DataFrame, percent: int) -> DataFrame:
 
     postings = classes.select("n", "cid", F.posexplode("prefix").alias("at", "token")).select("token", "n", F.col("at").cast("long").alias("at"), "cid")
     dealt = postings.repartition(partitions(classes.sparkSession), "token").sortWithinPartitions("token", "n", "cid")
-    return dealt.mapInArrow(run, "token long, n long, at long, cid long")
+    return dealt.mapInArrow(lean(run), "token long, n long, at long, cid long")
 
 
 def stars(lists: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +190,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perce
                 link = pa.array([100 * c >= percent * (total - c) for c, total in common], pa.bool_())
                 yield part.select([0, 1]).filter(link)
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuestrata.llm.bpe import LETTER, classes
-from cuestrata.llm.common import by_row, row_slices, text_buffer
+from cuestrata.llm.common import by_row, lean, row_slices, text_buffer
 
 #: Bounds of the sample: texts and landmarks for each language, and bytes of a text that may be in it.
 SAMPLE, LANDMARKS, SAMPLE_BYTES = 400, 40, 1 << 16
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         scores = np.where(letters, odds[np.arange(len(best)), best], 0.0).astype(np.float64)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def _features(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

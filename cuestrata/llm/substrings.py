@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuestrata.llm.common import row_slices, text_buffer, word_spans
+from cuestrata.llm.common import lean, row_slices, text_buffer, word_spans
 from cuestrata.llm.windows import Bucket, Unit, keyed_texts, power_grams, repeated_spans, span_mask, spans_of, with_spans
 
 WORDS, MINIMISER = 50, 24
@@ -110,7 +110,7 @@ def dedup_words(docs: DataFrame, words: int = WORDS, minimiser: int = MINIMISER)
                     pa.array([b" ".join(kept_words[x:y]).decode("utf-8", "replace") for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return removed_words(docs, words, minimiser).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return removed_words(docs, words, minimiser).mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def dedup_words_digests(docs: DataFrame) -> DataFrame:

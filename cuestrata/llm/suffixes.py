@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuestrata.llm.common import row_slices, text_buffer
+from cuestrata.llm.common import lean, row_slices, text_buffer
 from cuestrata.llm.substrings import spans_of_rows, spread
 from cuestrata.llm.windows import Bucket, Unit, keyed_texts, power_grams, repeated_spans, span_mask, with_spans
 
@@ -162,7 +162,7 @@ def dedup_bytes(docs: DataFrame, length: int = BYTES, minimiser: int = MINIMISER
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     spans = repeated_spans(keyed_texts(docs), unit, False, solve_any)
-    return with_spans(docs, spans).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_spans(docs, spans).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuestrata.llm.common import by_row, lower_ascii, row_slices, span_hashes, text_buffer
+from cuestrata.llm.common import by_row, forget, lean, lower_ascii, row_slices, span_hashes, stage, text_buffer
 from cuestrata.llm.language import fold
 
 #: Bounds: toxic rows that are mined, times as many others, bytes of a text in it, lexicon entries, rows for the classifier.
@@ -87,7 +87,7 @@ def mine(docs: DataFrame, known: DataFrame) -> list[tuple[int, bytes, float]]:
                 pa.array([k for k, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.binary()),
                 pa.array([found[1][x] for x in keys], pa.int64()), pa.array([found[0][x] for x in keys], pa.int64())], names=["kind", "entry", "toxic", "clean"])
 
-    sums = chosen.mapInArrow(run, "kind int, entry binary, toxic long, clean long").groupBy("kind", "entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = chosen.mapInArrow(lean(run), "kind int, entry binary, toxic long, clean long").groupBy("kind", "entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = picked.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"), F.count(F.when(F.col("toxic") == 0, 1)).alias("clean")).first()
     odds = F.log(((F.col("toxic") + 0.5) / (sizes.toxic + 1.0)) / ((F.col("clean") + 0.5) / (sizes.clean + 1.0)))
     share = (sizes.toxic + 0.5) / (sizes.toxic + sizes.clean + 1.0)
@@ -157,20 +157,22 @@ class Voters:
 
 
 def voted(docs: DataFrame, voters: Voters) -> DataFrame:
-    """``docs`` (doc_id, text) as doc_id, votes, entries, for each whole text."""
+    """``docs`` (doc_id, text) as doc_id, draw (0 to 1, from the text), votes, entries, for each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            buf, off = text_buffer(batch.column(1))
+            buf, off = text_buffer(batch.column(2))
             for a, b in row_slices(off):
                 votes, row, entry = own.look(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(entry, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(votes, pa.int32()), lists], names=["doc_id", "votes", "entries"])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(votes, pa.int32()), lists], names=["doc_id", "draw", "votes", "entries"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, votes int, entries array<int>")
+    draw = F.pmod(F.xxhash64("text", F.lit("trained")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return docs.select(F.col("doc_id").cast("long"), draw.alias("draw"), "text").mapInArrow(lean(run), "doc_id long, draw double, votes int, entries array<int>")
 
 
 class LabelModel:
@@ -257,9 +259,9 @@ def train(rows: list[tuple[int, list[int]]], target: np.ndarray, size: int, roun
     return Linear(w[:size], w[size:-1], float(w[-1]))
 
 
-def score_texts(docs: DataFrame, voters: Voters, linear: Linear) -> DataFrame:
-    """doc_id, score, votes."""
-    shared = docs.sparkSession.sparkContext.broadcast(linear)
+def score_votes(votes: DataFrame, linear: Linear) -> DataFrame:
+    """doc_id, score, votes of a table that ``voted`` made."""
+    shared = votes.sparkSession.sparkContext.broadcast(linear)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -269,7 +271,7 @@ def score_texts(docs: DataFrame, voters: Voters, linear: Linear) -> DataFrame:
             scores = own.scores(votes, row, lists.flatten().to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), batch.column(1)], names=["doc_id", "score", "votes"])
 
-    return voted(docs, voters).mapInArrow(run, "doc_id long, score double, votes int")
+    return votes.select("doc_id", "votes", "entries").mapInArrow(lean(run), "doc_id long, score double, votes int")
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
@@ -277,26 +279,30 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[Voters, Linear]:
-    """Voters and classifier; of the held-out rows, only the votes are counted, as those of unlabelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[Voters, Linear, DataFrame]:
+    """Voters, classifier, and the staged votes of all rows: texts are read once for them.
+
+    Of the held-out rows, only the votes are counted, as those of unlabelled rows.
+    """
     learned = fold(folds) != held
     known = known_labels(labels).where(learned)
     lexicon = mine(docs.where(learned), known)
     voters = Voters.build(lexicon)
-    counted = voted(docs, voters).select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
+    votes = stage(voted(docs, voters), "votes")
+    counted = votes.select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
         F.count(F.when(F.col("toxic").isNull(), 1)).alias("open"), F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"),
         F.count(F.when(learned, 1)).alias("learned"))
     table = counted.collect()  # at most 2 ** VOTERS rows
     if not table or not lexicon:
-        return voters, Linear(np.zeros(len(lexicon)), np.zeros(len(PATTERNS)), -4.0)
+        return voters, Linear(np.zeros(len(lexicon)), np.zeros(len(PATTERNS)), -4.0), votes
     patterns = np.array([r.votes for r in table])
     model = LabelModel(patterns, np.array([[r.open, r.clean, r.toxic] for r in table], float))
     posterior = dict(zip(patterns.tolist(), model.posterior.tolist(), strict=True))
     count = max(1, sum(r.learned for r in table))
-    part = F.pmod(F.xxhash64("text", F.lit("trained")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = voted(docs.where(learned & F.coalesce(part < min(1.0, TRAINED / count), F.lit(False))), voters).groupBy("votes", "entries").count().limit(4 * TRAINED).collect()
+    # about TRAINED rows, however large the table is
+    rows = votes.where(learned & (F.col("draw") < min(1.0, TRAINED / count))).groupBy("votes", "entries").count().collect()
     spread = [(r.votes, list(r.entries)) for r in rows for _ in range(min(r["count"], 4 * TRAINED))]
-    return voters, train(spread, np.array([posterior.get(v, 0.0) for v, _ in spread]), len(lexicon))
+    return voters, train(spread, np.array([posterior.get(v, 0.0) for v, _ in spread]), len(lexicon)), votes
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
@@ -304,16 +310,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 
     Null and empty texts are scored like any other text, by having no feature.  A document with
     several labels counts as toxic if one says so; null labels don't count.  A null doc_id
-    counts as empty text in the fold.  Without labels, every score is low.  Repeated rows each give a row.
+    counts as empty text in the fold.  Without labels, every score is low.  Repeated rows each give a row;
+    texts of any length are scored whole; extra columns are not looked at.
     """
-    voters, linear = fit(docs, labels, folds, held)
-    return score_texts(docs, voters, linear).select(
+    _, linear, votes = fit(docs, labels, folds, held)
+    return score_votes(votes, linear).select(
         "doc_id", (fold(folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, limit: float = 0.5) -> DataFrame:
-    """``docs`` without the rows scored ``limit`` or more; all columns stay, no other row goes."""
-    voters, linear = fit(docs, labels, folds, held)
+    """``docs`` without the rows scored ``limit`` or more; all columns stay, whatever their names, no other row goes.
+
+    Null and empty texts have no feature and stay; very long ones are scored whole.  Repeated
+    rows are judged alike and stay or go together; an empty table stays empty.
+    """
+    voters, linear, votes = fit(docs, labels, folds, held)
+    forget(votes)
     shared = docs.sparkSession.sparkContext.broadcast((voters, linear))
     place = docs.columns.index("text")
 
@@ -325,4 +337,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
                 votes, row, entry = voters.look(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 yield batch.slice(a, b - a).filter(pa.array(linear.scores(votes, row, entry) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

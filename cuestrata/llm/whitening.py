@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuestrata.llm.common import forget, stage
+from cuestrata.llm.common import forget, lean, stage
 
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 16
 #: An entry beyond this counts as this, so that sums stay exact in 64 bits.
@@ -256,7 +256,7 @@ def spectra(fit: DataFrame, d: int) -> DataFrame:
             rest.take_in(wide.joined())
         yield _spectrum_batch(TaskContext.get().partitionId(), n, sums, rest)
 
-    return fit.select("x").mapInArrow(run, _SPECTRUM)
+    return fit.select("x").mapInArrow(lean(run), _SPECTRUM)
 
 
 def one_spectrum(parts: DataFrame, count: int, d: int) -> DataFrame:
@@ -305,7 +305,7 @@ def products(fit: DataFrame, d: int, n: int, sums: np.ndarray, basis: np.ndarray
             out += y.T @ y / n
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["id", "m"])
 
-    return summed(fit.select("x").mapInArrow(run, "id int, m array<double>"), count).reshape(basis.shape[1], -1)
+    return summed(fit.select("x").mapInArrow(lean(run), "id int, m array<double>"), count).reshape(basis.shape[1], -1)
 
 
 def centred(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
@@ -388,7 +388,7 @@ def whiten(vectors: DataFrame, vector: str = "embedding", ident: str = "vec_id",
                 batch.column(0), pa.array(np.full(len(x), m.n)), pa.array(deviations(x, m.n, m.sums), pa.int64()), lists(white), lists(np.tile(m.explained, (len(x), 1))),
                 pa.array(np.full(len(x), m.identity_error))], names=["vec_id", "n", "deviation", "whitened", "explained", "identity_error"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def whitened_components(vectors: DataFrame) -> DataFrame:

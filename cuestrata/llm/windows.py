@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuestrata.llm.common import (
-    LAST_ID, by_row, byte_values, forget, mix, multiplier, partitions, row_slices, sliding_min, span_hashes, stage, text_buffer, text_key, text_or_empty, word_spans,
+    LAST_ID, by_row, byte_values, forget, lean, mix, multiplier, partitions, row_slices, sliding_min, span_hashes, stage, text_buffer, text_key, text_or_empty, word_spans,
 )
 
 #: Super-k-mers of one minimiser that a single task compares at most.
@@ -109,7 +109,7 @@ def light_runs(texts: DataFrame, unit: Unit) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[a + row]), pa.array(ths[a + row]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(loop)], names=["id", "th", "start", "n", "key", "loop"])
 
-    return texts.mapInArrow(run, "id long, th long, start int, n int, key long, loop boolean")
+    return texts.mapInArrow(lean(run), "id long, th long, start int, n int, key long, loop boolean")
 
 
 def repeated_runs(light: DataFrame, across: bool) -> DataFrame:
@@ -157,7 +157,7 @@ def packed(texts: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
                     names=["id", "th", "start", "n", "key", "loop", "pack"])
 
     joined = texts.join(lists, ["id", "th"]).select("id", "th", "text", "runs")
-    return joined.mapInArrow(run, "id long, th long, start int, n int, key long, loop boolean, pack binary")
+    return joined.mapInArrow(lean(run), "id long, th long, start int, n int, key long, loop boolean, pack binary")
 
 
 @dataclass
@@ -224,7 +224,7 @@ def solved(packs: DataFrame, unit: Unit, solve: Solve) -> DataFrame:
             yield from results(held)
 
     dealt = packs.repartition(partitions(packs.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "id long, th long, start int, end int")
+    return dealt.mapInArrow(lean(run), "id long, th long, start int, end int")
 
 
 def hot_spans(packs: DataFrame, unit: Unit, across: bool) -> DataFrame:
@@ -251,7 +251,7 @@ def hot_spans(packs: DataFrame, unit: Unit, across: bool) -> DataFrame:
                     batch.column(0).take(pick), batch.column(2).take(pick), batch.column(3).take(pick), batch.column(4).take(pick), pa.array(place, pa.int32()), pa.array(two[0][at]), pa.array(two[1][at])],
                     names=["digest", "lo", "hi", "rows", "place", "w1", "w2"])
 
-    windows = stage(strings.select("digest", "pack", "lo", "hi", "rows").mapInArrow(run, "digest string, lo long, hi long, rows long, place int, w1 long, w2 long"), "windows")
+    windows = stage(strings.select("digest", "pack", "lo", "hi", "rows").mapInArrow(lean(run), "digest string, lo long, hi long, rows long, place int, w1 long, w2 long"), "windows")
     again = F.col("first") < F.col("last") if across else F.col("times") > 1
     found = windows.groupBy("w1", "w2").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.sum("rows").alias("times")).where(again)
     marked = windows.join(found, ["w1", "w2"]).groupBy("digest").agg(F.collect_list(F.struct("place", "first")).alias("marks"))
