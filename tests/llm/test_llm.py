@@ -358,12 +358,49 @@ def test_sharding(spark, docs, nothing, tmp_path):
         load[first.shard_of.get((s, -1), first.shard_of.get((s, p)))] += b
     assert max(load.values()) - min(load.values()) < 5000
     second = sharding.rebalance(first, {**weights, (3, 0): 2000})
-    moved = [u for u in first.shard_of if first.shard_of[u] != second.shard_of[u]]
+    assert (3, -1) in first.shard_of and (3, 0) in second.shard_of  # it has become heavy
+    moved = [u for u in second.shard_of if first.shard_of.get(u, first.shard_of.get((u[0], -1))) != second.shard_of[u]]
     assert second.version == 2 and 0 < len(moved) < 60
     second.save(spark, str(tmp_path))
     assert sharding.SlotMap.load(spark, str(tmp_path), 2) == second
 
 
+def test_equal_texts_share_a_shard(spark, tmp_path):
+    """Whatever is lighter than a shard's mean stays together, before and after a slot has become hot."""
+    rng = random.Random(4)
+    texts = [prose(rng, 30) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[0]) for i in range(20)]
+    shards, path = 4, str(tmp_path / "maps")
+
+    def check(rows, slot_map):
+        out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), slot_map.shards, slot_map).collect()
+        size, by_text, load = dict(rows), {}, Counter()
+        for r in out:
+            by_text.setdefault(size[r.doc_id], []).append(r)
+            load[r.shard] += r["size"]
+        mean = sum(load.values()) / slot_map.shards
+        for group in by_text.values():
+            assert len({r.shard for r in group}) == 1 or sum(r["size"] for r in group) > mean
+        assert max(load.values()) < 1.1 * mean and set(load) == set(range(slot_map.shards))
+        for x in load:
+            assert sorted(r.slot for r in out if r.shard == x) == list(range(sum(r.shard == x for r in out)))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    second, _ = sharding.edited_map(docs, shards, path)
+    assert second.version == 2 and sharding.SlotMap.load(spark, path, 2) == second and not second.hot
+    check(rows, second)
+    more = rows + [(5000 + i, texts[7]) for i in range(200)]  # a third of all bytes
+    third, _ = sharding.edited_map(spark.createDataFrame(more, "doc_id long, text string"), shards, path, 2)
+    assert third.version == 3 and len(third.hot) == 1
+    check(more, third)
+    wider, _ = sharding.edited_map(docs, 6, path, 3)
+    check(rows, wider)
+    narrower, _ = sharding.edited_map(docs, 3, path, 4)
+    check(rows, narrower)
+    moved = sum(narrower.shard_of[u] != x for u, x in wider.shard_of.items() if x < 3 and u in narrower.shard_of)
+    assert moved < len(wider.shard_of) / 4
+
+
 def voices(lang: str, rng: random.Random, n: int) -> str:
     parts = {"xx": ["ba", "lo", "mi"], "yy": ["kra", "strü", "ch"], "zz": ["eau", "çon", "é"]}[lang]
     return " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
