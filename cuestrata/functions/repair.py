@@ -85,7 +85,8 @@ def collapse_token_loops_expr(c: Column | str) -> Column:
     Equal neighbours share one key, so comparing with the row before is the same as with
     the token kept last.  In the second pass, a token is the first of a loop if it equals
     the token two ahead and its follower does too; loops that overlap an earlier loop are
-    left alone, which depends only on the place inside a stretch of such tokens.
+    left alone, which depends only on the place inside a stretch of such tokens, so whole stretches are
+    handled at once and a line costs time in proportion to its length.
     """
     text = T.col(c)
     toks = F.transform(F.split(T.collapse(text), " "), lambda t: F.struct(t.alias("t"), _token_key(t).alias("k")))
@@ -98,16 +99,28 @@ def collapse_token_loops_expr(c: Column | str) -> Column:
         n = F.size(once)
         heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.when(
             i + 3 < n, (once[i]["k"] == once[i + 2]["k"]) & (once[i + 1]["k"] == once[i + 3]["k"])).otherwise(False))
-        start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<int>").alias("drop"))
 
-        def step(acc, i):
-            clear = i >= acc["skip"]
+        def stretches(hs):
+            """First and last of each run of heads without a gap."""
+            firsts = F.filter(hs, lambda h, i: (i == 0) | (hs[F.greatest(i - 1, F.lit(0))] != h - 1))
+            lasts = F.filter(hs, lambda h, i: (i == F.size(hs) - 1) | (hs[F.least(i + 1, F.size(hs) - 1)] != h + 1))
+            return F.arrays_zip(firsts.alias("first"), lasts.alias("last"))
+
+        start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<struct<a:int,b:int>>").alias("taken"))
+
+        def step(acc, s):
+            """Every fourth head of a stretch is taken, from the first one behind the loop before."""
+            enter = F.greatest(acc["skip"], s["first"])
+            there = enter <= s["last"]
             return F.struct(
-                F.when(clear, i + 4).otherwise(acc["skip"]).alias("skip"),
-                F.when(clear, F.concat(acc["drop"], F.array(i + 2, i + 3))).otherwise(acc["drop"]).alias("drop"))
+                F.when(there, s["last"] - (s["last"] - enter) % 4 + 4).otherwise(acc["skip"]).alias("skip"),
+                F.when(there, F.concat(acc["taken"], F.array(F.struct(enter.alias("a"), s["last"].alias("b"))))).otherwise(acc["taken"]).alias("taken"))
+
+        def without(taken):
+            gone = F.flatten(F.transform(taken, lambda t: F.flatten(F.transform(F.sequence(t["a"], t["b"], F.lit(4)), lambda i: F.array(i + 2, i + 3)))))
+            return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), gone), lambda i: once[i]["t"]), " ")
 
-        return T.let(F.aggregate(heads, start, step)["drop"], lambda drop: F.array_join(F.transform(
-            F.filter(once, lambda t, i: ~F.array_contains(drop, i)), lambda t: t["t"]), " "))
+        return T.let(F.aggregate(T.let(heads, stretches), start, step)["taken"], without)
 
     return T.let(T.let(toks, drop_repeats), lambda once: F.when(once.isNull(), text).otherwise(drop_loops(once)))
 

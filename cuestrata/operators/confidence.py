@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuestrata import rules
 from cuestrata.operators.joins import _spans, overlap_join
-from cuestrata.operators.ordered import scan
+from cuestrata.operators.ordered import one_pass, scan
 from cuestrata.operators.scenes import clamp
 from cuestrata.session import stage
 
@@ -73,6 +73,7 @@ def is_low(profile: str) -> Column:
     return F.coalesce(score.isNotNull() & low, F.lit(False))
 
 
+@one_pass
 def low_confidence_spans(scored: DataFrame, profile: str = "balanced", keys: list[str] = KEYS) -> DataFrame:
     """Runs of low cues as half-open [``span_start``, ``span_end``) over dense ``pos``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuestrata.operators.intervals import BLOCK_MS, merge_intervals, silence_boundaries
 from cuestrata.operators.joins import covered_ms
-from cuestrata.operators.ordered import lag_of, scan
+from cuestrata.operators.ordered import lag_of, one_pass, scan
 from cuestrata.operators.scenes import clamp
 from cuestrata.session import stage
 
@@ -36,6 +36,7 @@ def classify_scenes(scenes: DataFrame) -> DataFrame:
     })
 
 
+@one_pass
 def content_scenes(recordings: DataFrame, speech: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Scenes between long silences: (``scene_start_ms``, ``scene_end_ms``, density, classes)."""
     recordings = stage(recordings.select(*keys, "duration_ms"), "recordings")
@@ -70,6 +71,7 @@ def estimated_cues(speech_secs: Column, difficulty: Column) -> Column:
     return F.floor(F.greatest(F.lit(1.0), scaled)).cast("bigint")
 
 
+@one_pass
 def content_map(recordings: DataFrame, speech: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per recording with speech totals and scores over its scenes."""
     scenes = stage(content_scenes(recordings, speech, keys), "scenes")

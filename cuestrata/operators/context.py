@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuestrata import rules
 from cuestrata.functions import text as T
-from cuestrata.operators.ordered import BLOCK, ROWS_PER_BLOCK
+from cuestrata.operators.ordered import BLOCK, ROWS_PER_BLOCK, one_pass
 from cuestrata.operators.scenes import tag_difficulty
 
 KEYS = ["recording_id"]
@@ -54,6 +54,7 @@ def hinted_text(windows: DataFrame) -> DataFrame:
     return windows.withColumn("hinted", F.when(F.coalesce(hint, F.lit("")) != "", F.concat_ws(" ", hint, text)).otherwise(text))
 
 
+@one_pass
 def context_tags(cues: DataFrame, profile: str = "balanced", keys: list[str] = KEYS) -> DataFrame:
     """Add ``context_tags``: the scene's level and the cue's own marks."""
     df = tag_difficulty(cues, profile, keys)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cuestrata import rules
 from cuestrata.functions import text as T
 from cuestrata.operators.intervals import BLOCK_MS
-from cuestrata.operators.ordered import number_rows, scan
+from cuestrata.operators.ordered import number_rows, one_pass, scan
 from cuestrata.session import stage
 
 KEYS = ["recording_id"]
@@ -224,6 +224,7 @@ def _compact_fold(gap_ms, per_line, lines, cps, long_ms, width):
     return fold
 
 
+@one_pass
 def compact_cues(
     cues: DataFrame, keys: list[str] = KEYS, max_gap_ms: int = 80, per_line: int = 36, lines: int = 2,
     max_cps: float = 21.0, max_ms: int = 6500,
@@ -279,6 +280,7 @@ def compact_cues(
 
 
 # ------------------------------------------------------------- chunk boundaries
+@one_pass
 def pick_boundaries(
     gaps: DataFrame, recordings: DataFrame, step_ms: int | str = 300_000, keys: list[str] = KEYS, stretch: int = 64
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuestrata.operators.ordered import lag_of, scan
+from cuestrata.operators.ordered import lag_of, one_pass, scan
 
 KEYS = ["recording_id"]
 BLOCK_MS = 600_000
@@ -30,6 +30,7 @@ def fold_starts(iv: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return iv.groupBy(*keys, "start_ms").agg(F.max("end_ms").alias("end_ms"))
 
 
+@one_pass
 def merge_intervals(iv: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Union of intervals; touching ones merge."""
     df = scan(fold_starts(iv, keys), keys, ["start_ms"], {"__e": ("max_before", F.col("end_ms"))}, time_block())
@@ -39,6 +40,7 @@ def merge_intervals(iv: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.groupBy(*keys, F.coalesce("__at", "__in").alias("start_ms")).agg(F.max("end_ms").alias("end_ms"))
 
 
+@one_pass
 def complement(
     iv: DataFrame, recordings: DataFrame, keys: list[str] = KEYS, min_ms: int = 0, fixed: bool = False
 ) -> DataFrame:
@@ -60,6 +62,7 @@ def complement(
         ((F.col("__from") + F.col("__to")) / 2).alias("centroid_ms"))
 
 
+@one_pass
 def pad_and_merge(iv: DataFrame, recordings: DataFrame, pad_ms: int, keys: list[str] = KEYS) -> DataFrame:
     """Widen by ``pad_ms``, clamp to [0, duration_ms] and merge."""
     df = iv.join(recordings.select(*keys, "duration_ms"), keys)
@@ -69,6 +72,7 @@ def pad_and_merge(iv: DataFrame, recordings: DataFrame, pad_ms: int, keys: list[
     return merge_intervals(df, keys)
 
 
+@one_pass
 def speech_from_silence(
     silence: DataFrame, recordings: DataFrame, pad_ms: int = 200, cap_ms: int | None = None, keys: list[str] = KEYS
 ) -> DataFrame:
@@ -80,6 +84,7 @@ def speech_from_silence(
     return pad_and_merge(speech, rec, pad_ms, keys) if pad_ms > 0 else speech
 
 
+@one_pass
 def silence_islands(
     frames: DataFrame, db: float = -35.0, min_ms: int = 350, keys: list[str] = KEYS
 ) -> DataFrame:
@@ -97,6 +102,7 @@ def silence_islands(
     return runs.where(F.col("end_ms") - F.col("start_ms") >= min_ms).drop("__run")
 
 
+@one_pass
 def silence_boundaries(
     speech: DataFrame, recordings: DataFrame, min_ms: int = 1500, keys: list[str] = KEYS
 ) -> DataFrame:
@@ -125,6 +131,7 @@ def chunk_target_secs(recordings: DataFrame) -> DataFrame:
     return recordings.withColumn("chunk_target_secs", target)
 
 
+@one_pass
 def plan_chunks(
     boundaries: DataFrame, recordings: DataFrame, target_ms: int | str = 300_000, overlap: int = 2_000,
     keys: list[str] = KEYS,

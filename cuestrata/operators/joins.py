@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuestrata.functions import text as T
 from cuestrata.operators.intervals import BLOCK_MS, merge_intervals, overlap_ms
-from cuestrata.operators.ordered import scan
+from cuestrata.operators.ordered import one_pass, scan
 from cuestrata.session import stage
 
 KEYS = ["recording_id"]
@@ -49,6 +49,7 @@ def covered_ms(cues: DataFrame, speech: DataFrame, keys: list[str] = KEYS, merge
         F.sum("ov").alias("covered"))
 
 
+@one_pass
 def speech_ratio(cues: DataFrame, speech: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Cues with ``speech_ratio`` = speech inside the cue over its length."""
     df = cues.join(covered_ms(cues, speech, keys), [*keys, "start_ms", "end_ms"], "left")
@@ -70,6 +71,7 @@ def verify_against_speech(
     return back.unionByName(low)
 
 
+@one_pass
 def align_by_time(ref: DataFrame, hyp: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """For each hypothesis cue the reference cue it overlaps most, else the nearest in centre.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuestrata import rules
 from cuestrata.operators.ordered import BLOCK, scan
 
 BLOCK_SECS = 60
+#: Events that one array holds at most.
+PIECE = 4096
 ORDER = ["ts", "event_id"]
 
 
@@ -56,12 +58,14 @@ def adaptive_policy(events: DataFrame, profile: str = "balanced") -> DataFrame:
     """Policy of each run after all its events: timeout scale, extra retries, strict first pass.
 
     One event maps the scale x to clamp(a x, lo, hi) and the retry count through a table
-    of four entries.  Both kinds of map stay of their kind when chained, so events are
-    chained inside blocks of a minute and the blocks along the run.
+    of four entries.  Both kinds of map stay of their kind when chained, so they are reduced as a
+    tree: pieces of ``PIECE`` events of a minute, minutes, hours, days, runs.  An array holds a piece, or the
+    pieces, minutes, hours or days of the level above, never a run's or a minute's events.
     """
-    df = triggers(events, profile).select(
-        "run_id", event_block().alias(BLOCK), F.struct(*ORDER, "slow", "low_quality", "timed_out").alias("__e"))
-    blocks = df.groupBy("run_id", BLOCK).agg(F.array_sort(F.collect_list("__e")).alias("__es"))
+    nth = F.row_number().over(Window.partitionBy("run_id", BLOCK).orderBy(*ORDER))
+    df = triggers(events, profile).withColumn(BLOCK, event_block()).select(
+        "run_id", BLOCK, F.floor((nth - 1) / PIECE).alias("__piece"), F.struct(*ORDER, "slow", "low_quality", "timed_out").alias("__e"))
+    pieces = df.groupBy("run_id", BLOCK, "__piece").agg(F.array_sort(F.collect_list("__e")).alias("__es"))
     unit = F.struct(
         F.lit(1.0).alias("a"), F.lit(1.0).alias("lo"), F.lit(4.0).alias("hi"),
         F.array(*[F.lit(i) for i in range(4)]).alias("m"), F.lit(False).alias("strict"))
@@ -101,9 +105,12 @@ def adaptive_policy(events: DataFrame, profile: str = "balanced") -> DataFrame:
             F.when(late, factor * 1.35).otherwise(factor).alias("a"), lo.alias("lo"), hi.alias("hi"),
             moves.alias("m"), e["low_quality"].alias("strict"))
 
-    mapped = blocks.select("run_id", BLOCK, F.aggregate(F.transform("__es", as_map), unit, chain).alias("__f"))
-    whole = mapped.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(BLOCK, "__f"))).alias("__fs")).select(
-        "run_id", F.aggregate(F.transform("__fs", lambda s: s["__f"]), unit, chain).alias("__f"))
+    level = pieces.select("run_id", BLOCK, "__piece", F.aggregate(F.transform("__es", as_map), unit, chain).alias("__f"))
+    hour, day = F.floor(F.col(BLOCK) / 60), F.floor(F.col("__hour") / 24)
+    for order, group in (("__piece", {BLOCK: F.col(BLOCK)}), (BLOCK, {"__hour": hour}), ("__hour", {"__day": day}), ("__day", {})):
+        level = level.groupBy("run_id", *(c.alias(name) for name, c in group.items())).agg(F.array_sort(F.collect_list(F.struct(order, "__f"))).alias("__fs"))
+        level = level.select("run_id", *group, F.aggregate(F.transform("__fs", lambda s: s["__f"]), unit, chain).alias("__f"))
+    whole = level
     f = F.col("__f")
     return whole.select(
         "run_id", F.least(f["hi"], F.greatest(f["lo"], f["a"])).alias("timeout_scale"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from cuestrata.functions import text as T
 from cuestrata.session import stage
@@ -114,11 +116,9 @@ def name_leaders(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Map each minor spelling to its leader: (keys, ``word``, ``canonical``).
 
     Words are ranked by (count desc, word asc).  Taken in that order, a word within two
-    edits of an earlier leader follows the first such leader, otherwise it leads.  That
-    order-dependent rule is settled in rounds over the neighbour table: a word leads once
-    all better-ranked neighbours follow somebody, and follows once one of them leads.  A
-    round sees only the pairs that are still open, and settles one word at least, so
-    there is no limit on rounds.
+    edits of an earlier leader follows the first such leader, otherwise it leads.  Neighbours share
+    their first letter, so the pairs of one letter of a recording are streamed by the rank of
+    their better word: once a word comes up, all that outrank it are settled.
     """
     words = stage(name_words(cues, keys), "words")
     near = near_pairs(words, keys, "word", lambda n: F.when(n > 0, 2)).where("edit_distance >= 1")
@@ -128,32 +128,30 @@ def name_leaders(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     fb = words.select(*keys, F.col("word").alias("b"), F.col("freq").alias("__fb"))
     edges = near.join(fa, [*keys, "a"]).join(fb, [*keys, "b"])
     a_first = (F.col("__fa") > F.col("__fb")) | ((F.col("__fa") == F.col("__fb")) & (F.col("a") < F.col("b")))
-    edges = stage(edges.select(
-        *keys,
-        F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("upper"),
-        F.when(a_first, F.col("__fa")).otherwise(F.col("__fb")).alias("upper_freq"),
-        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("lower")), "edges")
-
-    lowers = edges.select(*keys, F.col("lower").alias("word")).distinct()
-    tops = edges.select(*keys, F.col("upper").alias("word")).distinct().join(lowers, [*keys, "word"], "left_anti")
-    fresh = stage(tops.withColumn("role", F.lit("leads")), "tops")  # nobody outranks these
-    state, pending = fresh, edges.select(*keys, "upper", "lower")
-    while True:
-        seen = pending.join(fresh.withColumnRenamed("word", "upper"), [*keys, "upper"], "left")
-        decided = seen.groupBy(*keys, F.col("lower").alias("word")).agg(
-            F.when(F.coalesce(F.bool_or(F.col("role") == "leads"), F.lit(False)), "follows")
-            .when(F.count(F.when(F.col("role").isNull(), 1)) == 0, "leads").alias("role")).where("role is not null")
-        fresh = stage(decided, "roles")
-        if fresh.isEmpty():
-            break
-        state = state.union(fresh)
-        still = seen.where("role is null").join(fresh.withColumnRenamed("word", "lower"), [*keys, "lower"], "left_anti")
-        pending = stage(still.select(*keys, "upper", "lower"), "open")
-    leaders = state.where("role = 'leads'").select(*keys, F.col("word").alias("upper"))
-    followers = state.where("role = 'follows'").select(*keys, F.col("word").alias("lower"))
-    ranked = edges.join(leaders, [*keys, "upper"], "left_semi").join(followers, [*keys, "lower"], "left_semi")
-    best = F.min(F.struct((-F.col("upper_freq")).alias("f"), F.col("upper").alias("w")))
-    return ranked.groupBy(*keys, "lower").agg(best["w"].alias("canonical")).withColumnRenamed("lower", "word")
+    edges = edges.select(
+        *keys, F.substring("a", 1, 1).alias("__c"),
+        F.when(a_first, F.col("__fa")).otherwise(F.col("__fb")).alias("__f"),
+        F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("canonical"),
+        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("word"))
+    ranked = edges.repartition(*keys, "__c").sortWithinPartitions(*keys, "__c", F.col("__f").desc(), "canonical")
+    names = [*keys, "word", "canonical"]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Followers of leaders; held are the followers of one letter of one recording."""
+        group, follows = None, set()
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            keep = []
+            for i, (*here, upper, lower) in enumerate(zip(*columns, strict=True)):
+                if here != group:
+                    group, follows = here, set()
+                if upper not in follows and lower not in follows:
+                    follows.add(lower)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select(names)
+
+    schema = T_.StructType([*(ranked.schema[k] for k in keys), T_.StructField("word", T_.StringType()), T_.StructField("canonical", T_.StringType())])
+    return ranked.select(*keys, "__c", "canonical", "word").mapInArrow(settle, schema)
 
 
 def _short_pairs(words: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from cuestrata import rules
 from cuestrata.functions import text as T
 from cuestrata.operators.names import name_inconsistency
-from cuestrata.operators.ordered import lag_of, scan
+from cuestrata.operators.ordered import lag_of, one_pass, scan
 from cuestrata.session import stage
 from cuestrata.operators.scenes import clamp, scene_low_ratio, scene_quality
 
 KEYS = ["recording_id"]
 
 
+@one_pass
 def structural_health(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Cue count, share of the most frequent line, of filled lines and of overlapping cues.
 
@@ -94,6 +95,7 @@ SEMANTIC = [
 ]
 
 
+@one_pass
 def semantic_health(cues: DataFrame, lang: str = "en", keys: list[str] = KEYS) -> DataFrame:
     """Fluency defects per recording; zero for targets other than English."""
     if lang.lower() != "en":
@@ -158,6 +160,7 @@ def line_repetition(cues: DataFrame, keys: list[str] = KEYS, min_cues: int = 80)
     return top.select(*keys, F.when(enough, penalty).otherwise(0.0).alias("line_repetition"))
 
 
+@one_pass
 def translation_quality(
     cues: DataFrame, lang: str = "en", keys: list[str] = KEYS, min_tokens: int = 200, min_cues: int = 80
 ) -> DataFrame:

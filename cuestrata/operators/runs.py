@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuestrata import rules
@@ -96,43 +96,91 @@ def best_run_exact(queries: DataFrame, log: DataFrame) -> DataFrame:
         "query_id", F.col("__r.run_id").alias("run_id"), F.col("__r.plan").alias("plan"), "elapsed_secs")
 
 
-def best_run_similar(queries: DataFrame, log: DataFrame) -> DataFrame:
-    """Closest good run on comparable hardware, where no exact one exists.
+#: Bands of difficulty and of scene counts, and the most that spare memory takes off a score.
+DIFFICULTY_BAND, SCENE_BAND, MOST_OFF = 0.05, 5, 20.0
+_ALIKE = ["source_lang", "target_lang", "input_kind", "quality_profile", "__backend"]
+#: A target without a backend only meets runs with none or an unknown one.
+_NO_BACKEND = "\x00none"
+
+
+def _band(c: str) -> Column:
+    return F.coalesce(F.floor(F.col(c) / DIFFICULTY_BAND), F.lit(-1)).cast("int")
+
+
+def _level(c: Column) -> Column:
+    """Doubling levels: a value of level n is at most 2**n."""
+    return F.ceil(F.log2(F.greatest(c, F.lit(1.0)))).cast("int")
+
+
+def _similarity_score() -> Column:
+    """Score of a query and a run ``r``; the lowest wins."""
+    c = F.col
+    most = F.greatest("r.scene_count", "scene_count", F.lit(1))
+    spare = c("vram_mb") - c("r.vram_mb")
+    vram = F.when(spare < 0, -spare / 256.0 * 8).when(spare >= 0, -F.least(F.lit(MOST_OFF), spare / 1024.0))
+    return (
+        c("r.hourly") + F.when(c("r.content_profile_hash") != c("content_profile_hash"), 45.0).otherwise(0.0)
+        + F.coalesce(F.abs(c("r.avg_difficulty") - c("avg_difficulty")) * 320, F.lit(25.0))
+        + F.when(c("r.scene_count").isNull() | c("scene_count").isNull(), 20.0).otherwise(
+            F.abs(c("r.scene_count") - c("scene_count")) / most * 180)
+        + F.coalesce(vram, F.lit(0.0)))
 
-    Of runs that are alike in all that the score looks at besides the time, only the fastest can
-    win (ties as near as rounding can bring them), so the log is folded to those before queries meet it.
+
+def _fits() -> Column:
+    return F.coalesce(F.col("r.vram_mb") <= F.floor(F.col("vram_mb") * 6 / 5), F.lit(True))
+
+
+def similar_pairs(queries: DataFrame, log: DataFrame) -> DataFrame:
+    """(query, run, score) pairs that can hold the best score, by a search with lower bounds.
+
+    Runs lie in bands of difficulty within their text keys.  A first look at the fastest run of the
+    query's own and next bands (of difficulty and scene count) and of each memory size gives a score
+    that the best one can't exceed.  A band is opened only if its fastest run, the difficulty gap and
+    the largest reduction can still come below that score, and in an opened band only runs fast
+    enough are met: each run is listed at its own doubling level of time and at all above it in the band.
+    Of runs that are alike in all that the score looks at besides the time, only the fastest are kept
+    (ties as near as rounding can bring them).
     """
     r = _usable(log)
     hourly = F.when(F.col("audio_duration_secs") > 0, F.col("elapsed_secs") / (F.col("audio_duration_secs") / 3600)).otherwise(
         F.col("elapsed_secs"))
-    r = r.withColumn("__hourly", F.when(F.isnan(hourly) | (hourly > WORST), F.greatest(F.lit(1.0), F.col("elapsed_secs"))).otherwise(hourly))
-    kind = ["source_lang", "target_lang", "input_kind", "quality_profile", "backend", "vram_mb", "content_profile_hash", "avg_difficulty", "scene_count"]
-    r = r.groupBy(*kind, "__hourly").agg(F.min(F.struct("ts", "run_id", "plan")).alias("__f")).select(*kind, "__hourly", "__f.*")
-    least = r.groupBy(*[F.col(c).alias(f"__{c}") for c in kind]).agg(F.min("__hourly").alias("__least"))
-    alike = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in kind]
-    r = r.join(least, alike).where(F.col("__hourly") <= F.col("__least") * (1 + 1e-9) + 1e-6).select(*kind, "__hourly", "ts", "run_id", "plan")
-    r = r.select([F.col(c).alias(f"r_{c}") for c in r.columns])
-    q = queries.withColumns({c: ascii_lower(c) for c in ("source_lang", "target_lang", "backend")})
-    c = F.col
-    match = (
-        (c("source_lang") == c("r_source_lang")) & (c("target_lang") == c("r_target_lang"))
-        & (c("input_kind") == c("r_input_kind")) & (c("quality_profile") == c("r_quality_profile"))
-        # a target without a backend only meets runs with none or an unknown one
-        & (F.coalesce("backend", F.lit("none")) == F.when(c("backend").isNull(), F.coalesce("r_backend", F.lit("none"))).otherwise(c("r_backend")))
-        & F.coalesce(c("r_vram_mb") <= F.floor(c("vram_mb") * 6 / 5), F.lit(True)))
-    pairs = q.join(r, match)
-    most = F.greatest("r_scene_count", "scene_count", F.lit(1))
-    spare = c("vram_mb") - c("r_vram_mb")
-    vram = F.when(spare < 0, -spare / 256.0 * 8).when(spare >= 0, -F.least(F.lit(20.0), spare / 1024.0))
-    score = (
-        c("r___hourly") + F.when(c("r_content_profile_hash") != c("content_profile_hash"), 45.0).otherwise(0.0)
-        + F.coalesce(F.abs(c("r_avg_difficulty") - c("avg_difficulty")) * 320, F.lit(25.0))
-        + F.when(c("r_scene_count").isNull() | c("scene_count").isNull(), 20.0).otherwise(
-            F.abs(c("r_scene_count") - c("scene_count")) / most * 180)
-        + F.coalesce(vram, F.lit(0.0)))
-    best = pairs.withColumn("score", score).groupBy("query_id").agg(
-        F.min("score").alias("score"),
-        F.min_by(F.struct(c("r_run_id").alias("run_id"), c("r_plan").alias("plan")), F.struct("score", "r_ts", "r_run_id")).alias("__r"))
+    hourly = F.when(F.isnan(hourly) | (hourly > WORST), F.greatest(F.lit(1.0), F.col("elapsed_secs"))).otherwise(hourly)
+    keys = F.array_compact(F.array(F.col("backend"), F.when(F.coalesce("backend", F.lit("none")) == "none", F.lit(_NO_BACKEND))))
+    kind = [*_ALIKE[:4], "backend", "vram_mb", "content_profile_hash", "avg_difficulty", "scene_count"]
+    r = r.withColumn("hourly", hourly).where(F.col("hourly").isNotNull()).groupBy(*kind, "hourly").agg(
+        F.min(F.struct("ts", "run_id", "plan")).alias("__f")).select(*kind, "hourly", "__f.*")
+    r = r.withColumn("__least", F.min("hourly").over(Window.partitionBy(*kind))).where(F.col("hourly") <= F.col("__least") * (1 + 1e-9) + 1e-6)
+    run = F.struct("hourly", "ts", "run_id", "plan", "content_profile_hash", "avg_difficulty", "scene_count", "vram_mb")
+    r = r.select(*_ALIKE[:4], F.explode(keys).alias("__backend"), run.alias("r"), _band("avg_difficulty").alias("band"))
+    scenes = F.coalesce(F.floor(F.col("r.scene_count") / SCENE_BAND), F.lit(-1)).cast("int")
+    fastest = F.min_by("r", F.struct("r.hourly", "r.ts", "r.run_id")).alias("r")
+    bands = r.groupBy(*_ALIKE, "band").agg(F.min("r.hourly").alias("least"), F.max(_level(F.col("r.hourly"))).alias("cap"))
+
+    q = queries.withColumns({c: ascii_lower(c) for c in ("source_lang", "target_lang", "backend")}).select(
+        "query_id", *_ALIKE[:4], F.coalesce("backend", F.lit(_NO_BACKEND)).alias("__backend"), "content_profile_hash", "avg_difficulty", "scene_count", "vram_mb")
+    near = lambda band: F.array(*(band + i for i in (-1, 0, 1)))
+    looks = (
+        q.where(F.col("avg_difficulty").isNotNull()).withColumn("band", F.explode(near(_band("avg_difficulty"))))
+        .withColumn("scenes", F.explode(near(F.coalesce(F.floor(F.col("scene_count") / SCENE_BAND), F.lit(-1)).cast("int"))))
+        .join(r.groupBy(*_ALIKE, "band", scenes.alias("scenes")).agg(fastest), [*_ALIKE, "band", "scenes"]))
+    by_memory = q.join(r.groupBy(*_ALIKE, F.ceil(F.col("r.vram_mb") / 1024).alias("memory")).agg(fastest), _ALIKE)
+    first = looks.select("query_id", _fits().alias("fits"), _similarity_score().alias("score")).unionByName(
+        by_memory.select("query_id", _fits().alias("fits"), _similarity_score().alias("score"))).where("fits").groupBy("query_id").agg(F.min("score").alias("upper"))
+
+    upper = F.coalesce("upper", F.lit(WORST))
+    low, high = F.col("band") * DIFFICULTY_BAND, (F.col("band") + 1) * DIFFICULTY_BAND
+    gap = F.greatest(F.lit(0.0), low - F.col("avg_difficulty"), F.col("avg_difficulty") - high) * 320
+    least_gap = F.when(F.col("avg_difficulty").isNull() | (F.col("band") < 0), 25.0).otherwise(gap)
+    room = upper + MOST_OFF - least_gap + F.lit(1e-6) * (1 + F.abs(upper))
+    opened = q.join(first, "query_id", "left").join(bands, _ALIKE).where(F.col("least") <= room).withColumn("level", F.least(_level(room), F.col("cap")))
+    listed = r.join(bands.drop("least"), [*_ALIKE, "band"]).withColumn("level", F.explode(F.sequence(_level(F.col("r.hourly")), F.col("cap")))).drop("cap")
+    return opened.join(listed, [*_ALIKE, "band", "level"]).where(_fits() & (F.col("r.hourly") <= room)).select("query_id", "r", _similarity_score().alias("score"))
+
+
+def best_run_similar(queries: DataFrame, log: DataFrame) -> DataFrame:
+    """Closest good run on comparable hardware, where no exact one exists; the whole log is searched (``similar_pairs``)."""
+    best = similar_pairs(queries, log).groupBy("query_id").agg(
+        F.min("score").alias("score"), F.min_by(F.struct("r.run_id", "r.plan"), F.struct("score", "r.ts", "r.run_id")).alias("__r"))
     return best.select("query_id", F.col("__r.run_id").alias("run_id"), F.col("__r.plan").alias("plan"), "score")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuestrata import rules
 from cuestrata.functions import text as T
-from cuestrata.operators.ordered import lag_of, scan
+from cuestrata.operators.ordered import lag_of, one_pass, scan
 from cuestrata.session import stage
 
 KEYS = ["recording_id"]
@@ -16,12 +16,14 @@ JUMP_MS = 420_000
 BACKSTEP_MS = 100
 
 
+@one_pass
 def prev_end(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Add ``prev_end``: latest end among all earlier cues, 0 at the first."""
     out = scan(cues, keys, ["pos"], {"prev_end": ("max_before", F.col("end_ms"))})
     return out.withColumn("prev_end", F.greatest(F.coalesce("prev_end", F.lit(0)), F.lit(0)))
 
 
+@one_pass
 def scene_split(
     cues: DataFrame, rule: str = "gap", keys: list[str] = KEYS, bad_timing: bool = False
 ) -> DataFrame:
@@ -62,6 +64,7 @@ def scene_split(
     return df
 
 
+@one_pass
 def adjacent_duplicate(cues: DataFrame, keys: list[str] = KEYS, key_expr=T.health_key) -> DataFrame:
     """Add ``adjacent_duplicate``: normalised text equals the row before, and is not empty."""
     df = cues.withColumn("__k", key_expr("text"))
@@ -78,6 +81,7 @@ def scene_floor(difficulty: Column) -> Column:
     return F.when(difficulty >= 0.70, 0.70).when(difficulty <= 0.30, 0.90).otherwise(0.80)
 
 
+@one_pass
 def fast_turn_flags(scenes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Add ``fast_turn``: under 0.15 s after the previous timed cue of the same scene.
 
@@ -91,6 +95,7 @@ def fast_turn_flags(scenes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.withColumn("fast_turn", F.coalesce(gap < 150, F.lit(False))).drop("__p")
 
 
+@one_pass
 def scene_quality(
     cues: DataFrame, keys: list[str] = KEYS, bad_timing: bool = False, featured: bool = False
 ) -> DataFrame:
@@ -137,6 +142,7 @@ def scene_low_ratio(scored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.avg((~F.col("passed")).cast("double")).alias("scene_low_ratio"))
 
 
+@one_pass
 def source_scene_quality(cues: DataFrame, keys: list[str] = KEYS, bad_timing: bool = False) -> DataFrame:
     """Score and floor of untranslated scenes."""
     df = scene_split(cues.select(*keys, "pos", "start_ms", "end_ms", "text"), "gap", keys, bad_timing)
@@ -203,6 +209,7 @@ def score_source(df: DataFrame, keys: list[str], groups: list[str]) -> DataFrame
     return out.withColumn("passed", F.col("score") >= F.col("floor"))
 
 
+@one_pass
 def tag_difficulty(cues: DataFrame, profile: str, keys: list[str] = KEYS) -> DataFrame:
     """Cues with ``scene_id`` by the overlap rule, joined with their scene's ``difficulty``."""
     df = scene_split(cues, "overlap", keys)

@@ -9,7 +9,7 @@ from cuestrata import rules
 from cuestrata.functions import text as T
 from cuestrata.operators.confidence import mean_confidence
 from cuestrata.operators.folds import compact_cues
-from cuestrata.operators.ordered import number_rows
+from cuestrata.operators.ordered import number_rows, one_pass
 from cuestrata.operators.quality import (
     defect_ratios, semantic_health, semantic_penalty, structural_gate, structural_health, translation_quality)
 from cuestrata.operators.scenes import clamp, scene_quality, scene_split, score_source, source_scene_quality
@@ -155,6 +155,7 @@ def accept_better_source(
     return splice(cues.select(*keys, "pos", *payload), good.select(*keys, "span_start", "span_end"), taken, keys)
 
 
+@one_pass
 def source_retry_spans(cues: DataFrame, k: int | None = None, keys: list[str] = KEYS, bad_timing: bool = False) -> DataFrame:
     """The low source scenes (all, or the ``k`` worst) longer than 0.15 s, with the padded time to redo."""
     split = scene_split(cues.select(*keys, "pos", "start_ms", "end_ms"), "gap", keys, bad_timing)
@@ -209,6 +210,7 @@ def confidence_retry_windows(cues: DataFrame, spans: DataFrame, k: int = 8, keys
         (F.col("__e") + 400).alias("redo_to_ms"))
 
 
+@one_pass
 def compact_if_not_worse(cues: DataFrame, profile: str = "strict", lang: str = "en", keys: list[str] = KEYS) -> DataFrame:
     """Compacted cues where that made a recording shorter and no ratio worse, else the original.
 

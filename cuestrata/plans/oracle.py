@@ -273,16 +273,23 @@ SELECT i.recording_id, i.span_start, i.span_end, coalesce(avg(CASE WHEN r.score
     SELECT *, sum(CASE WHEN p IS NULL OR pos - p > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY pos) AS g FROM (
       SELECT recording_id, pos, lag(pos) OVER (PARTITION BY recording_id ORDER BY pos) AS p FROM low_rows WHERE low)) GROUP BY recording_id, g) i
 JOIN low_rows r ON r.recording_id = i.recording_id AND r.pos >= i.span_start AND r.pos < i.span_end GROUP BY 1, 2, 3"""),
+    # overlapping pairs meet in buckets of time, the others by the nearest centre on either side
     "aligned": (["ref_cues", "hyp_cues"], """
+WITH hb AS (SELECT recording_id, pos, start_ms, end_ms, unnest(range(start_ms // 30000, end_ms // 30000 + 1)) AS b FROM hyp_cues),
+rb AS (SELECT recording_id, pos, start_ms, end_ms, unnest(range(start_ms // 30000, end_ms // 30000 + 1)) AS b FROM ref_cues),
+best AS (SELECT recording_id, pos, arg_min(rpos, (-ov, rpos)) AS rpos FROM (
+  SELECT h.recording_id, h.pos, r.pos AS rpos, least(h.end_ms, r.end_ms) - greatest(h.start_ms, r.start_ms) AS ov FROM hb h JOIN rb r USING (recording_id, b)) WHERE ov > 0 GROUP BY 1, 2),
+lone AS (SELECT recording_id, pos, start_ms + end_ms AS c FROM hyp_cues ANTI JOIN best USING (recording_id, pos)),
+centre AS (SELECT recording_id, start_ms + end_ms AS c, min(pos) AS rpos FROM ref_cues GROUP BY 1, 2),
+near AS (SELECT recording_id, pos, arg_min(rpos, (d, rpos)) AS rpos FROM (
+  SELECT l.recording_id, l.pos, r.rpos, l.c - r.c AS d FROM lone l ASOF JOIN centre r ON l.recording_id = r.recording_id AND l.c >= r.c
+  UNION ALL SELECT l.recording_id, l.pos, r.rpos, r.c - l.c FROM lone l ASOF JOIN centre r ON l.recording_id = r.recording_id AND l.c <= r.c) GROUP BY 1, 2)
 SELECT recording_id, pos, start_ms, end_ms, ref_pos, ref_start_ms, ref_end_ms, ov AS overlap_ms,
   CASE WHEN ov > 0 THEN ov::DOUBLE / greatest(1, greatest(end_ms, ref_end_ms) - least(start_ms, ref_start_ms)) ELSE 0.0e0 END AS iou,
   ref_text, text AS hyp_text, greatest(0.05e0, ov::DOUBLE / greatest(1, end_ms - start_ms)) AS weight FROM (
   SELECT h.recording_id, h.pos, h.start_ms, h.end_ms, h.text, r.pos AS ref_pos, r.start_ms AS ref_start_ms, r.end_ms AS ref_end_ms, r.text AS ref_text,
-    greatest(0, least(h.end_ms, r.end_ms) - greatest(h.start_ms, r.start_ms)) AS ov,
-    row_number() OVER (PARTITION BY h.recording_id, h.pos ORDER BY greatest(0, least(h.end_ms, r.end_ms) - greatest(h.start_ms, r.start_ms)) DESC,
-      CASE WHEN greatest(0, least(h.end_ms, r.end_ms) - greatest(h.start_ms, r.start_ms)) = 0
-           THEN abs(h.start_ms + h.end_ms - r.start_ms - r.end_ms) ELSE 0 END, r.pos) AS rn
-  FROM hyp_cues h JOIN ref_cues r USING (recording_id)) WHERE rn = 1"""),
+    greatest(0, least(h.end_ms, r.end_ms) - greatest(h.start_ms, r.start_ms)) AS ov
+  FROM (SELECT * FROM best UNION ALL SELECT * FROM near) b JOIN hyp_cues h USING (recording_id, pos) JOIN ref_cues r ON r.recording_id = b.recording_id AND r.pos = b.rpos)"""),
     "messy": (["cues"], """
 SELECT recording_id, pos, start_ms, end_ms, CASE CAST((recording_id + pos) % 8 AS INT)
   WHEN 0 THEN concat('I''m''s here. ', text) WHEN 1 THEN concat(text, ' this''s right, I''m do it')

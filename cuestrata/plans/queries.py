@@ -493,31 +493,34 @@ def _(spark, sf):
     return ev.char_overlap_ratio(v.ref_cues(spark, sf), v.hyp_cues(spark, sf)).select("recording_id", *r6("char_overlap_ratio"))
 
 
-EVAL = ["time_coverage_ratio", "weighted_timing_iou", "non_empty_rate", "token_overlap_f1", "weighted_token_f1", "cue_density_ratio", "japanese_char_ratio"]
-
-
-@query("evaluate", o.ctes("aligned", "ref_cues", "hyp_cues") + "," + _PAIR_F1 + "," + _CORPUS + """,
-w AS (SELECT recording_id, count(*) AS aligned_pairs, sum(overlap_ms) AS ov, sum(iou * weight) / greatest(0.001, sum(weight)) AS weighted_timing_iou,
+EVAL = ["time_coverage_ratio", "weighted_timing_iou", "non_empty_rate", "token_overlap_f1", "weighted_token_f1", "cue_density_ratio", "japanese_char_ratio", "line_char_similarity"]
+_EVAL = o.ctes("aligned", "ref_cues", "hyp_cues") + "," + _PAIR_F1 + "," + _CORPUS + f""",
+ls AS (SELECT recording_id, sum(weight * CASE WHEN a = b THEN 1.0e0 ELSE 1.0e0 - levenshtein({o.one_byte('a')}, {o.one_byte('b')})::DOUBLE / greatest(length(a), length(b)) END) / greatest(0.001e0, sum(weight)) AS line_char_similarity
+ FROM (SELECT recording_id, weight, lower(ref_text) AS a, lower(hyp_text) AS b FROM aligned) GROUP BY 1),
+""" + """w AS (SELECT recording_id, count(*) AS aligned_pairs, sum(overlap_ms) AS ov, sum(iou * weight) / greatest(0.001, sum(weight)) AS weighted_timing_iou,
   sum(f1 * weight) / greatest(0.001, sum(weight)) AS weighted_token_f1 FROM pf GROUP BY 1),
 h AS (SELECT recording_id, count(*) AS hyp_cues, arg_max(end_ms, pos) AS last, sum(greatest(1, end_ms - start_ms)) AS dur, avg((trim(text) <> '')::INT) AS non_empty_rate,
   sum(length(regexp_replace(text, '[^\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]', '', 'g'))) AS jp, sum(length(regexp_replace(text, '\\s', '', 'g'))) AS solid FROM hyp_cues GROUP BY 1),
-r AS (SELECT recording_id, count(*) AS ref_cues, arg_max(end_ms, pos) AS last FROM ref_cues GROUP BY 1)
-SELECT h.recording_id, coalesce(ref_cues, 0) AS ref_cues, hyp_cues, coalesce(aligned_pairs, 0) AS aligned_pairs, coalesce(ref_cues, 0) = hyp_cues AS cue_count_match,
-  round(coalesce(ov, 0)::DOUBLE / dur, 6) AS time_coverage_ratio, round(coalesce(weighted_timing_iou, 0), 6) AS weighted_timing_iou, round(non_empty_rate, 6) AS non_empty_rate,
-  round(token_overlap_f1, 6) AS token_overlap_f1, round(coalesce(weighted_token_f1, 0), 6) AS weighted_token_f1,
-  round((hyp_cues / greatest(1.0e0, h.last / 3600000.0e0)) / greatest(1.0e0, coalesce(ref_cues, 0) / greatest(1.0e0, coalesce(r.last, 0) / 3600000.0e0)), 6) AS cue_density_ratio,
-  round(CASE WHEN solid = 0 THEN 0.0e0 ELSE jp::DOUBLE / solid END, 6) AS japanese_char_ratio
-FROM h LEFT JOIN r USING (recording_id) LEFT JOIN w USING (recording_id) LEFT JOIN cf USING (recording_id)""")
-def _(spark, sf):
-    out = ev.evaluate(v.ref_cues(spark, sf), v.hyp_cues(spark, sf), chars=False)
+r AS (SELECT recording_id, count(*) AS ref_cues, arg_max(end_ms, pos) AS last FROM ref_cues GROUP BY 1),
+ev AS (SELECT h.recording_id, coalesce(ref_cues, 0) AS ref_cues, hyp_cues, coalesce(aligned_pairs, 0) AS aligned_pairs, coalesce(ref_cues, 0) = hyp_cues AS cue_count_match,
+  coalesce(ov, 0)::DOUBLE / dur AS time_coverage_ratio, coalesce(weighted_timing_iou, 0) AS weighted_timing_iou, non_empty_rate,
+  token_overlap_f1, coalesce(weighted_token_f1, 0) AS weighted_token_f1,
+  (hyp_cues / greatest(1.0e0, h.last / 3600000.0e0)) / greatest(1.0e0, coalesce(ref_cues, 0) / greatest(1.0e0, coalesce(r.last, 0) / 3600000.0e0)) AS cue_density_ratio,
+  CASE WHEN solid = 0 THEN 0.0e0 ELSE jp::DOUBLE / solid END AS japanese_char_ratio, coalesce(line_char_similarity, 0) AS line_char_similarity
+FROM h LEFT JOIN r USING (recording_id) LEFT JOIN w USING (recording_id) LEFT JOIN cf USING (recording_id) LEFT JOIN ls USING (recording_id))"""
+
+
+@query("evaluate", _EVAL + " SELECT recording_id, ref_cues, hyp_cues, aligned_pairs, cue_count_match, " + ", ".join(map(s6, EVAL)) + " FROM ev")
+def _(spark, sf):
+    out = ev.evaluate(v.ref_cues(spark, sf), v.hyp_cues(spark, sf))
     return out.select("recording_id", "ref_cues", "hyp_cues", "aligned_pairs", "cue_count_match", *r6(*EVAL))
 
 
 @query("evaluate_whole")
 def _(spark, sf):
-    """All metrics, ``line_char_similarity`` with them, which SQL cannot say."""
-    out = ev.evaluate(v.ref_cues(spark, sf), v.hyp_cues(spark, sf))
-    return out.select("recording_id", "ref_cues", "hyp_cues", "aligned_pairs", "cue_count_match", *r6(*EVAL, "line_char_similarity"))
+    """All metrics, lines compared by matching blocks, which SQL cannot say."""
+    out = ev.evaluate(v.ref_cues(spark, sf), v.hyp_cues(spark, sf), blocks=True)
+    return out.select("recording_id", "ref_cues", "hyp_cues", "aligned_pairs", "cue_count_match", *r6(*EVAL))
 
 
 @query("char_similarity")
@@ -526,7 +529,8 @@ def _(spark, sf):
     return T.add_char_similarity(pairs, "ref_text", "hyp_text").select(*ID, *r6("char_similarity"))
 
 
-@query("evaluation_gate")
+@query("evaluation_gate", _EVAL + f""" SELECT recording_id, {s6('line_char_similarity')}, {s6('weighted_token_f1')}, non_empty_rate >= 0.999e0 AND time_coverage_ratio >= 0.75e0
+  AND line_char_similarity >= 0.20e0 AND weighted_token_f1 >= 0.35e0 AND japanese_char_ratio <= 0.20e0 AS passed FROM ev""")
 def _(spark, sf):
     out = ev.evaluation_gate(ev.evaluate(v.ref_cues(spark, sf), v.hyp_cues(spark, sf)))
     return out.select("recording_id", *r6("line_char_similarity", "weighted_token_f1"), "passed")
@@ -707,21 +711,19 @@ def _neighbours(spark, sf):
     return c.join(c.select("recording_id", (F.col("pos") - 1).alias("pos"), F.col("a").alias("b")), ID)
 
 
-@query("similarity", o.ctes("cues") + f""" SELECT recording_id, pos, round(1.0e0 - levenshtein({o.one_byte('a')}, {o.one_byte('b')})::DOUBLE / greatest(length(a), length(b), 1), 6) AS similarity FROM (
- SELECT recording_id, pos, regexp_extract(text, '^\\S*') AS a, regexp_extract(lead(text) OVER (PARTITION BY recording_id ORDER BY pos), '^\\S*') AS b FROM cues) WHERE b IS NOT NULL""")
-def _(spark, sf):
-    """First words of neighbouring cues."""
-    c = v.cues(spark, sf).select(*ID, F.regexp_extract("text", r"^\S*", 0).alias("a"))
-    nxt = c.select("recording_id", (F.col("pos") - 1).alias("pos"), F.col("a").alias("b"))
-    return T.add_similarity(c.join(nxt, ID), "a", "b").select(*ID, *r6("similarity"))
+_SIMILAR = o.ctes("cues") + f""" SELECT recording_id, pos, round(CASE WHEN a = b THEN 1.0e0 ELSE 1.0e0 - levenshtein({o.one_byte('a')}, {o.one_byte('b')})::DOUBLE / greatest(length(a), length(b)) END, 6) AS similarity FROM (
+ SELECT recording_id, pos, text AS a, lead(text) OVER (PARTITION BY recording_id ORDER BY pos) AS b FROM cues) WHERE b IS NOT NULL"""
 
 
-@query("similarity_whole")
+@query("similarity", _SIMILAR)
 def _(spark, sf):
     """Whole texts of neighbouring cues."""
     return T.add_similarity(_neighbours(spark, sf), "a", "b").select(*ID, *r6("similarity"))
 
 
+QUERIES["similarity_whole"], SQL["similarity_whole"] = QUERIES["similarity"], _SIMILAR
+
+
 # ======================================================================== repair
 def _rules_sql(expr: str, pairs) -> str:
     for a, b in pairs:
@@ -790,25 +792,21 @@ def _(spark, sf):
     return R.capitalise_lines(v.table(spark, sf, "documents")).select("doc_id", "text")
 
 
-_MERGE = r"""n AS (SELECT recording_id, pos, text AS a, lead(text) OVER (PARTITION BY recording_id ORDER BY pos) AS b FROM (SELECT recording_id, pos, CASE WHEN pos % 2 = 1 THEN lower(substr(text, 1, 40)) ELSE substr(text, 1, 30) END AS text FROM cues))
-SELECT recording_id, pos, trim(a) <> '' AND trim(b) <> '' AND NOT (regexp_matches(a || b, '[\[\]]') OR len(regexp_extract_all(a, '\S+')) > 8 OR len(regexp_extract_all(b, '\S+')) > 8
- OR regexp_matches(trim(b), '^[A-Z]') OR regexp_matches(trim(a), '[.?!:]$')) AS can_merge, CASE WHEN rtrim(a) = '' THEN ltrim(b) WHEN ltrim(b) = '' THEN rtrim(a) ELSE rtrim(a) || ' ' || ltrim(b) END AS merged FROM n WHERE b IS NOT NULL"""
-
-
-@query("can_merge", o.ctes("cues") + "," + _MERGE)
-def _(spark, sf):
-    """Neighbouring cues, made short by the view."""
-    c = v.cues(spark, sf).select(*ID, F.expr("CASE WHEN pos % 2 = 1 THEN lower(substr(text, 1, 40)) ELSE substr(text, 1, 30) END").alias("a"))
-    both = c.join(c.select("recording_id", (F.col("pos") - 1).alias("pos"), F.col("a").alias("b")), ID)
-    return both.select(*ID, R.can_merge_expr("a", "b").alias("can_merge"), R.merge_expr("a", "b").alias("merged"))
+_MERGE = o.ctes("cues") + r""", n AS (SELECT recording_id, pos, text AS a, lead(text) OVER (PARTITION BY recording_id ORDER BY pos) AS b FROM cues),
+m AS (SELECT *, regexp_replace(a, '^\s+|\s+$', '', 'g') AS sa, regexp_replace(b, '^\s+|\s+$', '', 'g') AS sb, regexp_replace(a, '\s+$', '') AS ra, regexp_replace(b, '^\s+', '') AS lb FROM n WHERE b IS NOT NULL)
+SELECT recording_id, pos, a <> '' AND b <> '' AND NOT (regexp_matches(sa || sb, '[\[\]]') OR len(regexp_extract_all(a, '\S+')) > 8 OR len(regexp_extract_all(b, '\S+')) > 8
+ OR regexp_matches(sb, '^[A-Z]') OR regexp_matches(sa, '[.?!:]$')) AS can_merge, CASE WHEN ra = '' THEN lb WHEN lb = '' THEN ra ELSE ra || ' ' || lb END AS merged FROM m"""
 
 
-@query("can_merge_whole")
+@query("can_merge", _MERGE)
 def _(spark, sf):
     """Neighbouring cues as they are."""
     return _neighbours(spark, sf).select(*ID, R.can_merge_expr("a", "b").alias("can_merge"), R.merge_expr("a", "b").alias("merged"))
 
 
+QUERIES["can_merge_whole"], SQL["can_merge_whole"] = QUERIES["can_merge"], _MERGE
+
+
 def _dict_sql() -> str:
     expr = "text"
     for a, b in rules.INLINE_PHRASES:

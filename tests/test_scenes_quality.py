@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from cuestrata.operators import confidence, consistency, content, context, names, quality, scenes
+from cuestrata.operators import ordered
 from cuestrata.operators.ordered import ROWS_PER_BLOCK
 
 
@@ -143,8 +144,9 @@ def test_batches_keep_rows_and_group_hard_ones(spark):
     assert [r.text for r in got][:4] == ["t0/9", "t1/9", "t2/9", "t3"] and got[15].text == "t15/11"
 
 
-def test_one_recording_over_many_blocks(spark):
+def test_one_recording_over_many_blocks(spark, monkeypatch):
     """A recording longer than several blocks scores like a plain window."""
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", ROWS_PER_BLOCK)
     n = ROWS_PER_BLOCK * 3 + 17
     df = spark.range(n).selectExpr("1L AS recording_id", "CAST(id AS INT) AS pos", "id * 900 + (id % 13) * 400 AS start_ms", "id * 900 + (id % 13) * 400 + 800 AS end_ms", "'x' AS text")
     got = scenes.scene_split(df).select("pos", "scene_id")
