@@ -17,7 +17,7 @@ from cuestrata.llm.windows import Bucket, Unit, keyed_texts, power_grams, repeat
 WORDS, MINIMISER = 50, 24
 
 
-def solve_first(bucket: Bucket, unit: Unit) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def solve_first(bucket: Bucket, unit: Unit) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Windows that start in a document with a smaller id.
 
     A member whose packed string stands in an earlier document loses all of its windows.  For
@@ -27,7 +27,7 @@ def solve_first(bucket: Bucket, unit: Unit) -> Iterator[tuple[np.ndarray, np.nda
     lo = np.full(len(bucket.packs), np.iinfo(np.int64).max)
     np.minimum.at(lo, bucket.string, bucket.ids)
     later = np.flatnonzero(bucket.ids > lo[bucket.string])
-    yield later, np.zeros(len(later), np.int64), bucket.n[later]
+    yield later, np.zeros(len(later), np.int64), bucket.n[later], True
 
     strings = np.flatnonzero(bucket.shared)
     if not len(strings):
@@ -56,7 +56,7 @@ def solve_first(bucket: Bucket, unit: Unit) -> Iterator[tuple[np.ndarray, np.nda
     gone[again] = [least[t] < x for t, x in zip(texts, own, strict=True)]
     begin, end = spans_of_rows(gone, each)
     member_of = bucket.ids == lo[bucket.string]
-    yield from spread(bucket, member_of, strings[of[begin]], place[begin], place[end - 1] + 1)
+    yield *spread(bucket, member_of, strings[of[begin]], place[begin], place[end - 1] + 1), True
 
 
 def spans_of_rows(mask: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def spans_of_rows(mask: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.sort(np.append(begin, inner)), np.sort(np.append(end, inner))
 
 
-def spread(bucket: Bucket, chosen: np.ndarray, string: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def spread(bucket: Bucket, chosen: np.ndarray, string: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window ranges of strings, for each chosen member that has the string."""
     member = np.flatnonzero(chosen)
     member = member[np.argsort(bucket.string[member], kind="stable")]
@@ -77,7 +77,7 @@ def spread(bucket: Bucket, chosen: np.ndarray, string: np.ndarray, a: np.ndarray
     times = hi - lo
     span = np.repeat(np.arange(len(string)), times)
     nth = np.arange(len(span)) - np.repeat(np.cumsum(times) - times, times)
-    yield member[lo[span] + nth], a[span], b[span]
+    return member[lo[span] + nth], a[span], b[span]
 
 
 def removed_words(docs: DataFrame, words: int = WORDS, minimiser: int = MINIMISER) -> DataFrame:

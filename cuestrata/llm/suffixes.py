@@ -82,8 +82,11 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray,
     return shard, rank, common
 
 
-def repeated_windows(strings: list[bytes], windows: np.ndarray, unit: Unit, block: int = BLOCK, shard_bytes: int = SHARD) -> np.ndarray:
-    """Whether each window (of all strings, end to end) also starts elsewhere in the strings."""
+def repeated_windows(
+    strings: list[bytes], windows: np.ndarray, unit: Unit, block: int = BLOCK, shard_bytes: int = SHARD, ids: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each window (of all strings, end to end) also starts elsewhere in the strings, and the smallest
+    of the strings' ``ids`` among the windows equal to it."""
     raw = np.frombuffer(b"".join(strings), np.uint8)
     size = np.array([len(s) for s in strings])
     off = np.append(0, np.cumsum(size))
@@ -118,28 +121,40 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, unit: Unit, bloc
     twice = same | np.append(same[1:], False)
     repeated = np.zeros(len(string), bool)
     repeated[ordered] = twice
-    return repeated[inside < windows[string]]
+    own = (np.zeros(len(strings), np.int64) if ids is None else ids)[string]
+    least = np.empty_like(own)
+    if len(own):
+        # a repeated interval is a stretch without a border
+        least[ordered] = np.minimum.reduceat(own[ordered], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+    there = inside < windows[string]
+    return repeated[there], least[there]
 
 
-def solve_any(bucket: Bucket, unit: Unit) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def solve_any(bucket: Bucket, unit: Unit) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Windows that start anywhere else: all those of a string with several members, and those that the merge finds."""
     count = np.bincount(bucket.string, minlength=len(bucket.packs))
-    every = np.flatnonzero(count[bucket.string] > 1)
-    yield every, np.zeros(len(every), np.int64), bucket.n[every]
+    lo = np.full(len(bucket.packs), np.iinfo(np.int64).max)
+    np.minimum.at(lo, bucket.string, bucket.ids)
+    earliest = bucket.ids == lo[bucket.string]
+    for later in (False, True):
+        every = np.flatnonzero(~earliest if later else (count[bucket.string] > 1) & earliest)
+        yield every, np.zeros(len(every), np.int64), bucket.n[every], later
     strings = np.flatnonzero(bucket.shared | bucket.loop)
     if len(strings):
         each = bucket.windows[strings]
-        mask = repeated_windows([bucket.packs[s] for s in strings], each, unit)
+        mask, least = repeated_windows([bucket.packs[s] for s in strings], each, unit, ids=lo[strings])
         of = np.repeat(np.arange(len(strings)), each)
         place = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-        begin, end = spans_of_rows(mask, each)
-        yield from spread(bucket, count[bucket.string] == 1, strings[of[begin]], place[begin], place[end - 1] + 1)
+        for which, chosen, later in ((mask, count[bucket.string] == 1, False), (least < lo[strings][of], earliest, True)):
+            begin, end = spans_of_rows(which, each)
+            yield *spread(bucket, chosen, strings[of[begin]], place[begin], place[end - 1] + 1), later
 
 
 def dedup_bytes(docs: DataFrame, length: int = BYTES, minimiser: int = MINIMISER) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
+    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary), n_later.
 
-    ``length`` is a multiple of ``BLOCK``.  Null texts count as empty, and a null doc_id is a
+    ``n_later`` counts the removed bytes that a string of an earlier document covers: those that would go
+    if the first document kept its passage.  ``length`` is a multiple of ``BLOCK``.  Null texts count as empty, and a null doc_id is a
     document of its own kind.  Repeated rows stand for one text each, so they remove each
     other's bytes from ``length`` bytes on.  Extra columns are not looked at.
     """
@@ -152,20 +167,22 @@ def dedup_bytes(docs: DataFrame, length: int = BYTES, minimiser: int = MINIMISER
             buf, off = text_buffer(batch.column(1))
             for a, b in row_slices(off):
                 part, first = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-                gone = span_mask(batch.column(2).slice(a, b - a), first)
+                lists = batch.column(2).slice(a, b - a)
+                gone = span_mask(lists, first)
+                again = np.append(0, np.cumsum(span_mask(lists, first, True)))[first]
                 begin, _ = spans_of_rows(gone, np.diff(first))
                 left = np.append(0, np.cumsum(~gone))[first]
                 kept = part[~gone].tobytes()
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(np.diff(first) - np.diff(left)), pa.array(np.diff(np.searchsorted(begin, first))),
-                    pa.array([kept[x:y] for x, y in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)], pa.binary())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    pa.array([kept[x:y] for x, y in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)], pa.binary()), pa.array(np.diff(again))],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_later"])
 
     spans = repeated_spans(keyed_texts(docs), unit, False, solve_any)
-    return with_spans(docs, spans).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_spans(docs, spans).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_later long")
 
 
 
 
 def dedup_bytes_digests(docs: DataFrame) -> DataFrame:
-    return dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_later")

@@ -194,20 +194,22 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-Solve = Callable[[Bucket, Unit], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+#: Yields members, the first and the end of a range of windows of each, and whether an earlier document has them.
+Solve = Callable[[Bucket, Unit], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]]
 
 
 def solved(packs: DataFrame, unit: Unit, solve: Solve) -> DataFrame:
-    """Spans of tokens (id, th, start, end) to remove, bucket by bucket; ``solve`` yields members and window ranges."""
+    """Spans of tokens (id, th, start, end, later) to remove, bucket by bucket; ``solve`` yields members and window ranges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [[] for _ in range(7)], 0
 
         def results(rows):
             bucket = _bucket(rows)
-            for member, a, b in solve(bucket, unit):
+            for member, a, b, later in solve(bucket, unit):
                 start = bucket.start[member]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket.ids[member]), pa.array(bucket.ths[member]), pa.array(start + a, pa.int32()), pa.array(start + b + unit.length - 1, pa.int32())], names=["id", "th", "start", "end"])
+                    pa.array(bucket.ids[member]), pa.array(bucket.ths[member]), pa.array(start + a, pa.int32()), pa.array(start + b + unit.length - 1, pa.int32()),
+                    pa.array(np.full(len(member), later))], names=["id", "th", "start", "end", "later"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -224,7 +226,7 @@ def solved(packs: DataFrame, unit: Unit, solve: Solve) -> DataFrame:
             yield from results(held)
 
     dealt = packs.repartition(partitions(packs.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lean(run), "id long, th long, start int, end int")
+    return dealt.mapInArrow(lean(run), "id long, th long, start int, end int, later boolean")
 
 
 def hot_spans(packs: DataFrame, unit: Unit, across: bool) -> DataFrame:
@@ -259,11 +261,11 @@ def hot_spans(packs: DataFrame, unit: Unit, across: bool) -> DataFrame:
     if across:
         out = out.where(F.col("w.first") < F.col("id"))
     begin = F.col("start") + F.col("w.place")
-    return out.select("id", "th", begin.alias("start"), (begin + unit.length).alias("end"))
+    return out.select("id", "th", begin.alias("start"), (begin + unit.length).alias("end"), (F.col("w.first") < F.col("id")).alias("later"))
 
 
 def repeated_spans(texts: DataFrame, unit: Unit, across: bool, solve: Solve) -> DataFrame:
-    """id, th, spans: the token spans of each document that repeated windows cover."""
+    """id, th, spans (start, end, later: also in an earlier document): the token spans of each document that repeated windows cover."""
     light = stage(light_runs(texts, unit), "light")
     runs = stage(repeated_runs(light, across), "runs")
     forget(light)
@@ -271,7 +273,7 @@ def repeated_spans(texts: DataFrame, unit: Unit, across: bool, solve: Solve) ->
     hot = runs.where("hot")
     if not hot.isEmpty():
         spans = spans.unionByName(hot_spans(packed(texts, hot, unit), unit, across))
-    return spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end", "later")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -280,12 +282,15 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.join(spans, ["id", "th"], "left").select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "text", "spans")
 
 
-def span_mask(lists: pa.Array, first: np.ndarray) -> np.ndarray:
-    """Which tokens of a slice the spans cover; ``first`` has the first token of each row."""
+def span_mask(lists: pa.Array, first: np.ndarray, later: bool = False) -> np.ndarray:
+    """Which tokens of a slice the spans cover (``later``: those alone that an earlier document has); ``first`` has the first token of each row."""
     counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
     flat = lists.flatten()
-    row = by_row(counts)
+    row, start, end = by_row(counts), flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    if later:
+        some = flat.field(2).to_numpy(zero_copy_only=False)
+        row, start, end = row[some], start[some], end[some]
     edge = np.zeros(int(first[-1]) + 1, np.int32)
-    np.add.at(edge, first[row] + flat.field(0).to_numpy(), 1)
-    np.add.at(edge, first[row] + flat.field(1).to_numpy(), -1)
+    np.add.at(edge, first[row] + start, 1)
+    np.add.at(edge, first[row] + end, -1)
     return np.cumsum(edge)[:-1] > 0

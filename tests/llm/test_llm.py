@@ -91,11 +91,16 @@ def test_suffixes(spark, docs, nothing, monkeypatch, hot):
     monkeypatch.setattr(windows, "HOT_ROWS", hot)
     raw = [(i, (t or "").encode()) for i, t in cases()]
     times = Counter(t[k : k + 400] for _, t in raw for k in range(len(t) - 399))
+    first: dict[bytes, int] = {}
+    order = lambda i: (1 << 63) - 1 if i is None else i
+    for i, t in raw:
+        for k in range(len(t) - 399):
+            first[t[k : k + 400]] = min(order(i), first.get(t[k : k + 400], order(i)))
     want = Counter()
     for i, t in raw:
         m = masked(t, 400, lambda x: times[x] > 1)
         spans = sum(gone and (k == 0 or not m[k - 1]) for k, gone in enumerate(m))
-        want[i, len(t), sum(m), spans, sha(bytes(x for x, gone in zip(t, m, strict=True) if not gone))] += 1
+        want[i, len(t), sum(m), spans, sha(bytes(x for x, gone in zip(t, m, strict=True) if not gone)), sum(masked(t, 400, lambda x, i=i: first[x] < order(i)))] += 1
     assert got(suffixes.dedup_bytes_digests(docs)) == want
     assert suffixes.dedup_bytes_digests(nothing).count() == 0
 
@@ -105,9 +110,10 @@ def test_merged_transforms_give_order_and_common_prefixes():
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(5, 60))) for _ in range(40)]
     unit = windows.Unit(False, 6, 2)
     each = np.array([max(len(s) - 5, 0) for s in strings])
-    mask = suffixes.repeated_windows(strings, each, unit, block=2, shard_bytes=200)
+    mask, least = suffixes.repeated_windows(strings, each, unit, block=2, shard_bytes=200, ids=np.arange(40)[::-1])
     times = Counter(s[k : k + 6] for s in strings for k in range(len(s) - 5))
     assert mask.tolist() == [times[s[k : k + 6]] > 1 for s in strings for k in range(len(s) - 5)]
+    assert least.tolist() == [39 - max(j for j, o in enumerate(strings) if s[k : k + 6] in o) for s in strings for k in range(len(s) - 5)]
 
 
 def test_bpe_equals_tiktoken(spark, docs, nothing):
