@@ -112,14 +112,16 @@ def content_map_from_cues(cues: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def content_hash(content: DataFrame, scenes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Hash of the rounded content fields and of all scenes.
 
-    Each scene is hashed with its start, and the hashes are summed, so a recording of any
-    length is folded before the shuffle and no scene is left out.
+    Each scene is hashed with its start, and the hashes (60 bits of MD5) are summed, so a recording of
+    any length is folded before the shuffle and no scene is left out.  Values are rounded to six digits
+    first, so that the order of a sum can't turn a digit.
     """
-    tens = lambda c: F.round(F.col(c) * 10).cast("bigint")
-    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
-    scene = F.xxhash64(tens("scene_start_ms"), F.round(F.col("duration_ms") / 100).cast("bigint"), cents("speech_density"), cents("difficulty"))
+    scaled = lambda c, by: F.round(F.round(F.col(c).cast("double"), 6) * by).cast("bigint")
+    line = lambda *parts: F.concat_ws(":", *parts)
+    scene = F.conv(F.substring(F.md5(line(
+        scaled("scene_start_ms", 10), scaled("duration_ms", 0.01), scaled("speech_density", 100), scaled("difficulty", 100))), 1, 15), 16, 10)
     every = scenes.groupBy(*keys).agg(F.sum(scene.cast("decimal(38,0)")).alias("__s"))
-    fields = F.struct(
-        tens("total_secs"), tens("speech_secs"), cents("avg_difficulty"), cents("speaker_complexity"),
-        cents("energy_variance"), cents("overlap_risk"), "scene_count", "__s")
-    return content.join(every, keys, "left").select(*keys, F.xxhash64(fields).alias("content_hash"))
+    fields = line(
+        scaled("total_secs", 10), scaled("speech_secs", 10), *(scaled(c, 100) for c in ("avg_difficulty", "speaker_complexity", "energy_variance", "overlap_risk")),
+        F.col("scene_count"), F.coalesce("__s", F.lit(0)))
+    return content.join(every, keys, "left").select(*keys, F.md5(fields).alias("content_hash"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -429,14 +431,17 @@ def _(spark, sf):
 CMAP = ["total_secs", "speech_secs", "silence_secs", "avg_difficulty", "speaker_complexity", "energy_variance", "overlap_risk"]
 
 
-@query("content_map", o.ctes("classed", "speech", "recordings") + """, a AS (SELECT recording_id, count(*) AS scene_count, avg(difficulty) AS avg_difficulty,
+_CMAP = o.ctes("classed", "speech", "recordings") + """, a AS (SELECT recording_id, count(*) AS scene_count, avg(difficulty) AS avg_difficulty,
   (avg(speakers) - 1) / 3 AS speaker_complexity, sum(chg::INT) AS chg, avg((speakers >= 3 AND speech_density >= 0.75)::INT) AS overlap_risk FROM (
   SELECT *, energy <> lag(energy) OVER (PARTITION BY recording_id ORDER BY scene_start_ms) AS chg FROM classed) GROUP BY 1),
-s AS (SELECT r.recording_id, r.duration_ms, least(r.duration_ms, coalesce(sum(s.end_ms - s.start_ms), 0)) AS sp FROM recordings r LEFT JOIN speech s USING (recording_id) GROUP BY 1, 2)
-SELECT recording_id, scene_count, round(duration_ms / 1000.0e0, 6) AS total_secs, round(sp / 1000.0e0, 6) AS speech_secs, round((duration_ms - sp) / 1000.0e0, 6) AS silence_secs,
+s AS (SELECT r.recording_id, r.duration_ms, least(r.duration_ms, coalesce(sum(s.end_ms - s.start_ms), 0)) AS sp FROM recordings r LEFT JOIN speech s USING (recording_id) GROUP BY 1, 2),
+cm AS (SELECT recording_id, scene_count, round(duration_ms / 1000.0e0, 6) AS total_secs, round(sp / 1000.0e0, 6) AS speech_secs, round((duration_ms - sp) / 1000.0e0, 6) AS silence_secs,
   round(avg_difficulty, 6) AS avg_difficulty, round(speaker_complexity, 6) AS speaker_complexity,
   round(CASE WHEN scene_count > 1 THEN coalesce(chg, 0)::DOUBLE / (scene_count - 1) ELSE 0.0e0 END, 6) AS energy_variance, round(overlap_risk, 6) AS overlap_risk,
-  CAST(floor(greatest(1.0e0, round(sp / 1000.0e0 / 2.8e0) * (1.0e0 + (avg_difficulty - 0.35e0) * 0.35e0))) AS BIGINT) AS estimated_cues FROM a JOIN s USING (recording_id)""")
+  CAST(floor(greatest(1.0e0, round(sp / 1000.0e0 / 2.8e0) * (1.0e0 + (avg_difficulty - 0.35e0) * 0.35e0))) AS BIGINT) AS estimated_cues FROM a JOIN s USING (recording_id))"""
+
+
+@query("content_map", _CMAP + " SELECT * FROM cm")
 def _(spark, sf):
     out = content.content_map(v.recordings(spark, sf), v.speech(spark, sf))
     return out.select("recording_id", "scene_count", *r6(*CMAP), "estimated_cues")
@@ -448,7 +453,13 @@ def _(spark, sf):
     return content.content_map_from_cues(v.cues(spark, sf)).select("recording_id", *r6("total_secs"), "estimated_cues", "avg_difficulty")
 
 
-@query("content_hash")
+def _scaled(c: str, by: str) -> str:
+    return f"CAST(round(round({c}::DOUBLE, 6) * {by}) AS BIGINT)"
+
+
+@query("content_hash", _CMAP + f""", sh AS (SELECT recording_id, sum(('0x' || substr(md5(concat_ws(':', {_scaled('scene_start_ms', '10')}, {_scaled('duration_ms', '0.01e0')}, {_scaled('speech_density', '100')}, {_scaled('difficulty', '100')})), 1, 15))::BIGINT) AS s
+ FROM classed GROUP BY 1) SELECT recording_id, md5(concat_ws(':', {_scaled('total_secs', '10')}, {_scaled('speech_secs', '10')}, {', '.join(_scaled(c, '100') for c in ('avg_difficulty', 'speaker_complexity', 'energy_variance', 'overlap_risk'))}, scene_count, coalesce(s, 0))) AS content_hash
+FROM cm LEFT JOIN sh USING (recording_id)""")
 def _(spark, sf):
     rec, sp = v.recordings(spark, sf), v.speech(spark, sf)
     return content.content_hash(content.content_map(rec, sp), content.content_scenes(rec, sp))
@@ -901,7 +912,22 @@ def _(spark, sf):
     return folds.compact_cues(v.snippets(spark, sf)).select(*ID, "start_ms", "end_ms", "text", "merges")
 
 
-@query("compact_if_not_worse")
+def _variant(suffix: str) -> str:
+    """The blocks that lead to ``semantic`` and ``health`` once more, over the table ``cues`` + suffix."""
+    names = ["ends", "scenes", "feats", "scored", "title", "incons", "semantic", "health"]
+    again = lambda body: re.sub(r"\b(cues|" + "|".join(names) + r")\b", lambda m: m.group(1) + suffix, body)
+    return ", ".join(f"{n}{suffix} AS ({again(o.BLOCKS[n][1])})" for n in names)
+
+
+_NOT_WORSE = o.ctes("cues", "semantic", "health") + "," + _compact_sql().replace("\nSELECT recording_id, head", ",\ncues_c AS (SELECT recording_id, head") + "), " + _variant("_c") + """,
+take AS (SELECT s.recording_id FROM semantic s JOIN health h USING (recording_id) JOIN semantic_c t USING (recording_id) JOIN health_c g USING (recording_id)
+ WHERE s.cue_count >= 2 AND t.cue_count < s.cue_count AND NOT (t.malformed_ratio > s.malformed_ratio + 2.2e-16 OR t.anomaly_ratio > s.anomaly_ratio + 0.001e0 OR t.adjacent_repeat_ratio > s.adjacent_repeat_ratio + 0.001e0
+  OR t.scene_low_ratio > s.scene_low_ratio + 0.002e0 OR g.overlap_ratio > h.overlap_ratio OR g.top_line_ratio > h.top_line_ratio + 0.003e0))
+SELECT recording_id, pos, start_ms, end_ms, text, false AS compacted FROM cues WHERE recording_id NOT IN (SELECT recording_id FROM take)
+UNION ALL SELECT recording_id, pos, start_ms, end_ms, text, true FROM cues_c WHERE recording_id IN (SELECT recording_id FROM take)"""
+
+
+@query("compact_if_not_worse", _NOT_WORSE)
 def _(spark, sf):
     return selection.compact_if_not_worse(v.cues(spark, sf)).select(*ID, "start_ms", "end_ms", "text", "compacted")
 
@@ -1003,14 +1029,51 @@ def _retry_rows(windows, key):
         F.concat(F.lit("retry "), F.col("ord").cast("string")).alias("text"))
 
 
-@query("accept_better_source")
+def _slices_scored(base: str, name: str) -> str:
+    """Source scores of the groups (recording_id, g) of a table of cues."""
+    return f"""{name} AS (SELECT recording_id, g, n, {o.clamp("""1.0e0 - (coalesce(top, 0)::DOUBLE / n * 1.45e0 + CASE WHEN n > 1 THEN overs::DOUBLE / (n - 1) ELSE 0.0e0 END * 1.35e0
+  + (1.0e0 - filled::DOUBLE / n) * 1.6e0 + short::DOUBLE / n * 0.55e0 + tiny::DOUBLE / n * 0.8e0 + dup::DOUBLE / n * 0.95e0)""", '0.0e0', '1.0e0')} AS score FROM (
+ SELECT recording_id, g, count(*) AS n, sum((start_ms < coalesce(spe, start_ms))::INT) AS overs, sum((k <> '')::INT) AS filled, sum((end_ms - start_ms < 450)::INT) AS short,
+   sum((end_ms - start_ms < 200)::INT) AS tiny, sum((k <> '' AND k = coalesce(pk, ''))::INT) AS dup FROM (
+  SELECT *, max(end_ms) OVER (PARTITION BY recording_id, g ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spe, lag(k) OVER (PARTITION BY recording_id, g ORDER BY pos) AS pk
+  FROM (SELECT *, lower({o.collapse('text')}) AS k FROM {base})) GROUP BY 1, 2)
+ LEFT JOIN (SELECT recording_id, g, max(c) AS top FROM (SELECT recording_id, g, lower({o.collapse('text')}) AS k, count(*) AS c FROM {base} GROUP BY 1, 2, 3) WHERE k <> '' GROUP BY 1, 2) USING (recording_id, g))"""
+
+
+def _retried(windows: str, before: int, after: int) -> str:
+    return f"""rt AS (SELECT recording_id, g, CAST(k AS INT) AS pos, CAST(f + (t - f) * k // 2 AS BIGINT) AS start_ms, CAST(f + (t - f) * (k + 1) // 2 AS BIGINT) AS end_ms, 'retry ' || k AS text
+ FROM (SELECT *, greatest(0, s - {before}) AS f, e + {after} AS t FROM {windows}), range(0, 2) r(k))"""
+
+
+#: Cues with the rows of ``rt`` in place of the spans of ``ok`` (recording_id, g, a, b).
+_SPLICED = """x AS (SELECT c.recording_id, c.pos AS a, 0 AS b, c.start_ms, c.end_ms, c.text FROM cues c WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.recording_id = c.recording_id AND c.pos >= ok.a AND c.pos < ok.b)
+ UNION ALL SELECT ok.recording_id, ok.a, rt.pos, rt.start_ms, rt.end_ms, rt.text FROM ok JOIN rt USING (recording_id, g))
+SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY a, b) - 1 AS INT) AS pos, start_ms, end_ms, text FROM x"""
+
+
+@query("accept_better_source", o.ctes("cues", "scenes", "source_scored") + """, ws AS (SELECT recording_id, scene_id AS g, score FROM (
+ SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY floor - score DESC, scene_id) AS rank FROM source_scored WHERE score < floor) WHERE rank <= 4),
+w AS (SELECT s.recording_id, ws.g, ws.score, min(s.pos) AS a, max(s.pos) + 1 AS b, min(s.start_ms) AS s, max(s.end_ms) AS e FROM scenes s JOIN ws ON ws.recording_id = s.recording_id AND ws.g = s.scene_id GROUP BY 1, 2, 3 HAVING max(s.end_ms) > min(s.start_ms) + 150),
+""" + _retried("w", 250, 350) + "," + _slices_scored("rt", "ns") + ", ok AS (SELECT w.* FROM w JOIN ns USING (recording_id, g) WHERE ns.score > w.score + 0.03)," + _SPLICED)
 def _(spark, sf):
     c = v.cues(spark, sf)
     retry = _retry_rows(selection.source_retry_spans(c, 4), "scene_id")
     return selection.accept_better_source(c, retry, 4)
 
 
-@query("accept_better_spans")
+def _strict_spans() -> str:
+    floor = rules.CONFIDENCE_FLOOR["strict"]
+    rows = o.BLOCKS["low_rows"][1].replace("score < 0.50", f"score < {floor}e0").replace("score < 0.58", f"score < {floor}e0 + 0.08e0")
+    spans = o.BLOCKS["low_spans"][1].replace("low_rows", "strict_rows").replace("0.5e0 AS floor", f"{floor}e0 AS floor")
+    return f"strict_rows AS ({rows}), strict_spans AS ({spans})"
+
+
+@query("accept_better_spans", o.ctes("cues", "cue_conf") + "," + _strict_spans() + """, ws AS (SELECT recording_id, span_start AS g, span_end, score FROM (
+ SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY floor - score DESC, span_start) AS rank FROM strict_spans WHERE score < floor) WHERE rank <= 8),
+hr AS (SELECT c.*, ws.g FROM cues c JOIN ws ON ws.recording_id = c.recording_id AND c.pos >= ws.g AND c.pos < ws.span_end),
+w AS (SELECT ws.recording_id, ws.g, ws.score, ws.g AS a, ws.span_end AS b, min(start_ms) AS s, max(end_ms) AS e FROM ws JOIN hr USING (recording_id, g) GROUP BY 1, 2, 3, 4, 5 HAVING max(end_ms) > min(start_ms) + 100),
+""" + _retried("w", 300, 400) + "," + _slices_scored("rt", "ns") + "," + _slices_scored("hr", "os") + """,
+ok AS (SELECT w.* FROM w JOIN ns USING (recording_id, g) JOIN os USING (recording_id, g) WHERE 0.9e0 - w.score > 0.06e0 AND ns.score - os.score > 0),""" + _SPLICED)
 def _(spark, sf):
     c = v.cues(spark, sf)
     scored = confidence.cue_confidence(c, v.asr_segments(spark, sf))
