@@ -61,4 +61,5 @@ def test_evaluate_whole(spark):
     for k, row in got.items():
         alike, weight = sums[k]
         assert row.pop("line_char_similarity") == pytest.approx(alike / max(0.001, weight), abs=2e-6)
-        assert row == less[k]
+        # by edits there, which SQL checks; the other metrics are the same
+        assert 0 <= less[k].pop("line_char_similarity") <= 1 and row == less[k]
