@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cuestrata import rules
 from cuestrata.functions import text as T
 from cuestrata.operators.intervals import BLOCK_MS
-from cuestrata.operators.ordered import number_rows, one_pass, scan
+from cuestrata.operators.ordered import number_rows, one_pass, scan, taken_whole
 from cuestrata.session import stage
 
 KEYS = ["recording_id"]
@@ -156,8 +156,8 @@ def _joinable(left: str, right: str) -> bool:
     return not ("A" <= right[0] <= "Z") and left[-1] not in ".?!:"
 
 
-def _compact_fold(gap_ms, per_line, lines, cps, long_ms, width):
-    """State machine over sorted rows; a run never merges more than its ``__budget``."""
+def _compact_fold(gap_ms, per_line, lines, cps, long_ms, width, along=False):
+    """State machine over sorted rows; a run never merges more than its ``__budget``, with ``along`` a recording's runs together."""
     words = frozenset(rules.FUNCTION_WORDS)
 
     def step(current, row, budget):
@@ -197,6 +197,8 @@ def _compact_fold(gap_ms, per_line, lines, cps, long_ms, width):
             rows = pdf[["start_ms", "end_ms", "text", "pos", "__budget"]].itertuples(index=False, name=None)
             for k, (start, end, text, pos, budget) in zip(names, rows):
                 merged = 0
+                if along and current is not None and k[:-1] == key[:-1]:
+                    merged = current[3]
                 if current is not None and k == key:
                     what, joined = step(current, (start, end, text), budget)
                     if what == "skip":
@@ -232,8 +234,9 @@ def compact_cues(
     """Merge runs of short adjacent cues; gives (keys, pos, start_ms, end_ms, text, merges).
 
     ``pos`` is that of the first cue of each merged run.  A recording may merge at most
-    max(20, cues / 16) times.  That budget is the only state crossing a cut: runs are
-    first folded without it, their merges are summed along the recording, and only the
+    max(20, cues / 16) times.  That budget is the only state crossing a cut.  A recording that is
+    taken whole is folded once, its merges counted along the way, and nothing is staged.  In a large one, runs are
+    first folded without the budget, their merges are summed along the recording, and only the
     runs left with less than they used are folded again.
     """
     norm = cues.select(*keys, "pos", "start_ms", "end_ms", T.collapse("text").alias("text"))
@@ -251,17 +254,22 @@ def compact_cues(
     first = F.col("__e").isNull()
     df = df.withColumn("__at", F.when(first | F.coalesce(cut, F.lit(False)), F.col("pos")))
     df = scan(df, keys, ["pos"], {"__in": ("last_before", F.col("__at")), "__after": ("next_after", F.struct("__at"))})
-    df = stage(df.withColumn("__run", F.coalesce("__at", "__in")).drop("__e", "__p"), "runs")
+    whole = taken_whole()
+    df = df.withColumn("__run", F.coalesce("__at", "__in")).drop("__e", "__p")
+    df = df.withColumn("__budget", F.greatest(F.lit(20), F.floor(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / 16))) if whole else stage(df, "runs")
     base = [*keys, "pos", "start_ms", "end_ms", "text"]
     # a run of one row: it starts at this row and the next row, if any, starts another
     lonely = F.col("__at").isNotNull() & (F.col("__after").isNull() | F.col("__after")["__at"].isNotNull())
     plain = df.where(lonely).select(*base, F.lit(0).cast("bigint").alias("merges"))
-    work = df.where(~lonely).select(*base, "__run")
+    work = df.where(~lonely).select(*base, "__run", *(["__budget"] if whole else []))
 
     types = {f.name: f.dataType.simpleString() for f in work.schema}
     width = [*keys, "pos", "start_ms", "end_ms", "text", "__run", "merges"]
     schema = ", ".join(f"`{c}` {types.get(c, 'bigint')}" for c in width)
-    fold = _compact_fold(max_gap_ms, per_line, lines, max_cps, max_ms, width)
+    fold = _compact_fold(max_gap_ms, per_line, lines, max_cps, max_ms, width, whole)
+    if whole:
+        # sorted already: the windows left each recording in the order of its cues
+        return plain.unionByName(work.sortWithinPartitions(*keys, "pos").mapInPandas(fold, schema).select(*plain.columns))
 
     def run(rows):
         ready = rows.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "pos")

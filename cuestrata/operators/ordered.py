@@ -34,6 +34,11 @@ BLOCK = "__block"
 _whole: ContextVar[bool | None] = ContextVar("whole", default=None)
 
 
+def taken_whole() -> bool:
+    """Whether the operator being built has its groups whole, each in one partition of the windows' exchange."""
+    return bool(_whole.get())
+
+
 def _decided(whole: bool, build: Callable[[], DataFrame]) -> DataFrame:
     token = _whole.set(whole)
     try:
