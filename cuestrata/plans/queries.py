@@ -14,7 +14,9 @@ from cuestrata.operators import (
     confidence, consistency, content, context, evaluate as ev, folds, intervals, joins, monitor, names, process, quality, runs, scenes, selection, timing)
 from cuestrata.plans import oracle as o
 from cuestrata.plans import views as v
+from cuestrata.session import scratch
 from cuestrata.sources import asr, files, report, silence, srt
+from cuestrata.sources.run_log import RunLog
 from cuestrata.streaming import live
 
 QUERIES: dict = {}
@@ -1146,6 +1148,17 @@ def _(spark, sf):
     return runs.append_run(log, new).select("run_id")
 
 
+@query("stored_run_log", o.ctes("run_log") + " SELECT run_id, plan, round(elapsed_secs, 6) AS elapsed_secs FROM (SELECT * FROM run_log WHERE run_id % 3 = 0 ORDER BY ts DESC, run_id DESC LIMIT 1000) UNION ALL SELECT run_id, plan, round(elapsed_secs, 6) FROM run_log WHERE run_id % 3 <> 0")
+def _(spark, sf):
+    """A third of the log is appended and compacted, the rest appended later, in two commits, one of them twice."""
+    log, rows = RunLog(spark, scratch(spark, "run_log")), v.run_log(spark, sf)
+    log.append(rows.where("run_id % 3 = 0"), "first")
+    log.compact(1000)
+    for k, token in ((1, "second"), (2, "third"), (1, "second")):
+        log.append(rows.where(f"run_id % 3 = {k}"), token)
+    return log.read().select("run_id", "plan", *r6("elapsed_secs"))
+
+
 @query("run_quality_gate", o.ctes("run_log") + " SELECT run_id FROM run_log WHERE output_non_empty_ratio >= 0.80 AND (output_cues < 80 OR output_top_line_ratio <= 0.30)")
 def _(spark, sf):
     return runs.run_quality_gate(v.run_log(spark, sf)).select("run_id")
@@ -1264,8 +1277,6 @@ def _(spark, sf):
 @query("write_srt", o.ctes("cues") + " SELECT recording_id, pos, pos + 1 AS idx, start_ms, end_ms, rtrim(text) AS text FROM cues")
 def _(spark, sf):
     """Cues written as files and read back."""
-    from cuestrata.session import scratch
-
     path = scratch(spark, "srt")
     srt.write_srt(v.cues(spark, sf), path)
     back = srt.read_srt(spark, path).withColumn(
