@@ -17,6 +17,7 @@ from cuestrata.plans import views as v
 from cuestrata.session import scratch
 from cuestrata.sources import asr, files, report, silence, srt
 from cuestrata.sources.run_log import RunLog
+from cuestrata.sources.text_store import TextStore
 from cuestrata.streaming import live
 
 QUERIES: dict = {}
@@ -1284,6 +1285,16 @@ def _(spark, sf):
     return timing.parse_timing(back).select(*ID, "idx", "start_ms", "end_ms", "text")
 
 
+@query("store_srt", o.ctes("cues") + " SELECT recording_id, pos, pos + 1 AS idx, start_ms, end_ms, CASE WHEN recording_id % 4 = 0 THEN 'second text' ELSE rtrim(text) END AS text FROM cues")
+def _(spark, sf):
+    """All recordings in a few bucket files, a quarter of them written anew by a second batch, and read back by the manifest."""
+    store, c = TextStore(spark, scratch(spark, "srt_store"), buckets=8), v.cues(spark, sf)
+    srt.store_srt(c, store, "first")
+    srt.store_srt(c.where("recording_id % 4 = 0").withColumn("text", F.lit("second text")), store, "second")
+    srt.store_srt(c, store, "first")
+    return timing.parse_timing(srt.stored_srt(store)).select(*ID, "idx", "start_ms", "end_ms", "text")
+
+
 @query("read_asr_segments", o.ctes("asr_segments") + """ SELECT recording_id, start_ms, end_ms, round(CASE WHEN pos % 5 = 1 THEN -1.5e0 ELSE avg_logprob END, 6) AS avg_logprob, no_speech_prob, compression_ratio,
  round(CASE WHEN pos % 4 = 2 THEN 0.0e0 ELSE (word_prob_mean + low_word_prob_ratio) / 2 END, 6) AS word_prob_mean,
  CASE WHEN pos % 4 = 2 THEN 0.0e0 ELSE ((word_prob_mean < 0.45)::INT + (low_word_prob_ratio < 0.45)::INT) / 2.0e0 END AS low_word_prob_ratio FROM asr_segments WHERE pos % 6 <> 5""")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cuestrata.operators.intervals import BLOCK_MS
 from cuestrata.operators.ordered import number_rows
+from cuestrata.sources.text_store import TextStore
 
 WORD = T.StructType([T.StructField("probability", T.DoubleType())])
 SEGMENT = T.StructType([
@@ -84,3 +85,8 @@ def write_segments(merged: DataFrame, path: str, keys: list[str] = ("recording_i
     keys = list(keys)
     lines = segments_json(merged, keys).repartitionByRange(*keys, "n").sortWithinPartitions(*keys, "n")
     lines.select(*keys, F.col("json").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").text(path)
+
+
+def store_segments(merged: DataFrame, store: TextStore, token: str) -> bool:
+    """Add the JSON lines of a batch of recordings to a store."""
+    return store.write(segments_json(merged, store.keys), "n", "json", token)
