@@ -1219,11 +1219,14 @@ def _(spark, sf):
     return runs.recovery_events(v.chunk_events(spark, sf))
 
 
-@query("chunk_monitor", o.ctes("chunk_events") + """, s AS (SELECT *, actual_secs - coalesce(lag(actual_secs) OVER c, 0) AS da, predicted_secs - coalesce(lag(predicted_secs) OVER c, 0) AS dp,
+_MONITOR = o.ctes("chunk_events") + """, s AS (SELECT *, actual_secs - coalesce(lag(actual_secs) OVER c, 0) AS da, predicted_secs - coalesce(lag(predicted_secs) OVER c, 0) AS dp,
   (row_number() OVER c = 1)::INT AS dn FROM chunk_events WHERE success WINDOW c AS (PARTITION BY run_id, chunk_index ORDER BY ts, event_id)),
 m AS (SELECT *, sum(da) OVER r AS a, sum(dp) OVER r AS p, sum(dn) OVER r AS n FROM s WINDOW r AS (PARTITION BY run_id ORDER BY ts, event_id))
 SELECT run_id, chunk_index, event_id, CAST(n AS BIGINT) AS completed, round(greatest(0.0e0, 1000 - p) * greatest(0.05e0, a / p), 4) AS eta_secs,
- NOT from_cache AND actual_secs > predicted_secs * 2 AS slow, quality_score < 0.65 AS low_quality FROM m""")
+ NOT from_cache AND actual_secs > predicted_secs * 2 AS slow, quality_score < 0.65 AS low_quality FROM m"""
+
+
+@query("chunk_monitor", _MONITOR)
 def _(spark, sf):
     e = v.chunk_events(spark, sf)
     totals = e.select("run_id").distinct().withColumn("total_predicted_secs", F.lit(1000.0))
@@ -1429,6 +1432,14 @@ def _(spark, sf):
     return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("live_chunk_monitor", _MONITOR)
+def _(spark, sf):
+    """The monitor over the events as a stream."""
+    totals = v.chunk_events(spark, sf).select("run_id").distinct().withColumn("total_predicted_secs", F.lit(1000.0))
+    out = live.run_to_table(live.live_chunk_monitor(v.event_stream(spark, sf).selectExpr(*v.CHUNK_EVENT_COLS), totals), spark, "live-chunks")
+    return out.select("run_id", "chunk_index", "event_id", "completed", F.round("eta_secs", 4).alias("eta_secs"), "slow", "low_quality")
+
+
 @query("live_monitor", o.ctes("chunk_events") + "," + _STATE + """ SELECT s.run_id, e.n AS events, sum(s.success::INT)::BIGINT AS completed FROM st s
  JOIN (SELECT run_id, count(*) AS n FROM chunk_events GROUP BY 1) e USING (run_id) GROUP BY 1, 2""")
 def _(spark, sf):

@@ -73,13 +73,70 @@ def live_monitor(stream: DataFrame, profile: str = "balanced") -> DataFrame:
         update, MONITOR_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(out: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
+LIVE_SCHEMA = (
+    "run_id bigint, chunk_index int, event_id bigint, ts timestamp, completed bigint, eta_secs double, slow boolean, low_quality boolean, "
+    "timeout_scale double, extra_retry_budget int, strict_first_pass boolean")
+LIVE_STATE = (
+    "chunks array<int>, actuals array<double>, predicteds array<double>, actual double, predicted double, scale double, extra int, strict boolean")
+
+
+def live_chunk_monitor(stream: DataFrame, totals: DataFrame, profile: str = "balanced", idle_ms: int = 86_400_000, watermark: str = "1 hour") -> DataFrame:
+    """One row per success event as it arrives: progress, remaining seconds, flags and the policy after it.
+
+    The stream form of ``chunk_monitor`` and ``adaptive_policy``: over events that arrive in order both
+    give the same figures.  ``totals`` (run_id, total_predicted_secs) is a static table.  State holds the
+    last success of each chunk of a run, never its events; a run without an event for ``idle_ms`` of event
+    time is forgotten, and events later than ``watermark`` are dropped.
+    """
+    floor = rules.MONITOR_FLOOR[profile]
+    names = [f.split()[0] for f in LIVE_SCHEMA.split(", ")]
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        chunks, actuals, predicteds, actual, predicted, scale, extra, strict = state.get if state.exists else ([], [], [], 0.0, 0.0, 1.0, 0, False)
+        done = dict(zip(chunks, zip(actuals, predicteds, strict=True), strict=True))
+        events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        ok = events["success"].to_numpy(bool)
+        slow = ok & ~events["from_cache"].to_numpy(bool) & (events["actual_secs"] > 2 * events["predicted_secs"]).to_numpy()
+        low = ~ok | (events["quality_score"] < floor).to_numpy()
+        reason = events["reason"].fillna("") if "reason" in events else pd.Series("", index=events.index)
+        late = ~ok & reason.str.lower().str.contains("timed out", regex=False).to_numpy(bool)
+        columns = zip(
+            events["chunk_index"].tolist(), events["event_id"].tolist(), events["ts"].tolist(), ok.tolist(), slow.tolist(), low.tolist(), late.tolist(),
+            events["actual_secs"].tolist(), events["predicted_secs"].clip(lower=0.001).tolist(), events["total_predicted_secs"].tolist(), strict=True)
+        out = []
+        for chunk, event, ts, fine, is_slow, is_low, is_late, secs, meant, total in columns:
+            scale = min(3.0, max(1.0, scale * (1.20 if is_slow else 0.98)))
+            extra = min(extra + 1, 2) if is_slow else extra
+            extra, strict = max(extra, 1) if is_low else extra, is_low
+            if is_late:
+                scale, extra = min(4.0, max(1.0, scale * 1.35)), min(extra + 1, 3)
+            if fine:
+                before = done.get(chunk, (0.0, 0.0))
+                actual, predicted = actual + secs - before[0], predicted + meant - before[1]
+                done[chunk] = (secs, meant)
+                eta = max(0.0, total - predicted) * max(0.05, actual / predicted) if predicted > 0 else 0.0
+                out.append((key[0], chunk, event, ts, len(done), eta, is_slow, is_low, scale, extra, strict))
+        state.update((list(done), [a for a, _ in done.values()], [p for _, p in done.values()], actual, predicted, scale, extra, strict))
+        last = int(events["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    known = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).join(totals.select("run_id", F.col("total_predicted_secs").cast("double").alias("total_predicted_secs")), "run_id")
+    return known.groupBy("run_id").applyInPandasWithState(update, LIVE_SCHEMA, LIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_to_table(out: DataFrame, spark: SparkSession, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over what its source holds now and read back what it wrote.
 
-    Output and progress go to the shared folder.  For ``update`` streams each batch is
+    Output and progress go to ``folder``, where a later call goes on, or to a new one in the shared folder.  For ``update`` streams each batch is
     written with its number as ``batch_id``.
     """
-    where, progress = scratch(spark, name), scratch(spark, f"{name}-progress")
+    folder = folder or scratch(spark, name)
+    where, progress = f"{folder}/rows", f"{folder}/progress"
     writer = out.writeStream.option("checkpointLocation", progress).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", where).outputMode("append").start()
