@@ -47,11 +47,12 @@ HISTORY_ROWS = 400
 
 # ---------------------------------------------------------------- fixed values
 # Word lists.
-FUNCTION_WORDS = (
-    "the a an and or but if to of in on for with is are was were be been being "
-    "i you he she it we they me my your our their this that these those not do did "
-    "does have has had can could will would should as at from"
-).split()
+FUNCTION_WORDS = [
+    "the", "a", "an", "and", "or", "but", "if", "to", "of", "in", "on", "for", "with", "is", "are", "was",
+    "were", "be", "been", "being", "i", "you", "he", "she", "it", "we", "they", "me", "my", "your", "our",
+    "their", "this", "that", "these", "those", "not", "do", "did", "does", "have", "has", "had", "can",
+    "could", "will", "would", "should", "as", "at", "from",
+]
 MALFORMED = [
     "i'm's", "you're's", "we're's", "they're's", "he's's",
     "she's's", "it's's", "let's's", "i'm be", "i'm let",
