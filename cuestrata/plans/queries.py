@@ -1369,6 +1369,20 @@ def _(spark, sf):
     return out.select("recording_id", "cue_count", "scene_count", *r6("top_line_ratio", "overlap_ratio", "non_empty_ratio", *quality.SEMANTIC), "passed", count.alias("warnings"))
 
 
+@query("report_recovery", o.ctes("cues", "chunk_events") + "," + _STATE + """, dd AS (SELECT DISTINCT recording_id FROM cues)
+SELECT recording_id, 0 AS line, coalesce(ok, 0)::BIGINT AS completed, coalesce(bad, 0)::BIGINT AS failed, NULL AS reason FROM dd
+ LEFT JOIN (SELECT run_id AS recording_id, sum(success::INT) AS ok, sum(also_failed::INT) AS bad FROM st GROUP BY 1) USING (recording_id)
+UNION ALL SELECT st.run_id, -1 - st.chunk_index, NULL, NULL, e.reason FROM st JOIN dd ON dd.recording_id = st.run_id JOIN chunk_events e ON e.event_id = st.fe WHERE also_failed""")
+def _(spark, sf):
+    """The checkpoint section of each report, and the lines of chunks that stand as failed, read again."""
+    out = report.report_json(v.cues(spark, sf), events=v.chunk_events(spark, sf).withColumnRenamed("run_id", "recording_id"))
+    read = F.from_json("json", "checkpoint struct<completed_chunks:bigint,failed_chunks:bigint>, chunk int, reason string")
+    kept = out.where("line <= 0").select("recording_id", "line", read.alias("r"))
+    return kept.select(
+        "recording_id", F.col("line").cast("int").alias("line"), F.col("r.checkpoint.completed_chunks").alias("completed"), F.col("r.checkpoint.failed_chunks").alias("failed"),
+        F.col("r.reason").alias("reason"))
+
+
 @query("report_json", o.ctes("scored", "semantic") + f""" SELECT recording_id, scene_id AS line, n AS cues, round(score, 6) AS score, round(floor, 6) AS floor, score >= floor AS passed FROM scored
 UNION ALL SELECT recording_id, 0, cue_count, round(anomaly_ratio, 6), round(malformed_ratio, 6), NOT (anomaly_ratio >= 0.25 OR malformed_ratio >= 0.15 OR low_function_ratio >= 0.22
  OR adjacent_repeat_ratio >= 0.18 OR scene_low_ratio >= 0.30 OR name_inconsistency >= 0.12) FROM semantic""")

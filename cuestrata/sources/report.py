@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuestrata.operators.quality import SEMANTIC, semantic_gate, semantic_health, structural_health
+from cuestrata.operators.runs import checkpoint_summary, recovery_events
 from cuestrata.operators.scenes import scene_quality
+from cuestrata.sources.text_store import TextStore
 
 KEYS = ["recording_id"]
 
@@ -28,25 +30,45 @@ def quality_report(cues: DataFrame, lang: str = "en", profile: str = "balanced",
         F.when(F.col("pathological"), summary).otherwise("quality gate passed").alias("reason"))
 
 
-def report_json(cues: DataFrame, lang: str = "en", profile: str = "balanced", keys: list[str] = KEYS) -> DataFrame:
+def report_json(
+    cues: DataFrame, lang: str = "en", profile: str = "balanced", keys: list[str] = KEYS, events: DataFrame | None = None
+) -> DataFrame:
     """JSON lines (keys, ``line``, ``json``): line 0 is the report, line k its k-th scene.
 
+    With the chunk ``events`` of the recordings, (one key, chunk_index, event_id, ts, success, ...), the report
+    has a checkpoint section, and line -1 - c says why chunk c stands as failed.
     The form is the same for a recording of any length, and no document grows with it.
     """
     flat = quality_report(cues, lang, profile, keys)
+    extra, failures = [], None
+    if events is not None:
+        runs = events.withColumnRenamed(keys[0], "run_id")
+        failures = recovery_events(runs).withColumnRenamed("run_id", keys[0]).join(flat.select(*keys), keys, "left_semi")
+        flat = flat.join(checkpoint_summary(runs).withColumnRenamed("run_id", keys[0]), keys, "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+        extra = [F.struct(zero("completed_chunks"), zero("failed_chunks")).alias("checkpoint")]
     body = F.struct(
         F.lit("1.0").alias("version"), F.lit(lang).alias("target_language"), F.lit(profile).alias("quality_profile"),
         F.struct(
             "cue_count", F.struct("top_line_ratio", "overlap_ratio", "non_empty_ratio").alias("structural"),
             F.struct(*SEMANTIC, "scene_count").alias("semantic")).alias("quality"),
-        "warnings", F.struct(F.col("passed").alias("pass"), "reason").alias("verdict"))
+        *extra, "warnings", F.struct(F.col("passed").alias("pass"), "reason").alias("verdict"))
     item = F.struct(F.col("scene_id").alias("scene"), F.col("n").alias("cue_count"), "difficulty", "score", "floor", F.col("passed").alias("pass"))
     head = flat.select(*keys, F.lit(0).cast("bigint").alias("line"), F.to_json(body).alias("json"))
-    return head.unionByName(scene_quality(cues, keys).select(*keys, F.col("scene_id").cast("bigint").alias("line"), F.to_json(item).alias("json")))
+    out = head.unionByName(scene_quality(cues, keys).select(*keys, F.col("scene_id").cast("bigint").alias("line"), F.to_json(item).alias("json")))
+    if failures is not None:
+        lost = F.struct("event", F.col("chunk_index").alias("chunk"), "reason")
+        out = out.unionByName(failures.select(*keys, (-1 - F.col("chunk_index")).cast("bigint").alias("line"), F.to_json(lost).alias("json")))
+    return out
 
 
 def write_report(cues: DataFrame, path: str, **options) -> None:
-    """Write the JSON lines, one folder per recording; recordings written before stay."""
+    """Write the JSON lines, one folder per recording; recordings written before stay.  ``store_report`` makes few files."""
     keys = list(options.get("keys", KEYS))
     lines = report_json(cues, **options).repartitionByRange(*keys, "line").sortWithinPartitions(*keys, "line")
     lines.select(*keys, F.col("json").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").text(path)
+
+
+def store_report(cues: DataFrame, store: TextStore, token: str, **options) -> bool:
+    """Add the JSON lines of a batch of recordings to a store."""
+    return store.write(report_json(cues, keys=store.keys, **options), "line", "json", token)
