@@ -300,7 +300,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``frame`` with the bytes of its token ids; null ids give no bytes."""
+    """``frame`` with the bytes of its token ids; null ids give no bytes.
+
+    Every row gives one row, in whatever number of ids; other columns stay, and one already
+    named like the new one is replaced.
+    """
     tokens = frame.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(path).items()})
     kept = [c for c in frame.columns if c != out]
     source = frame.select(*kept)

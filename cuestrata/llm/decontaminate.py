@@ -230,7 +230,12 @@ def indexes(benchmark: DataFrame, k: int) -> Iterator[Broadcast]:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows that hold a window like a benchmark item; all columns stay, no other row goes."""
+    """``docs`` without the rows that hold a window like a benchmark item; all columns stay, no other row goes.
+
+    Null and empty texts hold nothing and stay; texts of any length are looked at whole; repeated rows
+    go or stay together; null, empty and equal items of the benchmark add nothing.  Without items or without
+    documents nothing happens.  Only the column ``text`` is looked at, whatever the others are called.
+    """
     place = docs.columns.index("text")
 
     def one(frame: DataFrame, index: Broadcast) -> DataFrame:

@@ -94,7 +94,11 @@ def written(print_: tuple[list[int], list[int]]) -> str:
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, hashes (array<bigint>), positions (array<bigint>) of each whole text; null is empty."""
+    """doc_id, n_chars, hashes (array<bigint>), positions (array<bigint>) of each whole text; null is empty.
+
+    A text shorter than ``k`` has no hash; equal hashes in a window count by their rightmost place;
+    repeated rows each give a row, an empty table none; other columns are not looked at.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

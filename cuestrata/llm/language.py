@@ -233,7 +233,8 @@ def identify_languages(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFr
     """doc_id, held_out, lang_pred, score; learned from the labelled rows that aren't held out.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is all if nothing can be
-    learned from.  A null doc_id counts as empty text in the fold.  Repeated rows each give a row.
+    learned from.  A null doc_id counts as empty text in the fold.  Repeated rows each give a row;
+    texts of any length are read whole; other columns are not looked at; an empty table gives no rows.
     """
     model = fit(sample(docs.where(fold(folds) != held)))
     return predict(docs, model).select("doc_id", (fold(folds) == held).alias("held_out"), "lang_pred", "score")

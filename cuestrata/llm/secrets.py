@@ -131,7 +131,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span replaced by ``mark`` and n_chars counted anew; all rows stay.
 
-    Overlapping spans become one mark.
+    Overlapping spans become one mark.  A null text stays null and an empty one empty; texts of any length are
+    searched whole; rows of one doc_id are told apart by their texts, and repeated rows are redacted
+    alike; an empty table stays empty.  Columns may have any names but those that begin with ``__span_``,
+    ``__found`` and ``__secret_th``.
     """
     spans = spans_by_document(docs).select(F.col("doc_id").alias("__span_id"), F.col("th").alias("__span_th"), F.col("found").alias("__found"))
     keyed = docs.withColumn("__secret_th", text_key())
