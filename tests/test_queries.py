@@ -52,7 +52,7 @@ def test_every_sql_has_a_query():
 
 
 def test_scans_read_only_what_they_need(spark):
-    """Times alone are read for scenes, and no recording is windowed whole."""
+    """Times alone are read for scenes."""
     plan = entry.queries()["scene_split_gap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert scans and not any("text:" in line.split("ReadSchema")[1] for line in scans)
