@@ -10,7 +10,7 @@ import sys
 import numpy as np
 import pytest
 
-from cuestrata.llm import common, toxicity
+from cuestrata.llm import common, language, toxicity
 
 
 def plain_label_model(patterns, counts, rounds):
@@ -113,7 +113,7 @@ def test_worker_memory_of_the_voters():
     """A fresh process stays below 150 MB over slices of a large batch."""
     code = """
 import numpy as np
-from cuestrata.llm import common, toxicity
+from cuestrata.llm import common, language, toxicity
 rng = np.random.default_rng(1)
 buf = rng.integers(97, 103, 8_000_000).astype(np.uint8)
 buf[rng.integers(0, len(buf), 1_200_000)] = 32
@@ -126,3 +126,33 @@ print(int(open("/proc/self/statm").read().split()[1]) * 4096 // 1_000_000 - len(
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(sys.path), "PATH": "/usr/bin:/bin"})
     assert int(out.stdout) < 150
+
+
+def test_language_scores_equal_a_dense_kernel_ridge():
+    """Sets of n-grams, a full kernel matrix and the ridge solution in the space of landmarks."""
+    rng = random.Random(5)
+    parts = {"xx": "abcd", "yy": "cdefß", "zz": "éçghab"}
+    text = lambda lang: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12)))
+    rows = [(text(lang), lang) for lang in ("xx", "yy", "zz") for _ in range(12)] + [("a", "xx"), ("ab", "yy")]
+    rng.shuffle(rows)
+    model = language.fit(rows, landmarks=5)
+    sets = lambda t: {t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    langs, taken, chosen = sorted(parts), {}, []
+    for t, lang in rows:
+        if len(t) > 2 and taken.get(lang, 0) < 5:
+            taken[lang] = taken.get(lang, 0) + 1
+            chosen.append(t)
+    held = [sets(t) for t in chosen]
+    known = set().union(*held)
+    kernel = lambda ts: np.array([[len(sets(t) & m) / (max(len(sets(t) & known), 1) ** 0.5 * len(m) ** 0.5) for m in held] for t in ts])
+    value, vector = np.linalg.eigh(kernel(chosen))
+    keep = value > 1e-6 * value.max()
+    mapped = lambda ts: kernel(ts) @ vector[:, keep] / np.sqrt(value[keep])
+    x, n = mapped([t for t, _ in rows]), {x: sum(lang == x for _, lang in rows) for x in langs}
+    weight = np.array([len(rows) / (len(langs) * n[lang]) for _, lang in rows])
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for _, lang in rows])
+    solved = np.linalg.solve(x.T @ (x * weight[:, None]) + language.RIDGE * len(rows) * np.eye(x.shape[1]), (x * weight[:, None]).T @ y)
+    fresh = [text(lang) for lang in langs for _ in range(5)] + ["qqq", "a"]
+    presence, _ = language._features(model, [t.lower() for t in fresh])
+    assert model.langs == langs
+    assert model.scores(presence) == pytest.approx(mapped(fresh) @ solved, abs=2e-4)
