@@ -40,3 +40,20 @@ def test_files_of_a_folder_are_one_recording(spark, tmp_path):
         (folder / f"part-0000{part}.txt").write_text("".join(f"{n}\n00:00:0{n},000 --> 00:00:0{n},500\nt{n}\n\n" for n in numbers))
     rows = read_srt(spark, str(tmp_path), folders=True).orderBy("pos").collect()
     assert [(r.pos, r.idx, r.text) for r in rows] == [(0, 1, "t1"), (1, 2, "t2"), (2, 3, "t3"), (3, 4, "t4")]
+
+
+def test_rules_are_looked_for_before_their_patterns(spark):
+    """One pattern in the plan, not one for each rule."""
+    from cuestrata.functions import repair as R
+
+    df = spark.range(1).selectExpr("concat('I''M''S it, the''s ', id) AS text")
+    plan = R.repair_grammar(R.repair_contractions(df))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") < 12
+    assert R.repair_contractions(df).first()[0] == "I'm it, There's 0"
+
+
+def test_loops_skip_lines_that_repeat_nothing(spark):
+    from cuestrata.functions import repair as R
+
+    df = spark.createDataFrame([(" a  b\tc ",), (" one ",), ("",), ("a, (a) b",), ("x b a b a y",), (None,)], "text string")
+    assert [r.text for r in R.collapse_token_loops(df).collect()] == ["a b c", " one ", "", "a, b", "x b a y", None]
