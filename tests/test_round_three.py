@@ -57,3 +57,13 @@ def test_loops_skip_lines_that_repeat_nothing(spark):
 
     df = spark.createDataFrame([(" a  b\tc ",), (" one ",), ("",), ("a, (a) b",), ("x b a b a y",), (None,)], "text string")
     assert [r.text for r in R.collapse_token_loops(df).collect()] == ["a b c", " one ", "", "a, b", "x b a y", None]
+
+
+def test_name_words_are_white_space_tokens(spark):
+    from cuestrata.operators.names import canonical_names, name_words
+
+    rows = [(1, 0, " «Anna,  bAnna -- xAnna"), (1, 1, "Anna\tAnnb  Annb's"), (1, 2, "Ünal. -")]
+    df = spark.createDataFrame(rows, "recording_id int, pos int, text string")
+    assert {(r.word, r.freq) for r in name_words(df).collect()} == {("Anna", 2), ("Annb", 1), ("Annb's", 1), ("Ünal", 1)}
+    got = [r.text for r in canonical_names(df).orderBy("pos").collect()]
+    assert got == [" «Anna,  bAnna -- xAnna", "Anna\tAnna  Anna's", "Ünal. -"]
