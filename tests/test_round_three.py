@@ -67,3 +67,23 @@ def test_name_words_are_white_space_tokens(spark):
     assert {(r.word, r.freq) for r in name_words(df).collect()} == {("Anna", 2), ("Annb", 1), ("Annb's", 1), ("Ünal", 1)}
     got = [r.text for r in canonical_names(df).orderBy("pos").collect()]
     assert got == [" «Anna,  bAnna -- xAnna", "Anna\tAnna  Anna's", "Ünal. -"]
+
+
+def test_short_ways_of_ascii_lines_agree_with_the_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from cuestrata.functions import text as T
+
+    texts = ["", " ", "a b", " a b ", "a  b", "a\tb\x0b", "\r\na\f", "a\x1cb", "é b", "é　 b ", "か な", "A-z_'9 é漢字[x]"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    flat = F.trim(F.regexp_replace("text", f"{T.WS}+", " "))
+    both = [
+        (T.collapse("text"), flat), (T.collapse(F.col("text")), flat),
+        (T.strip("text") != "", flat != ""), (T.solid_chars("text"), F.length(F.regexp_replace("text", T.WS, ""))),
+        (T.japanese_chars("text"), F.length(F.regexp_replace("text", f"[^{T.SCRIPT}]", ""))),
+        (T.source_key("text"), F.regexp_replace("text", f"[^A-Za-z0-9{T.SCRIPT}]", "")),
+        (T.target_key("text"), F.trim(F.regexp_replace(T.ascii_lower("text"), "[^a-z0-9']+", " ")))]
+    for row in df.select(*[a.eqNullSafe(b) for a, b in both]).collect():
+        assert all(row)
+    patterns = df.select(T.source_key("text"), T.target_key("text"))._jdf.queryExecution().analyzed().toString()
+    assert "[^" not in patterns  # negated classes take several times as long
