@@ -24,3 +24,13 @@ def test_only_shorter_recordings_are_measured(make, monkeypatch):
     out = selection.compact_if_not_worse(cues)
     assert {(r.recording_id, r.compacted) for r in out.collect()} == {(1, True), (2, False)} and out.count() == 41
     assert [{r.recording_id for r in df.collect()} for df in calls] == [{1}, {1}]
+
+
+def test_scenes_of_the_old_text_are_measured_once(make, monkeypatch):
+    rows = [(i * 900, i * 900 + 800, "go go go go now i'm's here") for i in range(6)]
+    old = make(rows)
+    retry = old.select("recording_id", "pos", F.lit("the cat is on the mat").alias("text"))
+    calls = counted(monkeypatch, T, "text_features")
+    out = selection.accept_better_scenes(old, retry).collect()
+    assert {(r.accepted, r.text) for r in out} == {(True, "the cat is on the mat")} and len(out) == 6
+    assert len(calls) == 2 and "scene_id" not in calls[0].columns
