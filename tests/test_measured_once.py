@@ -34,3 +34,27 @@ def test_scenes_of_the_old_text_are_measured_once(make, monkeypatch):
     out = selection.accept_better_scenes(old, retry).collect()
     assert {(r.accepted, r.text) for r in out} == {(True, "the cat is on the mat")} and len(out) == 6
     assert len(calls) == 2 and "scene_id" not in calls[0].columns
+
+
+def test_report_and_its_scenes_share_the_measures(make, monkeypatch):
+    from cuestrata.sources.report import report_json
+
+    calls = counted(monkeypatch, T, "text_features")
+    out = report_json(make([(0, 900, "Hello there."), (5000, 5900, "go go go go")])).orderBy("line").collect()
+    assert [r.line for r in out] == [0, 1, 2] and len(calls) == 1
+
+
+def test_pairs_of_names_are_the_same_directly_and_by_pieces(spark, monkeypatch):
+    import random
+
+    from cuestrata.operators import names
+
+    pick = random.Random(5)
+    rows = {(rec, pick.choice("ab") + "".join(pick.choice("abc") for _ in range(pick.randint(0, 9)))) for rec in (1, 2) for _ in range(120)}
+    words = spark.createDataFrame(sorted(rows), "recording_id int, w string").cache()
+    for edits in (lambda n: F.floor(n - F.ceil(n * 78 / 100)), lambda n: F.when(n > 0, 2)):
+        seen = []
+        for direct in (0, 10**6):
+            monkeypatch.setattr(names, "DIRECT", direct)
+            seen.append(sorted(map(tuple, names.near_pairs(words, ["recording_id"], "w", edits).collect())))
+        assert seen[0] == seen[1] and len(seen[0]) > 50
