@@ -26,6 +26,7 @@ def test_a_loop_has_one_row_for_each_of_its_windows(spark, monkeypatch):
     staged = {}
     real = windows.stage
     monkeypatch.setattr(windows, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    monkeypatch.setattr(windows, "forget", lambda *frames: None)
     docs = spark.createDataFrame(looped(), "doc_id long, text string")
     got = Counter(tuple(r) for r in suffixes.dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed").collect())
     raw = [(i, t.encode()) for i, t in looped()]
@@ -37,26 +38,41 @@ def test_a_loop_has_one_row_for_each_of_its_windows(spark, monkeypatch):
     assert rows.where(F.size("places") > 1).count() > 0
 
 
-def test_a_window_of_many_strings_is_split(spark, monkeypatch):
+def skewed(df, key: str) -> bool:
+    """Whether the join by ``key`` of a plan that has run was split."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return "skew=true" in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x and key in x)
+
+
+def test_common_windows_and_copies_are_split(spark, monkeypatch):
     monkeypatch.setattr(windows, "HOT_ROWS", 1)
     rng = random.Random(5)
     passage = prose(rng, 120)
-    rows = [(i, f"{prose(rng, 12)} {passage} {prose(rng, 12)}") for i in range(400)]
+    copy = f"{prose(rng, 12)} {passage} {prose(rng, 12)}"
+    rows = [(i, f"{prose(rng, 12)} {passage} {prose(rng, 12)}") for i in range(400)] + [(400 + i, copy) for i in range(2000)]
     few = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
+    split = []
+    real = windows.stage
+
+    def spy(df, name):
+        if name == "marks":
+            df.collect()
+            split.append(skewed(df, "w1"))
+        return real(df, name)
+
+    monkeypatch.setattr(windows, "stage", spy)
     before = {k: spark.conf.get(k, None) for k in few}
     try:
         for k, v in few.items():
             spark.conf.set(k, v)
-        texts = keyed_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).cache()
+        texts = keyed_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
         runs = repeated_runs(light_runs(texts, BYTES), False).where("hot")
-        spans = hot_spans(packed(texts, runs, BYTES), BYTES, False)
-        assert spans.select("id").distinct().count() == 400
-        spans.collect()
-        plan = spans._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-        assert "skew=true" in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x and "w1" in x)
+        spans = hot_spans(packed(texts, runs, BYTES), BYTES, False).groupBy("id").agg(F.count("*"))
+        assert len(spans.collect()) == 2400
+        assert split == [True] and skewed(spans, "digest")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
